@@ -1,0 +1 @@
+"""Reserved: the capability set covered here is batch only, so no streaming operator is defined."""
