@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, secret_scan, source_mix
+from . import bpe_codec, chat_format, secret_scan, source_mix, token_count
 
 QUERIES = {
+    "op3_token_count": token_count.query,
+    "op4_bpe_codec": bpe_codec.query,
     "op5_source_mix": source_mix.query,
     "op7_chat_format": chat_format.query,
     "op10_secret_scan": secret_scan.query,
