@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat_format, secret_scan, source_mix, token_count
+from . import bpe_codec, chat_format, collision_ann, language_crf, lz_fingerprint, quality_neighbours, secret_scan, source_mix, token_count
 
 QUERIES = {
+    "op1_lz_fingerprint": lz_fingerprint.query,
+    "op2_language_crf": language_crf.query,
     "op3_token_count": token_count.query,
     "op4_bpe_codec": bpe_codec.query,
     "op5_source_mix": source_mix.query,
+    "op6_quality_neighbours": quality_neighbours.query,
     "op7_chat_format": chat_format.query,
+    "op8_collision_ann": collision_ann.query,
     "op10_secret_scan": secret_scan.query,
 }
 
+#: Those that SQL can express; the others are tested against brute force, a round trip or held-out labels.
 ORACLE_SQL = {
     "op5_source_mix": source_mix.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
