@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat_format, collision_ann, language_crf, lz_fingerprint, quality_neighbours, secret_scan, source_mix, token_count
+from . import bpe_codec, chat_format, collision_ann, language_crf, lz_fingerprint, quality_neighbours, secret_scan, shingle_join, source_mix, token_count
 
 QUERIES = {
     "op1_lz_fingerprint": lz_fingerprint.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_neighbours": quality_neighbours.query,
     "op7_chat_format": chat_format.query,
     "op8_collision_ann": collision_ann.query,
+    "op9_shingle_join": shingle_join.query,
     "op10_secret_scan": secret_scan.query,
 }
 
@@ -20,4 +21,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_source_mix": source_mix.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
+    "op9_shingle_join": shingle_join.ORACLE,
 }
