@@ -1,6 +1,324 @@
-"""Named queries over the engine's operators, each with DuckDB SQL where SQL can say the same."""
+"""Named queries over the engine's operators, each with DuckDB SQL where SQL can say the same.
+
+A document is a file and each of its lines that isn't blank a block.  `labels` stand in for earlier decisions.  Where a
+query needs typed blocks, types are put on by the line's place, so that every rule is met.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as fn
+from ..operators import decisions as dec
+from ..operators import duplicates, merge, render, semantic, simhash
+from ..sources import files as src
+from ..store import decisions_matching, results_matching
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+_SPACES = " || ".join(f"chr({c})" for c in range(0x3001) if chr(c).isspace())
+#: The oracle's view of files, lines and decisions.
+_BASE = f"""
+WITH files AS (SELECT doc_id, source || '/doc' || doc_id || '.md' AS path, md5(source || '/doc' || doc_id || '.md') AS file_id, coalesce(text, '') AS content FROM documents),
+lines AS (SELECT doc_id, path, file_id, i - 1 AS pos, s[i] AS raw FROM (SELECT *, string_split(content, chr(10)) AS s, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files)),
+blocks AS (SELECT doc_id, path, file_id, file_id || '#' || pos AS block_id, pos::INT AS pos, raw, trim(raw, {_SPACES}) AS text FROM lines WHERE trim(raw, {_SPACES}) <> ''),
+prior AS (SELECT doc_id, CASE WHEN min(toxic) = 1 THEN 'delete' WHEN min(quality) = 1 THEN 'keep' ELSE 'undecided' END AS decision FROM labels GROUP BY doc_id),
+decided AS (SELECT b.*, coalesce(p.decision, 'undecided') AS decision FROM blocks b LEFT JOIN prior p USING (doc_id)),
+g AS (SELECT *, md5('text:' || text) AS h FROM decided WHERE decision <> 'delete'),
+groups AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY path, block_id) AS rank FROM g) WHERE n > 1)
+"""
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle if oracle.lstrip().startswith("WITH") else _BASE + oracle
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return src.document_files(_table(spark, d, "documents"))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Line blocks: path, file_id, block_id, pos, block_type text, raw_text and stripped text."""
+    rows = src.split_lines(_files(spark, d))
+    block_id = F.concat_ws("#", "file_id", F.col("pos").cast("string"))
+    return rows.select("file_id", "path", block_id.alias("block_id"), "pos", F.lit("text").alias("block_type"), "raw_text", fn.strip(F.col("raw_text")).alias("text"))
+
+
+def _prior(spark: SparkSession, d: str) -> DataFrame:
+    """Earlier decisions of documents, by path."""
+    label = _table(spark, d, "labels").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    docs = _table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"))
+    decision = F.when(F.col("toxic") == 1, "delete").when(F.col("quality") == 1, "keep").otherwise("undecided")
+    return label.join(docs, "doc_id").select("path", decision.alias("decision"))
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    keys = lines.select(*duplicates.KEY).join(_prior(spark, d), "path")
+    return duplicates.with_decisions(lines, keys)
+
+
+_EMPTY = lambda c: F.lit("undecided").alias(c)
+
+
+@query("SELECT file_id, path, length(content)::INT AS n_chars FROM files WHERE regexp_matches(lower(path), '\\.(md|markdown)$') AND len(string_split(path, '/')) <= 2 AND path LIKE 'src1%'")
+def file_scan_filter(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    return f.where(src.has_suffix(F.col("path")) & (src.depth(F.col("path"), "") <= 1) & F.col("path").startswith("src1")).select("file_id", "path", F.length("content").alias("n_chars"))
+
+
+@query("SELECT file_id, path, pos, raw AS raw_text, text FROM blocks")
+def blocks_from_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select("file_id", "path", "pos", "raw_text", "text")
+
+
+def _marked(c: Column, pos: Column) -> Column:
+    """Lines with Markdown marks put before them by their place."""
+    return (
+        F.when(pos % 7 == 0, F.concat(F.lit("## "), c))
+        .when(pos % 7 == 1, F.concat(F.lit("- "), c))
+        .when(pos % 7 == 2, F.concat(F.lit("```\n"), c, F.lit("\n```")))
+        .when(pos % 7 == 3, F.concat(F.lit("12. "), c))
+        .when(pos % 7 == 4, F.lit("1234"))
+        .when(pos % 7 == 5, F.concat(F.lit("> see [the "), c, F.lit("](http://x) ")))
+        .otherwise(c)
+    )
+
+
+_MARKED = "CASE pos % 7 WHEN 0 THEN '## ' || raw WHEN 1 THEN '- ' || raw WHEN 2 THEN '```' || chr(10) || raw || chr(10) || '```' WHEN 3 THEN '12. ' || raw WHEN 4 THEN '1234' WHEN 5 THEN '> see [the ' || raw || '](http://x) ' ELSE raw END"
+_TYPED = f"""typed AS (SELECT *, CASE WHEN m LIKE '```%' THEN 'CodeSnippet' WHEN regexp_matches(m, '^#{{1,6}}\\s+') THEN 'Title'
+  WHEN regexp_matches(m, '^\\s*([-*+]|\\d+\\.)\\s+') THEN 'ListItem' WHEN regexp_matches(m, '[a-zA-Z\\x{{4e00}}-\\x{{9fff}}]') AND NOT regexp_matches(m, '^(#+\\s*|[-*+]\\s*|>\\s*)$') THEN 'NarrativeText' ELSE 'Text' END AS element_type
+  FROM (SELECT *, {_MARKED} AS m FROM blocks))"""
+
+
+@query(
+    _BASE
+    + f""", {_TYPED} SELECT block_id, element_type, CASE element_type WHEN 'Title' THEN 'heading' WHEN 'ListItem' THEN 'list_item' WHEN 'CodeSnippet' THEN 'code' ELSE 'text' END AS block_type FROM typed"""
+)
+def infer_block_type(spark: SparkSession, d: str) -> DataFrame:
+    raw = _marked(F.col("raw_text"), F.col("pos"))
+    typed = _lines(spark, d).withColumn("element_type", fn.infer_element_type(F.lit("Text"), raw))
+    return typed.select("block_id", "element_type", fn.block_type(F.col("element_type")).alias("block_type"))
+
+
+@query(
+    _BASE
+    + f""", {_TYPED} SELECT block_id, CASE element_type WHEN 'CodeSnippet' THEN trim(m, {_SPACES}) WHEN 'Title' THEN trim(regexp_replace(m, '^#{{1,6}}\\s+', ''), {_SPACES})
+    ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(m, '`', ''), '\\[(.*?)\\]\\(.*?\\)', '\\1', 'g'), '^\\s*([-*+]|\\d+\\.)\\s+', ''), '^\\s*>\\s?', ''), '\\s+', ' ', 'g')) END AS text FROM typed"""
+)
+def normalize_blocks(spark: SparkSession, d: str) -> DataFrame:
+    raw = _marked(F.col("raw_text"), F.col("pos"))
+    element = fn.infer_element_type(F.lit("Text"), raw)
+    return _lines(spark, d).select("block_id", fn.normalize(element, raw, emphasis=False).alias("text"))
+
+
+@query()
+def normalize_blocks_full(spark: SparkSession, d: str) -> DataFrame:
+    raw = _marked(F.col("raw_text"), F.col("pos"))
+    return _lines(spark, d).select("block_id", fn.normalize(fn.infer_element_type(F.lit("Text"), raw), raw).alias("text"))
+
+
+@query("SELECT block_id, md5('text:' || text) AS h FROM blocks")
+def md5_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select("block_id", fn.fingerprint(F.col("block_type"), F.col("text")).alias("h"))
+
+
+def _undecided(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.exact_groups(_lines(spark, d).withColumn("decision", F.lit("undecided")))
+
+
+@query("SELECT h, count(*) AS n, min(path) AS first_path FROM (SELECT md5('text:' || text) AS h, path FROM blocks) GROUP BY h HAVING count(*) > 1")
+def md5_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.group_arrays(_undecided(spark, d)).select("h", "n", F.col("members")[0]["path"].alias("first_path"))
+
+
+@query("SELECT path, block_id, CASE WHEN rank = 1 THEN 'keep' ELSE 'delete' END AS suggestion FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY path, block_id) AS rank, count(*) OVER (PARTITION BY md5(text)) AS n FROM blocks) WHERE n > 1")
+def md5_keep_delete(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.suggestions(_undecided(spark, d)).select("path", "block_id", "suggestion")
+
+
+@query("SELECT block_id, h, n, rank, decision FROM groups")
+def md5_groups_with_prior_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.ranked(duplicates.exact_groups(_decided(spark, d))).select("block_id", "h", "n", "rank", "decision")
+
+
+@query("SELECT d.block_id, CASE WHEN d.decision = 'undecided' AND gr.rank = 1 THEN 'keep' WHEN d.decision = 'undecided' AND gr.rank > 1 THEN 'delete' ELSE d.decision END AS decision FROM decided d LEFT JOIN groups gr USING (block_id)")
+def decision_precedence(spark: SparkSession, d: str) -> DataFrame:
+    decided = _decided(spark, d)
+    return duplicates.applied(decided, duplicates.suggestions(duplicates.exact_groups(decided))).select("block_id", "decision")
+
+
+@query("SELECT coalesce(CASE WHEN decision = 'delete' THEN 'deleted' END, 'none') AS reason, count(*) AS n FROM decided GROUP BY 1")
+def skip_reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d).groupBy(F.coalesce(duplicates.skip_reason(), F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(content) AS digest, strlen(content) AS size, count(*) AS n_files, min(path) AS first_path FROM files GROUP BY ALL HAVING count(*) >= 2")
+def file_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.file_groups(_files(spark, d)).select("digest", "size", "n_files", F.col("paths")[0].alias("first_path"))
+
+
+@query("SELECT path FROM (SELECT path, count(*) OVER (PARTITION BY content) AS n FROM files) WHERE n = 1")
+def unique_files_strict(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.unique_files(_files(spark, d))
+
+
+@query("SELECT min(path) AS path FROM files GROUP BY content")
+def unique_files_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.unique_files(_files(spark, d), "keep_first")
+
+
+@query("SELECT path FROM (SELECT path, count(*) OVER (PARTITION BY content) AS n FROM files WHERE strlen(content) BETWEEN 1024 AND 8192) WHERE n = 1")
+def unique_files_sized(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.unique_files(_files(spark, d), min_size=1024, max_size=8192)
+
+
+@query("SELECT id_1, id_2, round(s, 6) AS score FROM (SELECT a.vec_id AS id_1, b.vec_id AS id_2, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE s >= 0.4")
+def semantic_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = semantic.similar_pairs(_table(spark, d, "embeddings"), 0.4, "vec_id")
+    return semantic.ranked(pairs).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT id_1, id_2, round(s, 6) AS score FROM (SELECT a.vec_id AS id_1, b.vec_id AS id_2, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label % 3 <> 0 AND b.label % 3 <> 0) WHERE s >= 0.4")
+def semantic_pairs_filtered(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("label") % 3 == 0, "heading").otherwise("text")
+    rows = _table(spark, d, "embeddings").withColumns({"block_type": kind, "path": F.lit("p"), "decision": F.lit("undecided")})
+    return semantic.similar_pairs(semantic.eligible(rows), 0.4, "vec_id").withColumn("score", F.round("score", 6))
+
+
+@query("SELECT md5(text) AS text_md5, count(*) AS uses FROM blocks WHERE text <> '' GROUP BY 1")
+def distinct_text_cache(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    distinct = lines.select(F.md5("text").alias("text_md5")).distinct()
+    return lines.groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("uses")).join(distinct, "text_md5")
+
+
+_RESULTS = """, pairs AS (SELECT block_id AS a, lead(block_id) OVER (PARTITION BY h ORDER BY path, block_id) AS b, rank, n FROM groups),
+named AS (SELECT a, b, rank, n, CASE WHEN rank % 2 = 1 THEN 'md5_duplicate' ELSE 'semantic_similarity' END AS t FROM pairs WHERE b IS NOT NULL),
+hashed AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(least(a, b) || '_' || greatest(a, b) || '_' || t)) AS x FROM named),
+results AS (SELECT substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab', ((strpos('0123456789abcdef', substr(x, 17, 1)) - 1) % 4) + 1, 1) || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS result_id,
+  a AS block_id_1, b AS block_id_2, t AS analysis_type, (rank % 10) / 10.0::DOUBLE AS score, rank FROM hashed),
+pair_decisions AS (SELECT result_id AS decision_id, block_id_1, block_id_2, analysis_type, CASE rank % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'undecided' ELSE 'delete' END AS decision FROM results WHERE rank % 4 <> 0)
+"""
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    after = F.lead("block_id").over(Window.partitionBy("h").orderBy("path", "block_id"))
+    rows = duplicates.ranked(duplicates.exact_groups(_decided(spark, d))).withColumn("block_id_2", after).where("block_id_2 IS NOT NULL")
+    kind = F.when(F.col("rank") % 2 == 1, "md5_duplicate").otherwise("semantic_similarity")
+    rows = rows.select(F.col("block_id").alias("block_id_1"), "block_id_2", kind.alias("analysis_type"), ((F.col("rank") % 10) / 10.0).alias("score"), "rank")
+    return rows.withColumn("result_id", fn.pair_id(F.col("block_id_1"), F.col("block_id_2"), F.col("analysis_type")))
+
+
+def _pair_decisions(spark: SparkSession, d: str) -> DataFrame:
+    decision = F.when(F.col("rank") % 3 == 0, "keep").when(F.col("rank") % 3 == 1, "undecided").otherwise("delete")
+    return _results(spark, d).where("rank % 4 <> 0").select(F.col("result_id").alias("decision_id"), "block_id_1", "block_id_2", "analysis_type", decision.alias("decision"))
+
+
+@query(_RESULTS + "SELECT result_id, block_id_1, block_id_2, analysis_type FROM results")
+def result_ids_uuid5(spark: SparkSession, d: str) -> DataFrame:
+    return _results(spark, d).select("result_id", "block_id_1", "block_id_2", "analysis_type")
+
+
+@query(_RESULTS + "SELECT result_id, score FROM results WHERE analysis_type = 'md5_duplicate' AND score >= 0.3")
+def results_min_score(spark: SparkSession, d: str) -> DataFrame:
+    return results_matching(_results(spark, d), "md5_duplicate", min_score=0.3).select("result_id", "score")
+
+
+@query(_RESULTS + ", one AS (SELECT min(block_id_1) AS b FROM results) SELECT result_id FROM results, one WHERE analysis_type = 'md5_duplicate' AND (block_id_1 = b OR block_id_2 = b)")
+def results_by_block(spark: SparkSession, d: str) -> DataFrame:
+    rows = _results(spark, d)
+    return results_matching(rows, "md5_duplicate", block_id=rows.agg(F.min("block_id_1")).first()[0] or "").select("result_id")
+
+
+@query(_RESULTS + "SELECT decision_id, decision FROM pair_decisions WHERE decision = 'keep' AND analysis_type = 'md5_duplicate'")
+def decisions_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return decisions_matching(_pair_decisions(spark, d), decision="keep", analysis_type="md5_duplicate").select("decision_id", "decision")
+
+
+@query(_RESULTS + "SELECT result_id FROM results r WHERE NOT EXISTS (SELECT 1 FROM pair_decisions p WHERE p.decision_id = r.result_id AND p.decision <> 'undecided')")
+def undecided_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return dec.undecided_pairs(_results(spark, d), _pair_decisions(spark, d)).select("result_id")
+
+
+@query("SELECT block_id, CASE WHEN pos % 5 = 0 THEN 'UNKNOWN_FILE' ELSE path END || '::' || block_id || '::text' AS decision_key FROM blocks")
+def decision_keys(spark: SparkSession, d: str) -> DataFrame:
+    path = F.when(F.col("pos") % 5 == 0, "").otherwise(F.col("path"))
+    return _lines(spark, d).select("block_id", fn.decision_key(path, F.col("block_id"), F.col("block_type")).alias("decision_key"))
+
+
+@query("SELECT block_id AS id, path || '::x' AS path, block_id, 'text' AS block_type FROM blocks WHERE pos % 3 <> 0 UNION ALL SELECT block_id, NULL, NULL, NULL FROM blocks WHERE pos % 3 = 0")
+def parse_decision_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = F.when(F.col("pos") % 3 == 0, F.col("path")).otherwise(F.concat_ws("::", "path", F.lit("x"), "block_id", "block_type"))
+    return _lines(spark, d).select(F.col("block_id").alias("id"), fn.parsed_key(key).alias("k")).select("id", "k.*")
+
+
+@query("SELECT block_id, CASE WHEN length(text) > 80 THEN text[1:80] || '...' ELSE text END AS preview FROM blocks")
+def block_previews(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select("block_id", fn.preview(F.col("raw_text")).alias("preview"))
+
+
+@query("SELECT path, block_id, pos FROM (SELECT path, block_id, pos, row_number() OVER (ORDER BY path, CASE WHEN len(regexp_replace(block_id, '\\D', '', 'g')) > 10 THEN regexp_replace(block_id, '\\D', '', 'g') ELSE lpad(regexp_replace(block_id, '\\D', '', 'g'), 10, '0') END, block_id) AS r FROM blocks) WHERE r <= 100")
+def blocks_in_review_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of a hundred in numeric-aware order."""
+    rows = _lines(spark, d).withColumn("k", fn.sort_key(F.col("path"), F.col("block_id")))
+    return dec.page(rows, ["k", "block_id"], 0, 100).select("path", "block_id", "pos")
+
+
+@query("WITH e AS (SELECT user_id, event_type, max_by(event_id, event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY ALL) SELECT * FROM e")
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "events").select("user_id", "event_type", "event_id", "value", F.col("event_id").alias("_v"))
+    return dec.latest(rows, ["user_id", "event_type"], "_v").drop("_v").select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT block_id, 'delete' AS decision FROM groups WHERE rank > 1 AND decision <> 'delete'")
+def changed_decisions(spark: SparkSession, d: str) -> DataFrame:
+    decided = _decided(spark, d)
+    new = dec.delete_all_but_first(duplicates.exact_groups(decided))
+    return dec.changed(new, decided.select(*duplicates.KEY, "decision")).select("block_id", "decision")
+
+
+_FINAL = """, final AS (SELECT d.*, CASE WHEN d.decision = 'undecided' AND gr.rank = 1 THEN 'keep' WHEN d.decision = 'undecided' AND gr.rank > 1 THEN 'delete' ELSE d.decision END AS new FROM decided d LEFT JOIN (SELECT block_id, rank FROM groups) gr USING (block_id)) """
+
+
+@query(_FINAL + "SELECT replace(path, '.md', '_deduped.md') AS output_path, md5(string_agg(CASE WHEN pos % 4 = 0 THEN '# ' || text WHEN pos % 4 = 1 THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END, chr(10) || chr(10) ORDER BY pos)) AS content_md5 FROM final WHERE new <> 'delete' GROUP BY path")
+def render_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    decided = _decided(spark, d)
+    done = duplicates.applied(decided, duplicates.suggestions(duplicates.exact_groups(decided)))
+    kind = F.when(F.col("pos") % 4 == 0, "heading").when(F.col("pos") % 4 == 1, "code").otherwise("text")
+    return render.render(done.withColumn("block_type", kind)).select("output_path", F.md5("content").alias("content_md5"))
+
+
+@query(_FINAL + "SELECT count(*) AS blocks, count(*) FILTER (new IN ('keep', 'delete')) AS decided, count(*) FILTER (new = 'undecided') AS undecided, (SELECT count(*) FROM groups WHERE rank = 1) AS exact_groups, 0::BIGINT AS similar_pairs FROM final")
+def status_summary(spark: SparkSession, d: str) -> DataFrame:
+    decided = _decided(spark, d)
+    members = duplicates.exact_groups(decided)
+    return dec.status(duplicates.applied(decided, duplicates.suggestions(members)), members, None)
+
+
+@query()
+def merge_code_fragments(spark: SparkSession, d: str) -> DataFrame:
+    place = F.col("pos") % 6
+    raw = F.when(place == 1, F.lit("```python")).when(place == 4, F.lit("```")).otherwise(F.col("text"))
+    kind = F.when(place.isin(1, 2, 3, 4), "code").otherwise("text")
+    return merge.merge_code_blocks(_lines(spark, d).withColumns({"text": raw, "block_type": kind}))
+
+
+@query()
+def simhash_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("block_id"), "text")
+    return simhash.similar(simhash.fingerprints(docs))
