@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 from .common import map_arrow, partitions, table, written
 from .components import components
 
-CELLS, CHUNKS = 1 << 18, 64
-_CACHE = 600_000
+CELLS, CHUNKS = 1 << 20, 64
+#: Bits of the filter that spares sets no pair asks for; it is of one size at any input's, and lets too much through at worst.
+FILTER = 1 << 24
 _U = np.uint64
 
 
@@ -39,88 +40,127 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of 64-bit shingle hashes of texts: sorted, without repeats."""
+    """Sets of 64-bit shingle hashes of texts: sorted, without repeats.
+
+    Words are hashed for many texts at once, as sums over their bytes of a value of the byte times a power of its place.
+    """
 
     def __init__(self, words: int):
         self.n = words
         self.factors = _mixed(np.arange(1, words + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else ()  # of bytes: lowers A-Z, parts at ASCII white space
-        if not words:
-            return np.zeros(0, _U)
-        known = self.known
-        try:
-            h = np.fromiter(map(known.__getitem__, words), _U, len(words))
-        except KeyError:
-            if len(known) > _CACHE:
-                known.clear()
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(known))
-            h = np.fromiter(map(known.__getitem__, words), _U, len(words))
-        n = min(self.n, len(h))
-        m = len(h) - n + 1
-        out = np.full(m, n, _U)
-        for k in range(n):
-            out += h[k : k + m] * self.factors[k]
-        return np.unique(_mixed(out))
+        self.values = _mixed(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+        self.space = np.zeros(257, bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.powers = np.ones(1, _U)
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and start of each word of data, which begins and ends with white space."""
+        raw = np.frombuffer(data, np.uint8)
+        space = self.space[raw]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        if not len(starts):
+            return np.zeros(0, _U), starts
+        if sizes.max() >= len(self.powers):
+            self.powers = np.concatenate([[_U(1)], np.cumprod(np.full(int(sizes.max()) * 2, _U(0xA0761D6478BD642F)))])
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        terms = self.values[raw[~space]] * self.powers[place]
+        return _mixed(np.add.reduceat(terms, first) + sizes.astype(_U)), starts
+
+    def windows(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Each text's shingle hashes, one for each place, in order."""
+        for at in range(0, len(texts), 64):
+            parts = [t.encode().lower() if t else b"" for t in texts[at : at + 64]]  # of bytes: lowers A-Z alone
+            words, starts = self._words(b"\n" + b"\n".join(parts) + b"\n")
+            ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
+            runs = np.full(max(0, len(words) - self.n + 1), self.n, _U)
+            for k in range(self.n if len(runs) else 0):
+                runs += words[k : k + len(runs)] * self.factors[k]
+            runs = _mixed(runs)
+            begin = 0
+            for end in ends.tolist():
+                if end - begin >= self.n:
+                    yield runs[begin : end - self.n + 1]
+                elif end > begin:  # a text of fewer words is one shingle
+                    few = words[begin:end] * self.factors[: end - begin]
+                    yield _mixed(np.array([few.sum(dtype=_U)]) + _U(end - begin))
+                else:
+                    yield words[:0]
+                begin = end
+
+    def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for s in self.windows(texts):
+            s = np.sort(s)
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
 def prefix_length(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1
 
 
-def frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """Counts of shingles by hash cell over all documents: CELLS numbers, whatever the input's size."""
+def _tally(df: DataFrame, mark, size: int, kind, join=np.add) -> np.ndarray:
+    """An array of fixed size gathered over all rows: mark(cells, batch) puts in a batch, join puts tasks' arrays together, by parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, cells = Shingler(words), np.zeros(CELLS, np.int64)
+        cells = np.zeros(size, kind)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(cells, (shingles(text) & _U(CELLS - 1)).astype(np.int64), 1)
-        blobs = [x.tobytes() for x in np.split(cells, CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "cells"])
+            mark(cells, batch)
+        parts = [(k, x) for k, x in enumerate(np.split(cells, CHUNKS)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], ["chunk", "cells"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in group["cells"])
+        total = np.zeros(size // CHUNKS, kind)
+        for x in group["cells"]:
+            join(total, np.frombuffer(x.as_py(), kind), out=total)
         return pa.table({"chunk": group["chunk"][:1], "cells": pa.array([total.tobytes()], pa.binary())})
 
     shape = "chunk int, cells binary"
-    counted = map_arrow(docs.select("text"), count, shape).groupBy("chunk").applyInArrow(add, shape)
-    out = np.zeros((CHUNKS, CELLS // CHUNKS), np.int64)
-    for r in counted.collect():
-        out[r["chunk"]] = np.frombuffer(r["cells"], np.int64)
+    out = np.zeros((CHUNKS, size // CHUNKS), kind)
+    for r in map_arrow(df, count, shape).groupBy("chunk").applyInArrow(add, shape).collect():
+        out[r["chunk"]] = np.frombuffer(r["cells"], kind)
     return out.ravel()
 
 
+def frequencies(docs: DataFrame, words: int) -> np.ndarray:
+    """Counts of shingles by hash cell over all documents: CELLS numbers, whatever the input's size."""
+    shingles = Shingler(words)
+
+    def mark(cells: np.ndarray, batch: pa.RecordBatch) -> None:
+        for s in shingles.windows(batch.column("text").to_pylist()):
+            np.add.at(cells, (s & _U(CELLS - 1)).astype(np.int64), 1)
+
+    return _tally(docs.select("text"), mark, CELLS, np.int32)
+
+
 def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, cls (digest of the set), gid (of prefix and size), prefix of each row of docs."""
+    """doc_id, n, cls (digest of the set), gid (of prefix and size), prefix, and its last shingle in order, of each row."""
     kind = docs.schema["doc_id"].dataType
-    counts = docs.sparkSession.sparkContext.broadcast(frequencies(docs, words))
+    known = docs.sparkSession.sparkContext.broadcast(frequencies(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, order = Shingler(words), counts.value
+        shingles, order = Shingler(words), known.value
         for batch in batches:
-            sizes, digests, groups, prefixes = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text)
+            sizes, digests, groups, prefixes, often, last = [], [], [], [], [], []
+            for s in shingles.sets(batch.column("text").to_pylist()):
                 n = len(s)
                 sizes.append(n)
                 if not n:
-                    digests.append(None)
-                    groups.append(None)
-                    prefixes.append(None)
+                    for column in (digests, groups, prefixes, often, last):
+                        column.append(None)
                     continue
-                first = s[np.argsort(order[(s & _U(CELLS - 1)).astype(np.int64)], kind="stable")[: prefix_length(n, percent)]]
+                counts = order[(s & _U(CELLS - 1)).astype(np.int64)]
+                chosen = np.argsort(counts, kind="stable")[: prefix_length(n, percent)]
+                first = s[chosen]
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 groups.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=n) - (1 << 63))
                 prefixes.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "cls", "gid", "prefix"],
-            )
+                often.append(int(counts[chosen[-1]]))
+                last.append(int(first[-1]) - (1 << 63))
+            columns = ((sizes, pa.int64()), (digests, pa.binary()), (groups, pa.int64()), (prefixes, pa.list_(pa.int64())), (often, pa.int64()), (last, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in columns)], ["doc_id", "n", "cls", "gid", "prefix", "often", "last"])
 
-    shape = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("n bigint, cls binary, gid bigint, prefix array<bigint>").fields])
+    shape = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("n bigint, cls binary, gid bigint, prefix array<bigint>, often bigint, last bigint").fields])
     return map_arrow(docs.select("doc_id", "text"), run, shape)
 
 
@@ -148,17 +188,50 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(r) for r in held], names)
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """cls and its set as sorted longs, once for each class of docs (text)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """cls and its set as sorted longs, once for each class of docs (text) in wanted (cls).
+
+    Texts don't move: each is shingled where it is, and only sets that a filter of fixed size lets through are shuffled.
+    """
+    shingles = Shingler(words)
+
+    def mark(cells: np.ndarray, batch: pa.RecordBatch) -> None:
+        for c in batch.column("cls").to_pylist():
+            k = int.from_bytes(c[:8], "little") % FILTER
+            cells[k >> 3] |= 1 << (k & 7)
+
+    bits = docs.sparkSession.sparkContext.broadcast(_tally(wanted.select("cls").repartition(CHUNKS), mark, FILTER // 8, np.uint8, np.bitwise_or))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
+        cells = bits.value
         for batch in batches:
-            sets = [s for s in map(shingles, batch.column("text").to_pylist()) if len(s)]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "shingles"])
+            digests, sets = [], []
+            for s in shingles.sets(batch.column("text").to_pylist()):
+                if not len(s):
+                    continue
+                c = xxhash.xxh3_128_digest(s.tobytes())
+                k = int.from_bytes(c[:8], "little") % FILTER
+                if cells[k >> 3] >> (k & 7) & 1:
+                    digests.append(c)
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "shingles"])
+
+    return map_arrow(docs.select("text"), run, "cls binary, shingles array<bigint>").dropDuplicates(["cls"]).join(wanted, "cls", "left_semi")
 
-    return map_arrow(docs.select("text"), run, "cls binary, shingles array<bigint>").dropDuplicates(["cls"])
+
+def plausible(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose prefixes alone don't rule them out.
+
+    Of two prefixes, take the one whose last shingle comes first in order: its shingles can only be met in the other's
+    prefix, so the sets share at most those, and what stands after it.
+    """
+    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    known = base.join(need, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", F.struct("often", "last").alias("end"), "prefix")
+    left, right = known.toDF("a", "n_a", "end_a", "p_a"), known.toDF("b", "n_b", "end_b", "p_b")
+    both = pairs.join(right, "b").join(left, "a")
+    rest = F.when(F.col("end_a") <= F.col("end_b"), F.col("n_a") - F.size("p_a")).otherwise(F.col("n_b") - F.size("p_b"))
+    most = F.size(F.array_intersect("p_a", "p_b")) + rest
+    return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +249,7 @@ def _closer(lists: DataFrame, first: int, last: int, percent: int) -> DataFrame:
     hub = rows.where(F.col("place") < last).select("token", *(F.col(c).alias(f"h_{c}") for c in ("cls", "size", "pos", "place", "label")))
     met = rows.join(hub, "token").where((F.col("place") > F.col("h_place")) & (F.col("label") != F.col("h_label")))
     least, most = F.least("size", "h_size"), F.greatest("size", "h_size")
-    rest = 1 + F.least(F.col("size") - F.col("pos"), F.col("h_size") - F.col("h_pos")) - 1
+    rest = F.least(F.col("size") - F.col("pos"), F.col("h_size") - F.col("h_pos"))
     met = met.where((100 * least >= percent * most) & ((100 + percent) * rest >= percent * (F.col("size") + F.col("h_size"))))
     return met.select(F.least("cls", "h_cls").alias("a"), F.greatest("cls", "h_cls").alias("b")).distinct()
 
@@ -201,10 +274,7 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     inner = classes.join(alone, "gid", "left_semi").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "cls", "size", F.lit(0).cast("long").alias("pos"))
     place = F.row_number().over(Window.partitionBy("token").orderBy("pos", "size", "cls")) - 1
     members = written(expanded.unionByName(inner).withColumn("place", place))
-    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("rep")
-    sets = written(sets_of(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]), "left_semi"), words).join(members.select("cls").distinct(), "cls", "left_semi"))
-
-    labels, links, first, width = None, None, 0, 1
+    labels, links, sets, first, width = None, None, None, 0, 1
     longest = (members.agg(F.max("place")).first()[0] or 0) + 1
     while first < longest:
         if labels is None:
@@ -212,12 +282,17 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         else:
             known = labels.select(F.col("node").alias("cls"), "label")
             labelled = members.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        pairs = written(_closer(labelled, first, first + width, percent))
+        pairs = written(plausible(_closer(labelled, first, first + width, percent), base, percent))
         first, width = first + width, width * 2
         if pairs.isEmpty():
             if labelled.where(F.col("place") >= first).groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").isEmpty():
                 break
             continue
+        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        wanted = written(wanted if sets is None else wanted.join(sets, "cls", "left_anti"))
+        if not wanted.isEmpty():
+            more = written(sets_of(docs, wanted, words))
+            sets = more if sets is None else sets.unionByName(more)
         new = written(verified(pairs, sets, percent))
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
