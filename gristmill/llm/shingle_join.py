@@ -8,7 +8,8 @@
    sets).  Pairs of a list that size or position rules out are filtered, the rest verified on the whole sets.
 4. Only which documents are connected is asked, so a list isn't compared all with all: first one hub (the member with the
    fewest rarer shingles) meets the others, then the next two, four, ..., each time only members of other components, until
-   a list's remaining members are connected or have all met.  No pair that could join two components is left out.
+   a list's remaining members are connected or have all met, or few enough meetings are left to hold them all at once.  No
+   pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .components import components
 CELLS, CHUNKS = 1 << 20, 64
 #: Bits of the filter that spares sets no pair asks for; it is of one size at any input's, and lets too much through at worst.
 FILTER = 1 << 24
+#: Meetings for each member of a list up to which lists are finished in one round; it decides on the number of rounds alone.
+LINEAR = 8
 _U = np.uint64
 
 
@@ -275,27 +278,31 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     place = F.row_number().over(Window.partitionBy("token").orderBy("pos", "size", "cls")) - 1
     members = written(expanded.unionByName(inner).withColumn("place", place))
     labels, links, sets, first, width = None, None, None, 0, 1
-    longest = (members.agg(F.max("place")).first()[0] or 0) + 1
+    rows, longest = members.agg(F.count("*"), F.coalesce(F.max("place") + 1, F.lit(0))).first()
     while first < longest:
         if labels is None:
             labelled = members.withColumn("label", F.col("cls"))
         else:
             known = labels.select(F.col("node").alias("cls"), "label")
             labelled = members.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        left = labelled.where(F.col("place") >= first).groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        meetings = left.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        if not meetings:
+            break
+        if meetings <= LINEAR * rows:  # what is left is no more than in proportion: all of it at once
+            width = longest - first
         pairs = written(plausible(_closer(labelled, first, first + width, percent), base, percent))
         first, width = first + width, width * 2
         if pairs.isEmpty():
-            if labelled.where(F.col("place") >= first).groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").isEmpty():
-                break
             continue
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         wanted = written(wanted if sets is None else wanted.join(sets, "cls", "left_anti"))
         if not wanted.isEmpty():
             more = written(sets_of(docs, wanted, words))
-            sets = more if sets is None else sets.unionByName(more)
+            sets = more if sets is None else written(sets.unionByName(more))
         new = written(verified(pairs, sets, percent))
         if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
+            links = new if links is None else written(links.unionByName(new))
             labels = components(links)
     if labels is None:
         final = classes.select("cls", F.col("rep").alias("component"))
