@@ -90,13 +90,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, share: float = SHARE
     group = F.pmod(F.xxhash64(F.lit("group"), "vec_id"), F.lit(groups)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     data = rows.select("vec_id", "embedding", block.alias("block"), every(groups).alias("group"))
-    asked = rows.where("asks").select("vec_id", "embedding", every(blocks).alias("block"), group.alias("group"))
+    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), every(blocks).alias("block"), group.alias("group"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             sizes = left["embedding"].map(len)
-            for size, asking in right.groupby(right["embedding"].map(len)):
+            for size, asking in right.groupby(right["query"].map(len)):
                 part = left[sizes == size]
                 if not len(part):
                     continue
@@ -106,7 +106,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, share: float = SHARE
                 norms = np.sqrt((x * x).sum(1))
                 index = Index(x, projections)
                 want = min(len(x), LEAST + k + int(np.ceil(share * len(x))))
-                for q, qid in zip(scaled(asking["embedding"]), asking["vec_id"].to_numpy(), strict=True):
+                for q, qid in zip(scaled(asking["query"]), asking["query_id"].to_numpy(), strict=True):
                     length = np.sqrt((q * q).sum())
                     found = index.candidates(q / length, want)
                     score = (x[found] * q).sum(1) / (norms[found] * length)
