@@ -28,8 +28,9 @@ PER_LANGUAGE, LONGEST = 400, 20_000
 DIMENSIONS = 1 << 17
 LEXICON = 50_000
 _STRIP = re.compile(r"[\W\d_]+").sub
-#: Words that a worker's cache holds before it starts anew, and padded words that are scored at once.
-CACHE, BLOCK = 600_000, 200_000
+#: Words that a worker's cache holds before it starts anew, padded words that are scored at once, words whose features
+#: are held at once, and code points of the texts that are taken apart at once (a longer text alone).
+CACHE, BLOCK, SLICE, CHUNK = 500_000, 200_000, 20_000, 4_000_000
 
 
 def core(token: str) -> str:
@@ -121,15 +122,20 @@ class Model:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = set().union(*documents)
-            self.rows, self.letters = self.rows[:0], self.letters[:0]
         if new:
             new = list(new)
-            words = list(map(core, new))
-            start = len(self.cache)
-            self.cache.update(zip(new, range(start, start + len(new))))
-            rows = _sums(self.weights, [features(w, self.lexicon) for w in words])
-            self.rows = np.concatenate([self.rows, rows]) if start else rows
-            self.letters = np.concatenate([self.letters, np.fromiter(map(bool, words), bool, len(words))])
+            start, end = len(self.cache), len(self.cache) + len(new)
+            self.cache.update(zip(new, range(start, end)))
+            if len(self.rows) < end:
+                rows, letters = self.rows[:start], self.letters[:start]
+                self.rows, self.letters = np.zeros((2 * end, len(self.languages)), np.float32), np.zeros(2 * end, bool)
+                if start:
+                    self.rows[:start], self.letters[:start] = rows, letters
+            for at in range(0, len(new), SLICE):
+                words = list(map(core, new[at : at + SLICE]))
+                to = slice(start + at, start + at + len(words))
+                self.rows[to] = _sums(self.weights, [features(w, self.lexicon) for w in words])
+                self.letters[to] = np.fromiter(map(bool, words), bool, len(words))
         get = self.cache.__getitem__
         return [np.fromiter(map(get, d), np.int64, len(d)) for d in documents]
 
@@ -153,6 +159,19 @@ class Model:
             begin = end
 
 
+    def labelled(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """What marginals() gives for each text with words, a bounded number of texts at a time."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and (end == begin or size + len(texts[end] or "") <= CHUNK):
+                size += len(texts[end] or "")
+                end += 1
+            for k, found, letters in self.marginals([(t or "").split() for t in texts[begin:end]]):
+                yield begin + k, found, letters
+            begin = end
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6, length: int = 60, switch: float = 1 / 15) -> Model:
     """A model of (text, language) rows.  `switch` is the chance that a training sequence changes language at a word."""
     languages = sorted({lang for _, lang in rows})
@@ -250,8 +269,7 @@ def predict(docs: DataFrame, model: Model, segments: bool = False) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             langs, scores, runs = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            documents = [t.split() if t else [] for t in texts]
-            for k, found, letters in m.marginals(documents) if m.languages else ():
+            for k, found, letters in m.labelled(texts) if m.languages else ():
                 if letters.any():
                     mean = found[letters].mean(0, dtype=np.float64)
                     best = int(mean.argmax())
