@@ -30,7 +30,7 @@ LEXICON = 50_000
 _STRIP = re.compile(r"[\W\d_]+").sub
 #: Words that a worker's cache holds before it starts anew, padded words that are scored at once, words whose features
 #: are held at once, and code points of the texts that are taken apart at once (a longer text alone).
-CACHE, BLOCK, SLICE, CHUNK = 500_000, 200_000, 20_000, 4_000_000
+CACHE, BLOCK, SLICE, CHUNK = 300_000, 200_000, 10_000, 2_000_000
 
 
 def core(token: str) -> str:
@@ -39,27 +39,55 @@ def core(token: str) -> str:
     return word if any(map(str.isalpha, word)) else ""
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word of letters; none for the empty word."""
-    if not word:
-        return []
-    w = f"^{word[:40]}$"
-    names = ["w" + word, "x%d" % lexicon.get(word, 0)]
-    names += ["p" + word[:k] for k in (1, 2, 3, 4)]
-    names += ["s" + word[-k:] for k in (1, 2, 3, 4)]
-    names += ["2" + w[i : i + 2] for i in range(len(w) - 1)]
-    names += ["3" + w[i : i + 3] for i in range(len(w) - 2)]
-    return [crc32(n.encode()) % DIMENSIONS for n in names]
-
-
-def _sums(weights: np.ndarray, ids: list[list[int]]) -> np.ndarray:
-    """Emissions of each list of features."""
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+def _hashed(kind: int, *points: np.ndarray) -> np.ndarray:
+    """A feature's place from its kind and code points."""
+    h = np.full(points[0].shape, kind, np.uint64)
+    for p in points:
+        h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return (h & np.uint64(DIMENSIONS - 1)).astype(np.int32)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
+    """Hashed features of each word of letters, one row each, filled up with DIMENSIONS; none for the empty word.
+
+    The word itself, its lexicons, its first and last 1 to 4 letters, and the pairs and triples of letters of its first 40
+    with a mark at either end.
+    """
+    n = len(words)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    heads, tails = [w[:40] for w in words], [w[:-5:-1] for w in words]
+    first = np.array(heads, "U40").view(np.uint32).reshape(n, 40).astype(np.uint64)[:, : max(4, int(sizes.max(initial=0)))]
+    last = np.array(tails, "U4").view(np.uint32).reshape(n, 4).astype(np.uint64)
+    shown = np.minimum(sizes, 40)
+    marked = np.zeros((n, first.shape[1] + 2), np.uint64)
+    marked[:, 0] = ord("^")
+    marked[:, 1:-1] = first
+    marked[np.arange(n), shown + 1] = ord("$")
+    whole = np.fromiter((crc32(w.encode()) for w in words), np.uint64, n)
+    listed = np.fromiter((lexicon.get(w, 0) for w in words), np.uint64, n)
+    columns, valid = [_hashed(1, whole)[:, None], _hashed(2, listed)[:, None]], [np.ones((n, 2), bool)]
+    for kind, letters in ((10, first), (20, last)):
+        for k in (1, 2, 3, 4):
+            columns.append(_hashed(kind + k, *letters.T[:k])[:, None])
+        valid.append(sizes[:, None] >= np.arange(1, 5))
+    for k in (2, 3):
+        width = marked.shape[1] - k + 1
+        columns.append(_hashed(30 + k, *(marked[:, i : i + width] for i in range(k))))
+        valid.append(np.arange(width) <= (shown + 2 - k)[:, None])
+    ids = np.concatenate(columns, axis=1)
+    ids[~(np.concatenate(valid, axis=1) & (sizes > 0)[:, None])] = DIMENSIONS
+    return ids
+
+
+def _sums(weights: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Emissions of each row of features."""
+    there = ids < DIMENSIONS
+    sizes = there.sum(1)
     out = np.zeros((len(ids), weights.shape[1]), np.float32)
     full = np.flatnonzero(sizes)
     if len(full):
-        flat = np.fromiter((f for x in ids for f in x), np.int64, int(sizes.sum()))
-        out[full] = np.add.reduceat(weights[flat], np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0)
+        out[full] = np.add.reduceat(weights[ids[there]], np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0)
     return out
 
 
@@ -131,11 +159,14 @@ class Model:
                 self.rows, self.letters = np.zeros((2 * end, len(self.languages)), np.float32), np.zeros(2 * end, bool)
                 if start:
                     self.rows[:start], self.letters[:start] = rows, letters
-            for at in range(0, len(new), SLICE):
-                words = list(map(core, new[at : at + SLICE]))
-                to = slice(start + at, start + at + len(words))
-                self.rows[to] = _sums(self.weights, [features(w, self.lexicon) for w in words])
-                self.letters[to] = np.fromiter(map(bool, words), bool, len(words))
+            cores = list(map(core, new))
+            words = sorted(set(cores), key=len)  # so that slices need little filling up
+            place = {w: i for i, w in enumerate(words)}
+            found = np.zeros((len(words), len(self.languages)), np.float32)
+            for at in range(0, len(words), SLICE):
+                found[at : at + SLICE] = _sums(self.weights, features(words[at : at + SLICE], self.lexicon))
+            self.rows[start:end] = found[np.fromiter(map(place.__getitem__, cores), np.int64, len(cores))]
+            self.letters[start:end] = np.fromiter(map(bool, cores), bool, len(cores))
         get = self.cache.__getitem__
         return [np.fromiter(map(get, d), np.int64, len(d)) for d in documents]
 
@@ -190,11 +221,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6, length: int
                 lexicon[w] = lexicon.get(w, 0) | 1 << k
     words = sorted(set().union(*counts))
     place = {w: i for i, w in enumerate(words)}
-    ids = [features(w, lexicon) for w in words]
-    width = max(map(len, ids))
-    table_ = np.full((len(words), width), DIMENSIONS)
-    for i, x in enumerate(ids):
-        table_[i, : len(x)] = x
+    table_ = np.sort(features(words, lexicon), axis=1)
+    width = int((table_ < DIMENSIONS).sum(1).max())
+    table_ = table_[:, :width]
     streams = [np.fromiter(map(place.__getitem__, p), np.int64, len(p)) for p in pools]
     n, rng = len(languages), np.random.default_rng(seed)
     total = max(1, min(sum(map(len, streams)), 800_000) // length)
@@ -282,6 +311,7 @@ def predict(docs: DataFrame, model: Model, segments: bool = False) -> DataFrame:
             if segments:
                 columns.append(pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(f.name for f in added)])
+        m.__post_init__()  # the model outlives the task in its worker; what it has cached need not
 
     return map_arrow(docs, run, T.StructType([*docs.schema.fields, *added]))
 
