@@ -17,7 +17,7 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = (*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1))
 #: Entries after which a worker's cache of encoded units starts anew.
-CACHE = 700_000
+CACHE = 500_000
 _CLOSE = re.compile(r"\s\s|\A\s|\s\Z").search
 
 

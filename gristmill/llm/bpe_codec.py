@@ -5,12 +5,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .bpe import codec
-from .common import map_arrow, table
+from .common import map_arrow, slices, table
+
+#: UTF-8 bytes of the texts that are encoded at once (a longer text alone).
+SLICE = 1 << 20
 
 #: The outputs that encode() offers.
 FIELDS = {
@@ -42,21 +46,21 @@ def encode(docs: DataFrame, spec: str, outputs: tuple[str, ...] = ("n_tokens", "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
-        for batch in batches:
+        for part in slices(batches, SLICE):
             rows: dict[str, list] = {k: [] for k in outputs}
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 ids = c.encode(text or "")
                 decoded = c.decode(ids) if "decoded" in rows or "decoded_sha256" in rows else ""
                 for k, out in rows.items():
                     if k == "n_tokens":
                         out.append(ids.count(",") + 1 if ids else 0)
                     elif k == "ids":
-                        out.append(list(map(int, ids.split(","))) if ids else [])
+                        out.append(np.array(ids.split(",") if ids else [], np.int32))
                     elif k == "decoded":
                         out.append(decoded)
                     else:
                         out.append(hashlib.sha256((ids if k == "ids_sha256" else decoded).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[k], FIELDS[k][1]) for k in outputs)], ["doc_id", *outputs])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(rows[k], FIELDS[k][1]) for k in outputs)], ["doc_id", *outputs])
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(k, FIELDS[k][0]) for k in outputs)]
     return map_arrow(docs.select("doc_id", "text"), run, T.StructType(fields))
