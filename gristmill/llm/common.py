@@ -46,7 +46,16 @@ def written(df: DataFrame) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+    frame = spark.read.schema(df.schema).parquet(out)
+    frame.folder = path
+    return frame
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what written() has written, once nothing that is yet to run reads it."""
+    for f in frames:
+        if f is not None and hasattr(f, "folder"):
+            f.folder.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(f.folder, True)
 
 
 def _tidy(run: Callable) -> Callable:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,10 +17,15 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
+        labels, moved = labels.select("node", "label"), labels
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "least").alias("least"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         new = written(step.join(jump, step["least"] == jump["via"]).select("node", F.least("least", "far").alias("label"), (F.least("least", "far") != F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
+        discard(moved)
         if new.where("moved").isEmpty():
+            discard(both)
+            labels = written(new.select("node", "label"))
+            discard(new)
             return labels
+        labels = new

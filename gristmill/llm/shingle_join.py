@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, partitions, table, written
+from .common import discard, map_arrow, partitions, table, written
 from .components import components
 
 CELLS, CHUNKS = 1 << 20, 64
@@ -245,10 +245,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def _closer(lists: DataFrame, first: int, last: int, percent: int) -> DataFrame:
-    """Pairs of a list's members from place `first` to before `last` with later ones of other components."""
-    open_ = lists.where(F.col("place") >= first).groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rows = lists.where(F.col("place") >= first).join(open_, "token", "left_semi")
+def _closer(lists: DataFrame, opened: DataFrame, first: int, last: int, percent: int) -> DataFrame:
+    """Pairs of an open list's members from place `first` to before `last` with later ones of other components."""
+    rows = lists.where(F.col("place") >= first).join(opened, "token", "left_semi")
     hub = rows.where(F.col("place") < last).select("token", *(F.col(c).alias(f"h_{c}") for c in ("cls", "size", "pos", "place", "label")))
     met = rows.join(hub, "token").where((F.col("place") > F.col("h_place")) & (F.col("label") != F.col("h_label")))
     least, most = F.least("size", "h_size"), F.greatest("size", "h_size")
@@ -277,21 +276,25 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     inner = classes.join(alone, "gid", "left_semi").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "cls", "size", F.lit(0).cast("long").alias("pos"))
     place = F.row_number().over(Window.partitionBy("token").orderBy("pos", "size", "cls")) - 1
     members = written(expanded.unionByName(inner).withColumn("place", place))
-    labels, links, sets, first, width = None, None, None, 0, 1
+    discard(lists)
+    labels, links, sets, opened, first, width = None, None, None, None, 0, 1
     rows, longest = members.agg(F.count("*"), F.coalesce(F.max("place") + 1, F.lit(0))).first()
+    labelled = members.withColumn("label", F.col("cls"))
     while first < longest:
-        if labels is None:
-            labelled = members.withColumn("label", F.col("cls"))
-        else:
-            known = labels.select(F.col("node").alias("cls"), "label")
-            labelled = members.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        if labels is not None:  # anew, and only of lists that were still open
+            known = labels.select(F.col("node").alias("cls"), F.col("label").alias("now"))
+            now = labelled.where(F.col("place") >= first).join(opened, "token", "left_semi").join(known, "cls", "left")
+            named = written(now.withColumn("label", F.coalesce("now", "label")).drop("now"))
+            discard(labelled, opened)
+            labelled = named
         left = labelled.where(F.col("place") >= first).groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        meetings = left.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        opened = written(left.select("token", "n"))
+        meetings = opened.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
         if not meetings:
             break
         if meetings <= LINEAR * rows:  # what is left is no more than in proportion: all of it at once
             width = longest - first
-        pairs = written(plausible(_closer(labelled, first, first + width, percent), base, percent))
+        pairs = written(plausible(_closer(labelled, opened, first, first + width, percent), base, percent))
         first, width = first + width, width * 2
         if pairs.isEmpty():
             continue
@@ -299,10 +302,20 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         wanted = written(wanted if sets is None else wanted.join(sets, "cls", "left_anti"))
         if not wanted.isEmpty():
             more = written(sets_of(docs, wanted, words))
-            sets = more if sets is None else written(sets.unionByName(more))
+            if sets is not None:
+                both = written(sets.unionByName(more))
+                discard(sets, more)
+                more = both
+            sets = more
         new = written(verified(pairs, sets, percent))
+        discard(pairs, wanted)
         if not new.isEmpty():
-            links = new if links is None else written(links.unionByName(new))
+            if links is not None:
+                both = written(links.unionByName(new))
+                discard(links, new)
+                new = both
+            links = new
+            discard(labels)
             labels = components(links)
     if labels is None:
         final = classes.select("cls", F.col("rep").alias("component"))
