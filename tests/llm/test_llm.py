@@ -127,6 +127,26 @@ def test_mix(spark, hard, empty):
     assert source_mix.mixed(hard).columns == hard.columns and source_mix.mixed(empty).count() == 0
 
 
+def test_mix_keeps_small_sources(spark):
+    big = spark.range(200).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 200000)").alias("text"), F.format_string("big%02d", F.col("id") % 20).alias("source"))
+    small = spark.range(10).select((F.col("id") + 1000).alias("doc_id"), F.expr("repeat('w ', 11)").alias("text"), F.lit("small").alias("source"))
+    docs = big.unionByName(small)
+    got = source_mix.mix(docs).groupBy("source").agg(F.sum("taken"), F.first("target")).collect()
+    assert len(got) == 21 and all(abs(taken - target) <= 25 for _, taken, target in got)
+
+
+def test_slots_are_counted_as_listed(spark):
+    sources = source_mix.targets(spark.createDataFrame([("a", 5), ("b", 40), ("c", 311), (None, 2000), ("d", 1)], "source string, size long"))
+    for n in (1, 2, 3, 64, 777, 2357):
+        listed = {r["sid"]: r["count"] for r in source_mix.schedule(spark, sources, n).groupBy("sid").count().collect()}
+        counted = {r[0]: r[1] for r in sources.select("sid", source_mix.slots_below("high", n) - source_mix.slots_below("low", n)).collect()}
+        assert {k: v for k, v in counted.items() if v} == listed and sum(listed.values()) == n
+    n = 5_000_000_000
+    far = source_mix.targets(spark.createDataFrame([*((f"s{i:02d}", n // 20) for i in range(20)), *((f"z{k}", k) for k in (300, 1000, 3000, 10_000, 30_000))], "source string, size long"))
+    total = far.agg(F.sum("source_size")).first()[0]
+    assert all(abs(r[1] - r[0]) <= 35 for r in far.select("target", source_mix.slots_below("high", total) - source_mix.slots_below("low", total)).collect())
+
+
 def test_quality(spark, hard, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
