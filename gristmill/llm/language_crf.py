@@ -1,6 +1,7 @@
 """Language identification with a linear-chain conditional random field over words.
 
-A word's features are its prefixes and suffixes, its character n-grams, the word itself and the learned lexicons that it is
+Words are the runs of letters of a text, by white space or without it; a run too long for a word, as in scripts that don't
+part words, is cut into consecutive pieces, each a word here, so that every letter of a text counts.  A word's features are its prefixes and suffixes, its character n-grams, the word itself and the learned lexicons that it is
 in.  Emission weights and transitions are learned together by gradient steps on the log-likelihood of code-switched
 sequences, spliced from documents of known language.  Forward-backward gives every word's label distribution; a document's
 language has the largest mean probability over its words with a letter.
@@ -9,6 +10,7 @@ language has the largest mean probability over its words with a letter.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,16 +29,28 @@ UNDETERMINED = "und"
 PER_LANGUAGE, LONGEST = 400, 20_000
 DIMENSIONS = 1 << 17
 LEXICON = 50_000
-_STRIP = re.compile(r"[\W\d_]+").sub
-#: Words that a worker's cache holds before it starts anew, padded words that are scored at once, words whose features
+_RUNS = re.compile(r"[^\W\d_]+").findall
+#: Letters of the longest word; a longer run is cut into pieces of PIECE letters, about as many as a common word has.
+WIDEST, PIECE = 40, 8
+#: What stands inside a word unseen: soft hyphen, joiner and non-joiner, word joiner.
+_UNSEEN = "\u00ad\u200c\u200d\u2060"
+#: Words (and 32 code points of tokens) that a worker's cache holds before it starts anew, padded words that are scored at once, words whose features
 #: are held at once, and code points of the texts that are taken apart at once (a longer text alone).
 CACHE, BLOCK, SLICE, CHUNK = 300_000, 200_000, 10_000, 2_000_000
 
 
-def core(token: str) -> str:
-    """The token's letters in lower case; empty if it has none."""
-    word = _STRIP("", token).lower()
-    return word if any(map(str.isalpha, word)) else ""
+def pieces(token: str) -> list[str]:
+    """The token's words in lower case: its runs of letters in turn, whole or in pieces; marks on letters are left out."""
+    token = token.lower()
+    if not token.isascii() and not token.isalpha():
+        token = "".join(c for c in token if c not in _UNSEEN and unicodedata.category(c)[0] != "M")
+    out = []
+    for run in _RUNS(token):
+        if len(run) > WIDEST:
+            out += [run[i : i + PIECE] for i in range(0, len(run), PIECE)]
+        else:
+            out.append(run)
+    return [w for w in out if any(map(str.isalpha, w))]
 
 
 def _hashed(kind: int, *points: np.ndarray) -> np.ndarray:
@@ -51,19 +65,18 @@ def _hashed(kind: int, *points: np.ndarray) -> np.ndarray:
 def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """Hashed features of each word of letters, one row each, filled up with DIMENSIONS; none for the empty word.
 
-    The word itself, its lexicons, its first and last 1 to 4 letters, and the pairs and triples of letters of its first 40
-    with a mark at either end.
+    The word (of WIDEST letters at most) itself, its lexicons, its first and last 1 to 4 letters, and its pairs and triples of
+    letters with a mark at either end.
     """
     n = len(words)
     sizes = np.fromiter(map(len, words), np.int64, n)
-    heads, tails = [w[:40] for w in words], [w[:-5:-1] for w in words]
-    first = np.array(heads, "U40").view(np.uint32).reshape(n, 40).astype(np.uint64)[:, : max(4, int(sizes.max(initial=0)))]
+    tails = [w[:-5:-1] for w in words]
+    first = np.array(words, f"U{WIDEST}").view(np.uint32).reshape(n, WIDEST).astype(np.uint64)[:, : max(4, int(sizes.max(initial=0)))]
     last = np.array(tails, "U4").view(np.uint32).reshape(n, 4).astype(np.uint64)
-    shown = np.minimum(sizes, 40)
     marked = np.zeros((n, first.shape[1] + 2), np.uint64)
     marked[:, 0] = ord("^")
     marked[:, 1:-1] = first
-    marked[np.arange(n), shown + 1] = ord("$")
+    marked[np.arange(n), sizes + 1] = ord("$")
     whole = np.fromiter((crc32(w.encode()) for w in words), np.uint64, n)
     listed = np.fromiter((lexicon.get(w, 0) for w in words), np.uint64, n)
     columns, valid = [_hashed(1, whole)[:, None], _hashed(2, listed)[:, None]], [np.ones((n, 2), bool)]
@@ -74,7 +87,7 @@ def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     for k in (2, 3):
         width = marked.shape[1] - k + 1
         columns.append(_hashed(30 + k, *(marked[:, i : i + width] for i in range(k))))
-        valid.append(np.arange(width) <= (shown + 2 - k)[:, None])
+        valid.append(np.arange(width) <= (sizes + 2 - k)[:, None])
     ids = np.concatenate(columns, axis=1)
     ids[~(np.concatenate(valid, axis=1) & (sizes > 0)[:, None])] = DIMENSIONS
     return ids
@@ -136,6 +149,8 @@ class Model:
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((0, 1), np.float32)
         self.letters = np.zeros(0, bool)
+        self.first, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = self.held = 0
 
     def __getstate__(self):
         return self.languages, self.weights, self.transitions, self.lexicon
@@ -144,35 +159,46 @@ class Model:
         self.languages, self.weights, self.transitions, self.lexicon = state
         self.__post_init__()
 
-    def places(self, documents: list[list[str]]) -> list[np.ndarray]:
-        """Each document's tokens as rows of self.rows."""
-        new = set().union(*documents).difference(self.cache) if documents else set()
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = set().union(*documents)
+    def places(self, documents: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Each document's words as rows of self.rows (a token without a letter has one row too), and its tokens' numbers of them."""
+        new = list(set().union(*documents).difference(self.cache)) if documents else []
+        if self.held > CACHE:
+            self.__post_init__()
+            new = list(set().union(*documents))
         if new:
-            new = list(new)
-            start, end = len(self.cache), len(self.cache) + len(new)
-            self.cache.update(zip(new, range(start, end)))
+            start = len(self.cache)
+            self.cache.update(zip(new, range(start, start + len(new))))
+            parts = [pieces(t) or [""] for t in new]
+            counts = np.fromiter(map(len, parts), np.int64, len(parts))
+            begin, end = self.used, self.used + int(counts.sum())
+            self.first = np.concatenate([self.first, begin + np.cumsum(counts) - counts])
+            self.counts = np.concatenate([self.counts, counts])
+            self.used, self.held = end, self.held + end - begin + sum(map(len, new)) // 32
             if len(self.rows) < end:
-                rows, letters = self.rows[:start], self.letters[:start]
+                rows, letters = self.rows[:begin], self.letters[:begin]
                 self.rows, self.letters = np.zeros((2 * end, len(self.languages)), np.float32), np.zeros(2 * end, bool)
-                if start:
-                    self.rows[:start], self.letters[:start] = rows, letters
-            cores = list(map(core, new))
+                if begin:
+                    self.rows[:begin], self.letters[:begin] = rows, letters
+            cores = [w for p in parts for w in p]
             words = sorted(set(cores), key=len)  # so that slices need little filling up
             place = {w: i for i, w in enumerate(words)}
             found = np.zeros((len(words), len(self.languages)), np.float32)
             for at in range(0, len(words), SLICE):
                 found[at : at + SLICE] = _sums(self.weights, features(words[at : at + SLICE], self.lexicon))
-            self.rows[start:end] = found[np.fromiter(map(place.__getitem__, cores), np.int64, len(cores))]
-            self.letters[start:end] = np.fromiter(map(bool, cores), bool, len(cores))
-        get = self.cache.__getitem__
-        return [np.fromiter(map(get, d), np.int64, len(d)) for d in documents]
-
-    def marginals(self, documents: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(place, distributions of its tokens, which tokens have a letter) of each document that has tokens."""
-        places = self.places(documents)
+            self.rows[begin:end] = found[np.fromiter(map(place.__getitem__, cores), np.int64, len(cores))]
+            self.letters[begin:end] = np.fromiter(map(bool, cores), bool, len(cores))
+        get, rows, sizes = self.cache.__getitem__, [], []
+        for d in documents:
+            tokens = np.fromiter(map(get, d), np.int64, len(d))
+            first, counts = self.first[tokens], self.counts[tokens]
+            total = int(counts.sum())
+            rows.append(first if total == len(d) else np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(total))
+            sizes.append(counts)
+        return rows, sizes
+
+    def marginals(self, documents: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, distributions of its words, which words have a letter, words of each token) of each document that has tokens."""
+        places, sizes = self.places(documents)
         order = sorted((k for k, p in enumerate(places) if len(p)), key=lambda k: len(places[k]))
         begin = 0
         while begin < len(order):
@@ -186,11 +212,10 @@ class Model:
                 padded[i, : lengths[i]] = places[k]
             found, _ = forward_backward(self.rows[padded], lengths, self.transitions.astype(np.float32))
             for i, k in enumerate(group):
-                yield k, found[i, : lengths[i]], self.letters[places[k]]
+                yield k, found[i, : lengths[i]], self.letters[places[k]], sizes[k]
             begin = end
 
-
-    def labelled(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def labelled(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """What marginals() gives for each text with words, a bounded number of texts at a time."""
         begin = 0
         while begin < len(texts):
@@ -198,8 +223,8 @@ class Model:
             while end < len(texts) and (end == begin or size + len(texts[end] or "") <= CHUNK):
                 size += len(texts[end] or "")
                 end += 1
-            for k, found, letters in self.marginals([(t or "").split() for t in texts[begin:end]]):
-                yield begin + k, found, letters
+            for k, *found in self.marginals([(t or "").split() for t in texts[begin:end]]):
+                yield begin + k, *found
             begin = end
 
 
@@ -211,7 +236,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6, length: int
     of = {lang: k for k, lang in enumerate(languages)}
     pools: list[list[str]] = [[] for _ in languages]
     for text, lang in rows:
-        pools[of[lang]] += [w for w in map(core, text.split()) if w]
+        pools[of[lang]] += [w for token in text.split() for w in pieces(token)]
     pools = [p or ["a"] for p in pools]
     counts = [Counter(p) for p in pools]
     lexicon: dict[str, int] = {}
@@ -283,7 +308,8 @@ def predict(docs: DataFrame, model: Model, segments: bool = False) -> DataFrame:
 
     A null or empty text, or one without a letter, is 'und' with score 0; so is every text of a model without languages.
     Otherwise score is the mean probability of the predicted language over words with a letter.  With segments: runs of
-    words (start, end, lang; by white space, end exclusive) of one most likely label.  Rows stand alone, repeated or not.
+    tokens (start, end, lang; by white space, end exclusive) of one most likely label, by the mean of a token's words.  Rows
+    stand alone, repeated or not.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -298,13 +324,13 @@ def predict(docs: DataFrame, model: Model, segments: bool = False) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             langs, scores, runs = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            for k, found, letters in m.labelled(texts) if m.languages else ():
+            for k, found, letters, counts in m.labelled(texts) if m.languages else ():
                 if letters.any():
                     mean = found[letters].mean(0, dtype=np.float64)
                     best = int(mean.argmax())
                     langs[k], scores[k] = m.languages[best], min(1.0, float(mean[best] / mean.sum()))
                     if segments:
-                        label = found.argmax(1)
+                        label = np.add.reduceat(found, np.cumsum(counts) - counts, axis=0).argmax(1)
                         cuts = [0, *(np.flatnonzero(label[1:] != label[:-1]) + 1).tolist(), len(label)]
                         runs[k] = [{"start": a, "end": b, "lang": m.languages[label[a]]} for a, b in zip(cuts, cuts[1:])]
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]

@@ -75,6 +75,23 @@ def test_language(spark, hard, empty):
     assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
 
 
+def test_language_without_spaces(spark):
+    rng = random.Random(6)
+    some = lambda letters, n: "".join(rng.choices(letters, k=n))
+    cjk, kana, a, b = "天地人日月山川水火木", "あいうえおかきくけこ", "abcdefgh", "stuvwxyz"
+    rows = [(some(x, 300), x) for x in (cjk, kana) for _ in range(20)] + [(" ".join(some(x, 6) for _ in range(60)), x) for x in (a, b) for _ in range(20)]
+    model = language_crf.fit(rows)
+    hard = [(some(cjk, 50) + some(kana, 3000), kana), (",".join([some(a, 6)] * 8 + [some(b, 6) for _ in range(300)]), b), ("\u200b".join([some(a, 6)] * 8 + [some(b, 6) for _ in range(300)]), b)]
+    hard += [(" ".join(some(a, 6) for _ in range(9)) + " " + some(kana, 4000), kana)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(hard)], "doc_id long, text string, lang string")
+    got = language_crf.predict(docs, model, segments=True).collect()
+    assert [r["lang_pred"] for r in got] == [r["lang"] for r in got] and len(got) == len(hard)
+    assert [(s["start"], s["end"], s["lang"]) for s in max(got, key=lambda r: r["doc_id"])["segments"]] == [(0, 9, a), (9, 10, kana)]
+    for text in ("Été-l'Eau_x9yé\u0301z", "Z" * 99 + "," + "é" * 41, "", "12-3"):
+        words = language_crf.pieces(text)
+        assert "".join(words) == "".join(c for c in text.lower() if c.isalpha()) and all(0 < len(w) <= 40 for w in words)
+
+
 def test_forward_backward_is_exact():
     import itertools
 
