@@ -36,9 +36,19 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: A private key from BEGIN to the next END line; where BEGIN comes again before it, or there is none, over the header and
+#: base64 lines that follow.  Line ends may be written out as \n, as in JSON, and lines may be quoted.  Repeats are
+#: possessive, so that long texts need no stack.
+_NAME, _GAP = r"[A-Z ]{0,40}PRIVATE KEY-----", r"""(?:[\x09-\x0D\x20"'>#*,+]|\\[nrt])"""
+_PEM = (
+    rf"-----BEGIN {_NAME}(?:"
+    rf"(?:[^-]++|-(?!----(?:BEGIN|END) {_NAME}))*+-----END {_NAME}"
+    rf"|(?:{_GAP}*+[A-Z][A-Za-z]*-[A-Za-z-]{{1,40}}: [^\x09-\x0D\x20\\]++)*+"
+    rf"(?:(?:{_GAP}*+(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}|[A-Za-z0-9+/]{{1,15}}={{1,2}}))++(?:(?:[\r\n]|\\[nr])++[A-Za-z0-9+/]{{1,15}}(?=[\r\n\\]|$))?)?)"
+)
 #: Kinds that this scan adds.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),

@@ -272,6 +272,30 @@ def test_secrets(spark, hard, empty, texts):
     assert secret_scan.trigram_query("abcd|xyz") == {frozenset({"abc", "bcd"}), frozenset({"xyz"})}
 
 
+def test_whole_private_keys_are_masked(spark):
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=n))
+    begin, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", [*(line(64) for _ in range(24)), line(30) + "=="]
+    key_ = "\n".join(body)
+    rows = [
+        (f"é a\n{begin}\n{key_}\n{end}\nz b-c", "é a\n[SECRET]\nz b-c"),
+        (f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{key_}\n{end} z", "[SECRET] z"),
+        (f"a {begin}\n{key_}\nplain words follow", "a [SECRET]\nplain words follow"),
+        (f"a {begin}\n{line(64)}\n{line(9)}\nplain words follow", "a [SECRET]\nplain words follow"),
+        (f"a {begin}\nDEK-Info: AES,00\n\n{line(64)}", "a [SECRET]"),
+        ('{"k": "' + begin + "\\n" + "\\n".join(body) + "\\n" + '"}', '{"k": "[SECRET]\\n"}'),
+        (f"{begin}\n{line(64)}\n{begin}\n{key_}\n{end}\n{begin}{key_}{end}.", "[SECRET]\n[SECRET]\n[SECRET]."),
+        (f"the line {begin} opens a key", "the line [SECRET] opens a key"),
+        (f"{begin} " + "a - b " * 100_000, "[SECRET] " + "a - b " * 100_000),
+        (f"{begin}\n" + (line(64) + "\n") * 9000 + end, "[SECRET]"),
+        (f"{begin}\n" + (line(64) + "\n") * 9000 + "end here", "[SECRET]\nend here"),
+    ]
+    docs = spark.createDataFrame([(i, t, 0) for i, (t, _) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+    assert secret_scan.trigram_query(secret_scan.MORE[0].pattern)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
