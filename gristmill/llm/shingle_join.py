@@ -328,11 +328,15 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, one of rows alike in doc_id and text."""
-    kept = similarity_groups(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy(F.lit(0)))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    """One row of docs of each component: of the least doc_id (null last), and of rows alike in that, of the least digest of
+    the text; rows alike in both stand for one another.  Rows without shingles are left out only for rows alike in both."""
+    keyed = docs.withColumn("_digest", F.unhex(F.md5("text")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_digest").alias("digest"))
+    groups = similarity_groups(keyed.select(row.alias("doc_id"), "text"), words, percent)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("_kept"), F.col("doc_id.digest").alias("_text")).distinct()
+    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept"]) & keyed["_digest"].eqNullSafe(kept["_text"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.lit(0)))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,16 @@ def test_deduplicated(spark, hard, empty):
     assert shingle_join.deduplicated(empty).count() == 0
 
 
+def test_deduplicated_by_row(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k, head="w": " ".join([f"{head}{w}" for w in base[:-1]] + [f"y{k}"])
+    rows = [(None, None), (None, ""), (None, ""), (3, near(0)), (None, near(1)), (None, near(2)), *((None, near(k, "n")) for k in range(5)), (7, near(3)), (7, near(0, "s")), (7, near(0, "s")), (8, near(1, "s")), (9, near(0, "r")), (9, near(1, "r"))]
+    got = [tuple(r) for r in shingle_join.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    least = lambda texts: min(texts, key=lambda t: hashlib.md5(t.encode()).digest())
+    want = [(None, None), (None, ""), (3, near(0)), (None, least([near(k, "n") for k in range(5)])), (7, near(0, "s")), (9, least([near(0, "r"), near(1, "r")]))]
+    assert key(got) == key(want)
+
+
 def brute_spans(t):
     out = []
     for kind, (p, g, n) in enumerate(((r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24))):
