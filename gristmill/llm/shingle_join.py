@@ -3,13 +3,16 @@
 1. A fixed-size sketch of shingle frequencies over all documents gives one order of shingles, rare ones first.  It decides
    only how short the lists below are, never which documents link.
 2. A document's prefix is so many of its first shingles that two documents that link must share one.  Documents with the
-   same prefix and set size form one group, and only groups are put into the inverted lists.
-3. Lists of a single group are dropped; the groups of the others are expanded into their classes (documents of equal
-   sets).  Pairs of a list that size or position rules out are filtered, the rest verified on the whole sets.
-4. Only which documents are connected is asked, so a list isn't compared all with all: first one hub (the member with the
-   fewest rarer shingles) meets the others, then the next two, four, ..., each time only members of other components, until
-   a list's remaining members are connected or have all met, or few enough meetings are left to hold them all at once.  No
-   pair that could join two components is left out.
+   same prefix and set size form one group, and only groups are put into the inverted lists, once each.
+3. Pairs of groups that meet in a list are filtered by set size, by the place of the shingle in both prefixes and by the
+   overlap of the prefixes, all known of groups.  A pair is passed over where one of the few shared shingles before this one
+   is common to both, for it has met there already.
+4. Pairs of groups that are left are expanded into pairs of their classes (documents of equal sets), which are verified on
+   the whole sets.
+5. Only which documents are connected is asked, so this runs twice.  At first each list's members meet one of them, its hub,
+   which connects nearly all copies of a text in linear time.  Then all others meet, in lists without the pairs that are in one
+   component already: members of a list's largest component meet those outside it only.  No pair that could join two
+   components is left out.
 """
 
 from __future__ import annotations
@@ -19,18 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_arrow, partitions, table, written
+from .common import discard, map_arrow, table, unused, written
 from .components import components
 
 CELLS, CHUNKS = 1 << 20, 64
 #: Bits of the filter that spares sets no pair asks for; it is of one size at any input's, and lets too much through at worst.
 FILTER = 1 << 24
-#: Meetings for each member of a list up to which lists are finished in one round; it decides on the number of rounds alone.
-LINEAR = 8
+#: Shared shingles before a place that tell whether a pair has met there; any number gives the same links.
+BEFORE = 4
 _U = np.uint64
 
 
@@ -133,7 +136,7 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
         for s in shingles.windows(batch.column("text").to_pylist()):
             np.add.at(cells, (s & _U(CELLS - 1)).astype(np.int64), 1)
 
-    return _tally(docs.select("text"), mark, CELLS, np.int32)
+    return _tally(docs.select("text"), mark, CELLS, np.int64)
 
 
 def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -167,28 +170,54 @@ def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, shape)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those of tokens with two groups or more, each group once.  Holds one row over."""
-    names = ["token", "gid", "size", "pos"]
-    held, held_kept = None, False
-    for batch in batches:
-        rows = [batch.column(c).to_numpy() for c in names]
-        if held is not None:
-            rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
-        if not len(rows[0]):
-            continue
-        new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
-        rows = [r[new] for r in rows]
-        same = rows[0][1:] == rows[0][:-1]
-        keep = np.zeros(len(rows[0]), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= held_kept
-        held, held_kept = [r[-1:] for r in rows], bool(keep[-1])
-        keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], names)
-    if held is not None and held_kept:
-        yield pa.RecordBatch.from_arrays([pa.array(r) for r in held], names)
+def inverted(groups: DataFrame) -> DataFrame:
+    """token, gid, size, pos, before of each group (gid, size, prefix) in each list of two groups or more.
+
+    pos is the token's place in the prefix; before has the last BEFORE tokens earlier in it that are in such lists too.
+    """
+    postings = groups.select("gid", "size", F.posexplode("prefix").alias("pos", "token"))
+    several = postings.groupBy("token").count().where("count > 1").select("token")
+    own = Window.partitionBy("gid").orderBy("pos")
+    before = F.array_compact(F.array(*(F.lag("token", k).over(own) for k in range(1, BEFORE + 1))))
+    return postings.join(several, "token").withColumn("before", before)
+
+
+def _near(left: str, right: str, percent: int) -> Column:
+    """Whether size and place of a shared token leave a chance, and no earlier token is known to be shared."""
+    x, y = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
+    least, most = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
+    rest = F.least(x("size") - x("pos"), y("size") - y("pos"))
+    return (100 * least >= percent * most) & ((100 + percent) * rest >= percent * (x("size") + y("size"))) & ~F.arrays_overlap(x("before"), y("before"))
+
+
+def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (ga, gb) of groups: ga the first by place in one of the lists, gb another of it."""
+    hubs = lists.groupBy("token").agg(F.min(F.struct("pos", "size", "gid", "before")).alias("hub")).select("token", "hub.*")
+    met = lists.alias("l").join(hubs.alias("h"), (F.col("l.token") == F.col("h.token")) & (F.col("l.gid") != F.col("h.gid")) & _near("l", "h", percent))
+    return met.select(F.col("h.gid").alias("ga"), F.col("l.gid").alias("gb")).distinct()
+
+
+def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (ga, gb) of groups that meet in a list and aren't in one component as a whole.
+
+    labels: gid, label (null: the group's classes are in several components).
+    """
+    named = written(lists.join(labels, "gid"))
+    counts = named.groupBy("token", "label").agg(F.count("*").alias("n"))
+    # a null label is never the main one, and leaves its list open
+    main = F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label")))["label"]
+    lists_ = counts.groupBy("token").agg(main.alias("main"), F.count("*").alias("labels"), F.max(F.col("label").isNull()).alias("torn"))
+    rows = named.join(lists_.where("labels > 1 OR torn").select("token", "main"), "token")
+    rows = rows.withColumn("inside", F.coalesce(F.col("label") == F.col("main"), F.lit(False))).drop("main")
+    # sizes in proportion percent : 100 or closer are in the same band or in neighbouring ones
+    rows = written(rows.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("size")))
+    outside = rows.where("NOT inside").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    once = F.col("b.inside") | (F.struct("a.size", "a.gid") < F.struct("b.size", "b.gid"))
+    apart = ~F.coalesce(F.col("a.label") == F.col("b.label"), F.lit(False))
+    met = outside.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & once & apart & _near("a", "b", percent))
+    pairs = written(met.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct())
+    discard(named, rows)
+    return pairs
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -222,19 +251,25 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs.select("text"), run, "cls binary, shingles array<bigint>").dropDuplicates(["cls"]).join(wanted, "cls", "left_semi")
 
 
-def plausible(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose prefixes alone don't rule them out.
+def plausible(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs (ga, gb) of groups whose prefixes alone don't rule them out.
 
     Of two prefixes, take the one whose last shingle comes first in order: its shingles can only be met in the other's
     prefix, so the sets share at most those, and what stands after it.
     """
-    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    known = base.join(need, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", F.struct("often", "last").alias("end"), "prefix")
-    left, right = known.toDF("a", "n_a", "end_a", "p_a"), known.toDF("b", "n_b", "end_b", "p_b")
-    both = pairs.join(right, "b").join(left, "a")
+    known = groups.select("gid", "size", F.struct("often", "last").alias("end"), "prefix")
+    left, right = known.toDF("ga", "n_a", "end_a", "p_a"), known.toDF("gb", "n_b", "end_b", "p_b")
+    both = pairs.join(right, "gb").join(left, "ga")
     rest = F.when(F.col("end_a") <= F.col("end_b"), F.col("n_a") - F.size("p_a")).otherwise(F.col("n_b") - F.size("p_b"))
     most = F.size(F.array_intersect("p_a", "p_b")) + rest
-    return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("ga", "gb")
+
+
+def expanded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the classes (cls, gid, label) of the groups of each pair (ga, gb) that are in different components."""
+    known = classes.select("gid", "cls", "label")
+    both = pairs.join(known.toDF("gb", "b", "label_b"), "gb").join(known.toDF("ga", "a", "label_a"), "ga")
+    return both.where("label_a <> label_b").select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,15 +280,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def _closer(lists: DataFrame, opened: DataFrame, first: int, last: int, percent: int) -> DataFrame:
-    """Pairs of an open list's members from place `first` to before `last` with later ones of other components."""
-    rows = lists.where(F.col("place") >= first).join(opened, "token", "left_semi")
-    hub = rows.where(F.col("place") < last).select("token", *(F.col(c).alias(f"h_{c}") for c in ("cls", "size", "pos", "place", "label")))
-    met = rows.join(hub, "token").where((F.col("place") > F.col("h_place")) & (F.col("label") != F.col("h_label")))
-    least, most = F.least("size", "h_size"), F.greatest("size", "h_size")
-    rest = F.least(F.col("size") - F.col("pos"), F.col("h_size") - F.col("h_pos"))
-    met = met.where((100 * least >= percent * most) & ((100 + percent) * rest >= percent * (F.col("size") + F.col("h_size"))))
-    return met.select(F.least("cls", "h_cls").alias("a"), F.greatest("cls", "h_cls").alias("b")).distinct()
+def linked(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes that link, and the sets of all classes asked for so far (known: those of earlier calls)."""
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = written(wanted if known is None else wanted.join(known, "cls", "left_anti"))
+    new = written(sets_of(docs, wanted, words))
+    links = written(verified(pairs, new if known is None else known.unionByName(new), percent))
+    discard(wanted)
+    return links, new
 
 
 def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -262,81 +296,57 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of `words`-word shingles (a text of fewer words is
     one shingle).  component_id is the least doc_id that links reach.  A null or empty text, or one of white space, has an
     empty set, links with nothing and is a component of its own.  Rows of a null doc_id take part, and keep a null
-    component_id only if no row with an id is reached.  Repeated rows are returned as often as they came.
+    component_id only if no row with an id is reached.  Repeated rows are returned as often as they came; no rows give no
+    rows.  Texts of any length are taken whole.
     """
-    spark = docs.sparkSession
     base = written(sketched(docs, words, percent))
-    classes = base.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("size"))
-    classes = written(classes)
-    postings = base.where("n > 0").select("gid", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "size", F.col("pos").cast("long").alias("pos"))
-    sorted_ = postings.repartition(partitions(spark), "token").sortWithinPartitions("token", "pos", "gid")
-    lists = written(map_arrow(sorted_, _shared, "token bigint, gid bigint, size bigint, pos bigint"))
-    expanded = lists.join(classes.select("gid", "cls"), "gid").select("token", "cls", "size", "pos")
-    alone = classes.groupBy("gid").count().where("count > 1").select("gid")
-    inner = classes.join(alone, "gid", "left_semi").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "cls", "size", F.lit(0).cast("long").alias("pos"))
-    place = F.row_number().over(Window.partitionBy("token").orderBy("pos", "size", "cls")) - 1
-    members = written(expanded.unionByName(inner).withColumn("place", place))
-    discard(lists)
-    labels, links, sets, opened, first, width = None, None, None, None, 0, 1
-    rows, longest = members.agg(F.count("*"), F.coalesce(F.max("place") + 1, F.lit(0))).first()
-    labelled = members.withColumn("label", F.col("cls"))
-    while first < longest:
-        if labels is not None:  # anew, and only of lists that were still open
-            known = labels.select(F.col("node").alias("cls"), F.col("label").alias("now"))
-            now = labelled.where(F.col("place") >= first).join(opened, "token", "left_semi").join(known, "cls", "left")
-            named = written(now.withColumn("label", F.coalesce("now", "label")).drop("now"))
-            discard(labelled, opened)
-            labelled = named
-        left = labelled.where(F.col("place") >= first).groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        opened = written(left.select("token", "n"))
-        meetings = opened.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-        if not meetings:
-            break
-        if meetings <= LINEAR * rows:  # what is left is no more than in proportion: all of it at once
-            width = longest - first
-        pairs = written(plausible(_closer(labelled, opened, first, first + width, percent), base, percent))
-        first, width = first + width, width * 2
-        if pairs.isEmpty():
-            continue
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = written(wanted if sets is None else wanted.join(sets, "cls", "left_anti"))
-        if not wanted.isEmpty():
-            more = written(sets_of(docs, wanted, words))
-            if sets is not None:
-                both = written(sets.unionByName(more))
-                discard(sets, more)
-                more = both
-            sets = more
-        new = written(verified(pairs, sets, percent))
-        discard(pairs, wanted)
-        if not new.isEmpty():
-            if links is not None:
-                both = written(links.unionByName(new))
-                discard(links, new)
-                new = both
-            links = new
-            discard(labels)
-            labels = components(links)
-    if labels is None:
-        final = classes.select("cls", F.col("rep").alias("component"))
-    else:
-        named = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        least = named.groupBy("label").agg(F.min("rep").alias("component"))
-        final = named.join(least, "label").select("cls", "component")
-    whole = base.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(final, "cls", "left")
+    there = base.where("n > 0")
+    classes = written(there.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")))
+    groups = written(there.groupBy("gid").agg(F.first(F.struct(F.col("n").alias("size"), "often", "last", "prefix")).alias("g")).select("gid", "g.*"))
+    lists = written(inverted(groups))
+    within = classes.groupBy("gid").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("gid", "a")
+    within = classes.join(within, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
+    single = classes.select("cls", "gid", F.col("cls").alias("label"))
+    pairs = written(expanded(plausible(hub_pairs(lists, percent), groups, percent), single).unionByName(within))
+    links, sets = linked(docs, pairs, None, words, percent)
+    discard(pairs)
+
+    first = components(links)
+    named = written(classes.join(first.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")))
+    of_groups = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
+    rest = expanded(plausible(open_pairs(lists, of_groups, percent), groups, percent), named)
+    left, right = named.toDF("a", "rep_a", "gid", "label_a"), named.toDF("b", "rep_b", "gid", "label_b")
+    within = left.join(right, "gid").where("a < b AND label_a <> label_b").select("a", "b")
+    pairs = written(rest.unionByName(within))
+    more, last_sets = linked(docs, pairs, sets, words, percent)
+    discard(pairs, sets, last_sets, lists, groups)
+    # links between components, named by their labels, join them
+    nodes = named.select("cls", "label")
+    joins = more.join(nodes.toDF("a", "label_a"), "a").join(nodes.toDF("b", "label_b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    second = components(joins)
+    final = written(named.join(second.toDF("label", "now"), "label", "left").select("cls", "rep", F.coalesce("now", "label").alias("label")))
+    least = final.groupBy("label").agg(F.min("rep").alias("component"))
+    component = final.join(least, "label").select("cls", "component")
+    whole = base.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(component, "cls", "left")
+    discard(links, more, first, second, named, classes)
     return whole.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs of each component: of the least doc_id (null last), and of rows alike in that, of the least digest of
-    the text; rows alike in both stand for one another.  Rows without shingles are left out only for rows alike in both."""
-    keyed = docs.withColumn("_digest", F.unhex(F.md5("text")))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_digest").alias("digest"))
+    """One row of docs (doc_id, text; other columns pass through, whatever their names) of each component.
+
+    That is the row of the least doc_id (null last), and of rows alike in that, of the least digest of the text; rows alike
+    in both stand for one another, and one of them stays.  A row without shingles (null or empty text) is left out only for
+    rows alike in both.  No rows give no rows.
+    """
+    digest, key = unused(docs, "digest"), unused(docs, "key")
+    keyed = docs.withColumn(digest, F.unhex(F.md5("text")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(digest).alias("digest"))
     groups = similarity_groups(keyed.select(row.alias("doc_id"), "text"), words, percent)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("_kept"), F.col("doc_id.digest").alias("_text")).distinct()
-    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept"]) & keyed["_digest"].eqNullSafe(kept["_text"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.lit(0)))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_digest")
+    of = lambda id_, d: F.concat(F.coalesce(F.hex(d), F.lit("-")), F.lit(" "), F.coalesce(id_.cast("string"), F.lit("-")))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(of(F.col("doc_id.id"), F.col("doc_id.digest")).alias(key))
+    rows = keyed.withColumn(key, of(F.col("doc_id"), F.col(digest)))
+    return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,3 +316,29 @@ def test_pipeline(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, c in brute_groups(rows, 5, 80) if d == c)
     assert corpus_pipeline.run(spark, D).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_deduplicated_keeps_clashing_columns(spark):
+    shape = "doc_id long, text string, _nth string, _digest string, digest string, key string"
+    rows = [(1, "a b c d e f", "n", "d", "x", "k"), (1, "a b c d e f", "n", "d", "x", "k"), (2, "a b c d e f", "m", "e", "y", "l"), (None, None, "o", "f", "z", "m"), (None, None, "o", "f", "z", "m"), (5, "", "p", "g", "w", "n")]
+    got = shingle_join.deduplicated(spark.createDataFrame(rows, shape))
+    assert got.columns == [c.strip().split()[0] for c in shape.split(",")] and key(tuple(r) for r in got.collect()) == key({rows[0], rows[3], rows[5]})
+
+
+def test_shingle_join_lists_with_many_components(spark):
+    """One rare passage in many otherwise different texts, copies of a text each with its own change, and a chain."""
+    rng, rows = random.Random(12), []
+    passage = [f"p{i}" for i in range(40)]
+    rows += [(k, " ".join(passage + [f"a{k}x{i}" for i in range(8 + k % 5)])) for k in range(60)]
+    base = [f"b{i}" for i in range(80)]
+    for k in range(60):
+        words = list(base)
+        words[rng.randrange(80)] = f"c{k}"
+        rows.append((100 + k, " ".join(words)))
+    chain = [f"d{i}" for i in range(70)]
+    for k in range(40):
+        chain[k] = f"e{k}"
+        rows.append((200 + k, " ".join(chain)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, percent in ((3, 90), (5, 80), (1, 100)):
+        assert key(tuple(r) for r in shingle_join.similarity_groups(docs, n, percent).collect()) == key(brute_groups(rows, n, percent))
