@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, one of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session; one of our own where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
         base = sc._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
@@ -60,10 +62,15 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame | None) -> None:
-    """Deletes what written() has written, once nothing that is yet to run reads it."""
-    for f in frames:
-        if f is not None and hasattr(f, "folder"):
-            f.folder.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(f.folder, True)
+    """Deletes what written() has written, once nothing that is yet to run reads it.
+
+    Executors keep the shuffle files of finished plans until the driver collects its garbage, so that is done here too.
+    """
+    gone = [f for f in frames if f is not None and hasattr(f, "folder")]
+    for f in gone:
+        f.folder.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(f.folder, True)
+    if gone:
+        gone[0].sparkSession._jvm.System.gc()
 
 
 def _tidy(run: Callable) -> Callable:

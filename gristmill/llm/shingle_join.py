@@ -32,8 +32,6 @@ from .components import components
 CELLS, CHUNKS = 1 << 20, 64
 #: Bits of the filter that spares sets no pair asks for; it is of one size at any input's, and lets too much through at worst.
 FILTER = 1 << 24
-#: Shared shingles before a place that tell whether a pair has met there; any number gives the same links.
-BEFORE = 4
 _U = np.uint64
 
 
@@ -170,53 +168,62 @@ def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, shape)
 
 
-def inverted(groups: DataFrame) -> DataFrame:
-    """token, gid, size, pos, before of each group (gid, size, prefix) in each list of two groups or more.
+def shared(groups: DataFrame) -> DataFrame:
+    """gid, size, end (often, last) and tokens of each group (gid, size, often, last, prefix) that has any.
 
-    pos is the token's place in the prefix; before has the last BEFORE tokens earlier in it that are in such lists too.
+    tokens: pos and token of each shingle of its prefix that another group's prefix has too, by place.
     """
-    postings = groups.select("gid", "size", F.posexplode("prefix").alias("pos", "token"))
+    postings = groups.select("gid", F.posexplode("prefix").alias("pos", "token"))
     several = postings.groupBy("token").count().where("count > 1").select("token")
-    own = Window.partitionBy("gid").orderBy("pos")
-    before = F.array_compact(F.array(*(F.lag("token", k).over(own) for k in range(1, BEFORE + 1))))
-    return postings.join(several, "token").withColumn("before", before)
+    tokens = postings.join(several, "token").groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("tokens"))
+    return groups.select("gid", "size", F.struct("often", "last").alias("end")).join(tokens, "gid")
 
 
-def _near(left: str, right: str, percent: int) -> Column:
-    """Whether size and place of a shared token leave a chance, and no earlier token is known to be shared."""
-    x, y = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
-    least, most = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
-    rest = F.least(x("size") - x("pos"), y("size") - y("pos"))
-    return (100 * least >= percent * most) & ((100 + percent) * rest >= percent * (x("size") + y("size"))) & ~F.arrays_overlap(x("before"), y("before"))
+def listed(lists: DataFrame, *more: str) -> DataFrame:
+    """gid, size and more of each group of shared(), once for each of its tokens, with pos, token and the tokens before, if any, as p1 and p2."""
+    at = lambda k: F.when(F.col("i") >= k, F.element_at("tokens", F.greatest(F.col("i") - (k - 1), F.lit(1)))["token"])
+    rows = lists.select("gid", "size", *more, "tokens", F.posexplode(F.col("tokens.pos")).alias("i", "pos"))
+    return rows.select("gid", "size", *more, "pos", F.element_at("tokens", F.col("i") + 1)["token"].alias("token"), at(1).alias("p1"), at(2).alias("p2"))
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and places of a token that both have leave a chance."""
+    least, most = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    rest = F.least(F.col(f"{x}.size") - F.col(f"{x}.pos"), F.col(f"{y}.size") - F.col(f"{y}.pos"))
+    return (100 * least >= percent * most) & ((100 + percent) * rest >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size")))
 
 
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (ga, gb) of groups: ga the first by place in one of the lists, gb another of it."""
-    hubs = lists.groupBy("token").agg(F.min(F.struct("pos", "size", "gid", "before")).alias("hub")).select("token", "hub.*")
-    met = lists.alias("l").join(hubs.alias("h"), (F.col("l.token") == F.col("h.token")) & (F.col("l.gid") != F.col("h.gid")) & _near("l", "h", percent))
+    rows = listed(lists).select("token", "gid", "size", "pos")
+    hubs = rows.groupBy("token").agg(F.min(F.struct("pos", "size", "gid")).alias("hub")).select("token", "hub.*")
+    met = rows.alias("l").join(hubs.alias("h"), (F.col("l.token") == F.col("h.token")) & (F.col("l.gid") != F.col("h.gid")) & _near("l", "h", percent))
     return met.select(F.col("h.gid").alias("ga"), F.col("l.gid").alias("gb")).distinct()
 
 
 def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (ga, gb) of groups that meet in a list and aren't in one component as a whole.
 
-    labels: gid, label (null: the group's classes are in several components).
+    labels: gid, label (null: the group's classes are in several components).  A pair that has met at one of the two tokens
+    before is passed over; the first token of both is never such a one.
     """
-    named = written(lists.join(labels, "gid"))
+    named = listed(lists.join(labels, "gid"), "label")
     counts = named.groupBy("token", "label").agg(F.count("*").alias("n"))
     # a null label is never the main one, and leaves its list open
     main = F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label")))["label"]
-    lists_ = counts.groupBy("token").agg(main.alias("main"), F.count("*").alias("labels"), F.max(F.col("label").isNull()).alias("torn"))
-    rows = named.join(lists_.where("labels > 1 OR torn").select("token", "main"), "token")
+    opened = counts.groupBy("token").agg(main.alias("main"), F.count("*").alias("labels"), F.max(F.col("label").isNull()).alias("torn"))
+    rows = named.join(opened.where("labels > 1 OR torn").select("token", "main"), "token")
     rows = rows.withColumn("inside", F.coalesce(F.col("label") == F.col("main"), F.lit(False))).drop("main")
     # sizes in proportion percent : 100 or closer are in the same band or in neighbouring ones
-    rows = written(rows.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("size")))
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("size")
+    rows = written(rows.withColumn("band", band))
     outside = rows.where("NOT inside").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     once = F.col("b.inside") | (F.struct("a.size", "a.gid") < F.struct("b.size", "b.gid"))
     apart = ~F.coalesce(F.col("a.label") == F.col("b.label"), F.lit(False))
-    met = outside.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & once & apart & _near("a", "b", percent))
+    before = F.coalesce(F.col("a.p1").isin(F.col("b.p1"), F.col("b.p2")), F.lit(False)) | F.coalesce(F.col("a.p2").isin(F.col("b.p1"), F.col("b.p2")), F.lit(False))
+    met = outside.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & once & apart & ~before & _near("a", "b", percent))
     pairs = written(met.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct())
-    discard(named, rows)
+    discard(rows)
     return pairs
 
 
@@ -251,17 +258,18 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs.select("text"), run, "cls binary, shingles array<bigint>").dropDuplicates(["cls"]).join(wanted, "cls", "left_semi")
 
 
-def plausible(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def plausible(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """The pairs (ga, gb) of groups whose prefixes alone don't rule them out.
 
     Of two prefixes, take the one whose last shingle comes first in order: its shingles can only be met in the other's
     prefix, so the sets share at most those, and what stands after it.
     """
-    known = groups.select("gid", "size", F.struct("often", "last").alias("end"), "prefix")
-    left, right = known.toDF("ga", "n_a", "end_a", "p_a"), known.toDF("gb", "n_b", "end_b", "p_b")
+    known = lists.select("gid", "size", "end", F.col("tokens.token"))
+    left, right = known.toDF("ga", "n_a", "end_a", "t_a"), known.toDF("gb", "n_b", "end_b", "t_b")
     both = pairs.join(right, "gb").join(left, "ga")
-    rest = F.when(F.col("end_a") <= F.col("end_b"), F.col("n_a") - F.size("p_a")).otherwise(F.col("n_b") - F.size("p_b"))
-    most = F.size(F.array_intersect("p_a", "p_b")) + rest
+    after = lambda n: F.ceil(F.col(n) * percent / 100) - 1  # noqa: E731  a set's size without its prefix
+    rest = F.when(F.col("end_a") <= F.col("end_b"), after("n_a")).otherwise(after("n_b"))
+    most = F.size(F.array_intersect("t_a", "t_b")) + rest
     return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("ga", "gb")
 
 
@@ -299,27 +307,30 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     component_id only if no row with an id is reached.  Repeated rows are returned as often as they came; no rows give no
     rows.  Texts of any length are taken whole.
     """
-    base = written(sketched(docs, words, percent))
-    there = base.where("n > 0")
-    classes = written(there.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")))
+    whole = written(sketched(docs, words, percent))
+    there = whole.where("n > 0")
     groups = written(there.groupBy("gid").agg(F.first(F.struct(F.col("n").alias("size"), "often", "last", "prefix")).alias("g")).select("gid", "g.*"))
-    lists = written(inverted(groups))
+    base = written(whole.select("doc_id", "n", "cls", "gid"))
+    discard(whole)
+    classes = written(base.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")))
+    lists = written(shared(groups))
+    discard(groups)
     within = classes.groupBy("gid").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("gid", "a")
     within = classes.join(within, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
     single = classes.select("cls", "gid", F.col("cls").alias("label"))
-    pairs = written(expanded(plausible(hub_pairs(lists, percent), groups, percent), single).unionByName(within))
+    pairs = written(expanded(plausible(hub_pairs(lists, percent), lists, percent), single).unionByName(within))
     links, sets = linked(docs, pairs, None, words, percent)
     discard(pairs)
 
     first = components(links)
     named = written(classes.join(first.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-    of_groups = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
-    rest = expanded(plausible(open_pairs(lists, of_groups, percent), groups, percent), named)
+    of_groups = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).alias("label"))
+    rest = expanded(plausible(open_pairs(lists, of_groups, percent), lists, percent), named)
     left, right = named.toDF("a", "rep_a", "gid", "label_a"), named.toDF("b", "rep_b", "gid", "label_b")
     within = left.join(right, "gid").where("a < b AND label_a <> label_b").select("a", "b")
     pairs = written(rest.unionByName(within))
     more, last_sets = linked(docs, pairs, sets, words, percent)
-    discard(pairs, sets, last_sets, lists, groups)
+    discard(pairs, sets, last_sets, lists)
     # links between components, named by their labels, join them
     nodes = named.select("cls", "label")
     joins = more.join(nodes.toDF("a", "label_a"), "a").join(nodes.toDF("b", "label_b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
@@ -327,9 +338,9 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     final = written(named.join(second.toDF("label", "now"), "label", "left").select("cls", "rep", F.coalesce("now", "label").alias("label")))
     least = final.groupBy("label").agg(F.min("rep").alias("component"))
     component = final.join(least, "label").select("cls", "component")
-    whole = base.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(component, "cls", "left")
+    found = base.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(component, "cls", "left")
     discard(links, more, first, second, named, classes)
-    return whole.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
