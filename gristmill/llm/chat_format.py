@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, let, running, table
 
 ROLE, TEXT, NEXT, END = "<|role|>", "<|text|>", "<|next|>", "<|end|>"
 
@@ -82,21 +82,10 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
             ),
         )
     )
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    spans = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["before"] + p["size"] + p["after"]).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["before"]).alias("start"), (acc["at"] + p["before"] + p["size"]).alias("end")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    steps = lambda ps: F.transform(ps, lambda p: (p["before"] + p["size"] + p["after"]).cast("long"))
+    placed = lambda ps: let(running(steps(ps), lambda x, y: x + y), lambda at: F.transform(ps, lambda p, i: span((at[i] + p["before"]).cast("int"), p)))
+    span = lambda start, p: F.struct(start.alias("start"), (start + p["size"]).alias("end"), p["loss"].alias("loss"))
+    spans = F.transform(F.filter(let(pieces, placed), lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return merged.select("conv_id", F.size("messages").alias("n_messages"), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -113,7 +102,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: F.substr(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])), "")
+    loss = F.array_join(cut(F.col("formatted"), F.col("loss_spans")), "")
     return formatted.withColumn("turns", turns).withColumn("loss_text", unescaped(loss))
 
 

@@ -110,6 +110,42 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(a: Column) -> Column:
+    """The array in turn in about as many parts as each has elements; none of an empty array."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(a))), F.lit(1)).cast("int")
+    parts = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / w).cast("int")), lambda b: F.slice(a, b * w + 1, w)))
+    return F.when(F.size(a) > 0, parts).otherwise(F.slice(F.array(a), 1, 0))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array of longs, what `step` (associative, with 0 neutral) makes of all before it, 0 at the first.
+
+    A running value needs an array that grows, and each growth copies it: so parts of about the square root of the length
+    are run through alone and then set one after the other, and the work grows with the power 1.5 of the length.
+    """
+    zero = F.array(F.lit(0).cast("long"))
+    along = lambda a, of: F.aggregate(a, zero, lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), of(x)))))
+    inner = let(values, lambda a: F.transform(_blocks(a), lambda part: along(part, lambda x: x)))
+    shifted = lambda parts, first: F.transform(parts, lambda p, b: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: step(first[b], x)))
+    return F.flatten(let(inner, lambda parts: let(along(parts, lambda p: F.element_at(p, -1)), lambda first: shifted(parts, first))))
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """The parts of text in `spans` (an array of start, end in code points; sorted, without overlap), in turn.
+
+    To find a place, text is read from its beginning; so it is first cut for about the square root of the spans at a time.
+    """
+    at = lambda s, start, end: F.substr(s, start + 1, end - start)
+    pieces = lambda x: F.transform(_blocks(x["spans"]), lambda g: F.struct(g.alias("g"), at(x["text"], g[0]["start"], F.element_at(g, -1)["end"]).alias("piece")))
+    small = lambda y: F.transform(y["g"], lambda s: at(y["piece"], s["start"] - y["g"][0]["start"], s["end"] - y["g"][0]["start"]))
+    return F.flatten(F.transform(let(F.struct(text.alias("text"), spans.alias("spans")), pieces), small))
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, value: Column, name: str) -> DataFrame:
     """Adds `name`: the sum of `value` over the rows of the same keys that come earlier.
 
