@@ -1,13 +1,16 @@
-"""Secret scans over a trigram index, by DataFrame operations alone.
+"""Secret scans over a trigram inverted index, by DataFrame operations alone.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that every match must contain (lower-cased, so
-that the query also covers rules that ignore case).  The index holds, for each document, which of the rules' trigrams occur
-in it; it is partitioned by document, so postings are intersected where the document is and no text moves.  Only documents
-that satisfy a rule's query are scanned with its expression.  Rules without a mandatory trigram scan every document.
+that the query also covers rules that ignore case): alternatives, each a set of trigrams that must all occur.  The index has a
+row for each trigram of the rules and each text that holds it (a posting; texts go by a digest).  Postings of an
+alternative's trigrams are intersected by counting them for each text, with partial sums; texts that hold all of an
+alternative are the rule's candidates and only they are scanned with its expression.  Rules without a mandatory trigram scan
+every text.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as K
 import re._parser as parser
 from dataclasses import dataclass
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, let, running, table, unused
 
 _WIDEST = 64
 
@@ -120,79 +123,93 @@ def trigram_query(pattern: str) -> frozenset[frozenset[str]] | None:
     return query and frozenset(alt for alt in query if not any(other < alt for other in query))
 
 
-def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds `postings`: which of the rules' trigrams the document has."""
-    grams = sorted({g for r in rules for alt in trigram_query(r.pattern) or () for g in alt})
-    low = F.lower("text")
-    return docs.withColumn("postings", F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams))) if grams else F.array().cast("array<string>"))
+def _any_of(grams: list[str]) -> str:
+    """An expression that finds the trigrams wherever they begin, also inside one another; by first letter, to fail early."""
+    rest: dict[str, list[str]] = {}
+    for g in grams:
+        rest.setdefault(g[0], []).append(g[1:])
+    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(map(re.escape, r))})" for c, r in sorted(rest.items())) + "))"
+
 
+def _key(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
-def _candidate(rule: Rule) -> Column:
-    query = trigram_query(rule.pattern)
-    if query is None:
-        return F.lit(True)
-    every = lambda alt: F.size(F.array_except(F.array(*map(F.lit, sorted(alt))), F.col("postings"))) == 0
-    out = None
-    for alt in sorted(query, key=sorted):
-        out = every(alt) if out is None else out | every(alt)
-    return out
+
+def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """gram, key: the postings of the rules' trigrams, each trigram and digest of a text that holds it once."""
+    grams = sorted({g for r in rules for alt in trigram_query(r.pattern) or () for g in alt})
+    found = F.regexp_extract_all(F.lower("text"), F.lit(_any_of(grams)), F.lit(1)) if grams else F.array().cast("array<string>")
+    return docs.select(_key().alias("key"), F.explode(F.array_distinct(found)).alias("gram")).distinct()
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """key, rules (places in rules, at most so many) of each text whose postings satisfy a rule's query."""
+    alternatives = [(k, alt) for k, r in enumerate(rules) for alt in sorted(trigram_query(r.pattern) or (), key=sorted)]
+    if not alternatives:
+        return postings.groupBy("key").agg(F.collect_set(F.lit(0)).alias("rules")).where("false")
+    of: dict[str, list[int]] = {}
+    for i, (_, alt) in enumerate(alternatives):
+        for g in sorted(alt):
+            of.setdefault(g, []).append(i)
+    every = lambda xs: F.array(*map(F.lit, xs))
+    member = F.create_map(*(c for g, xs in of.items() for c in (F.lit(g), every(xs))))
+    met = postings.select("key", F.explode(F.element_at(member, F.col("gram"))).alias("alt")).groupBy("key", "alt").count()
+    whole = met.where(F.col("count") == F.element_at(every([len(alt) for _, alt in alternatives]), F.col("alt") + 1))
+    return whole.groupBy("key").agg(F.collect_set(F.element_at(every([k for k, _ in alternatives]), F.col("alt") + 1)).alias("rules"))
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _spans(k: int, rule: Rule) -> Column:
-    """Spans of rule k from its matches in _m{k}: the text between matches and the matches, added up in turn."""
+def _spans(k: int, rule: Rule, matches: str) -> Column:
+    """Spans of rule k from its matches: lengths of the text between matches and of the matches, added up."""
 
-    def ok(m: Column) -> Column:
-        return F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least if rule.group else F.lit(True)
+    def placed(gaps: Column) -> Column:
+        sizes = F.transform(matches, lambda m: F.length(m).cast("long"))
+        steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), sizes, lambda g, n: g + n)
+        return let(running(steps, lambda x, y: x + y), lambda before: F.transform(matches, lambda m, i: span(before[i] + gaps[i], m)))
 
-    def add(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + p["hit"]["size"]
-        return F.struct(
-            F.coalesce(end, start).alias("at"),
-            F.when(F.coalesce(p["hit"]["ok"], F.lit(False)), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end")))))
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        )
+    def span(start: Column, m: Column) -> Column:
+        ok = F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least if rule.group else F.lit(True)
+        return F.struct(start.cast("int").alias("start"), F.lit(k).alias("kind"), (start + F.length(m)).cast("int").alias("end"), ok.alias("ok"))
 
-    gaps = F.transform(F.split("text", rule.pattern, -1), lambda x: F.length(x))
-    hits = F.transform(f"_m{k}", lambda m: F.struct(F.length(m).alias("size"), ok(m).alias("ok")))
-    pieces = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")), add, lambda acc: acc["spans"])
+    gaps = F.transform(F.split("text", rule.pattern, -1), lambda x: F.length(x).cast("long"))
+    return F.transform(F.filter(let(gaps, placed), lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds `spans` to docs (text): start, kind (place in rules), end in code points, end exclusive, sorted.
 
     A kind's matches are leftmost and don't overlap; one whose group is too short is dropped but still stands in the way of
-    others.  A null text is empty and has no spans.  Rows are kept one by one, repeated or not; other columns pass through,
-    except that columns of the names postings, spans and _m... or _s... are replaced.
+    others.  A null text is empty and has no spans.  Rows are kept one by one, repeated or not, and texts of any length are
+    scanned whole; other columns pass through, whatever their names, except that one named spans is replaced.  No rows give
+    no rows.
     """
-    out = index(docs.withColumn("text", F.coalesce("text", F.lit(""))), rules)
-    none = F.array().cast("array<string>")
-    out = out.withColumns({f"_m{k}": F.when(_candidate(r), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(none) for k, r in enumerate(rules)})
-    found = {f"_s{k}": F.when(F.size(f"_m{k}") > 0, _spans(k, r)).otherwise(F.array().cast(_SPANS)) for k, r in enumerate(rules)}
-    out = out.withColumns(found)
-    return out.withColumn("spans", F.sort_array(F.concat(*(F.col(f"_s{k}") for k in range(len(rules)))))).drop("postings", *(f"_{x}{k}" for x in "ms" for k in range(len(rules))))
+    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).drop("spans")
+    key, found = unused(docs, "key"), unused(docs, "rules")
+    hits = candidates(index(docs, rules), rules).toDF(key, found)
+    out = docs.withColumn(key, _key()).join(hits, key, "left")
+    none, names = F.array().cast("array<string>"), [unused(docs, f"m{k}") for k in range(len(rules))]
+    asked = lambda k, r: F.lit(True) if trigram_query(r.pattern) is None else F.coalesce(F.array_contains(found, k), F.lit(False))
+    out = out.withColumns({m: F.when(asked(k, r), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(none) for k, (m, r) in enumerate(zip(names, rules, strict=True))})
+    spans = (F.when(F.size(m) > 0, _spans(k, r, m)).otherwise(F.array().cast(_SPANS)) for k, (m, r) in enumerate(zip(names, rules, strict=True)))
+    return out.withColumn("spans", F.sort_array(F.concat(*spans))).select(*docs.columns, "spans")
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by the mask, overlapping ones by one, and n_chars, if there, counted again."""
-    spans = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["parts"])
-            .when((s["start"] == acc["at"]) & (acc["at"] > 0), acc["parts"])
-            .otherwise(F.concat(acc["parts"], F.array(F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))))
-            .alias("parts"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(F.col("text"), acc["at"] + 1)),
-    )
-    out = scan(docs, rules).withColumn("text", F.when(F.size("spans") > 0, spans).otherwise(F.col("text"))).drop("spans")
+    """docs with every secret replaced by the mask, overlapping or touching ones by one, and n_chars, if there, counted again.
+
+    A null text becomes empty and an empty text stays; texts of any length are read whole.  Rows stand alone, repeated or
+    not, and other columns pass through, whatever their names.  No rows give no rows.
+    """
+    own = unused(docs, "own_spans")
+    out = scan(docs.withColumnRenamed("spans", own), rules)
+    ends = F.transform("spans", lambda s: s["end"].cast("long"))
+    clear = lambda reach: F.transform("spans", lambda s, i: F.struct(reach[i].cast("int").alias("start"), s["start"].alias("end")))
+    kept = F.filter(let(running(ends, F.greatest), clear), lambda s: (s["start"] < s["end"]) | (s["start"] == 0) & (s["end"] == 0))
+    tail = F.struct(F.array_max(F.transform("spans", lambda s: s["end"])).alias("start"), F.length("text").alias("end"))
+    text = F.array_join(cut(F.col("text"), F.concat(kept, F.array(tail))), mask)
+    out = out.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).drop("spans").withColumnRenamed(own, "spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
