@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 from .common import map_arrow, table
 
 UNDETERMINED = "und"
-#: Bounds of the labelled sample that a model is fitted on: documents of each language, and code points of a document.
-PER_LANGUAGE, LONGEST = 400, 20_000
+#: Bounds of the labelled sample that a model is fitted on: languages (the most frequent ones), documents of all languages
+#: together (in equal parts) and of one, code points of a document, and words of the spliced training sequences.
+LANGUAGES, DOCUMENTS, PER_LANGUAGE, LONGEST, TRAINED = 100, 8_000, 400, 20_000, 800_000
 DIMENSIONS = 1 << 17
 LEXICON = 50_000
 _RUNS = re.compile(r"[^\W\d_]+").findall
@@ -239,11 +240,13 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6, length: int
         pools[of[lang]] += [w for token in text.split() for w in pieces(token)]
     pools = [p or ["a"] for p in pools]
     counts = [Counter(p) for p in pools]
-    lexicon: dict[str, int] = {}
+    listed: dict[str, list[int]] = {}
     for k, c in enumerate(counts):
-        for w, n in c.most_common(LEXICON // len(languages)):
+        for w, n in c.most_common(max(1, LEXICON // len(languages))):
             if n >= 2:
-                lexicon[w] = lexicon.get(w, 0) | 1 << k
+                listed.setdefault(w, []).append(k)
+    number: dict[tuple[int, ...], int] = {}  # of each set of lexicons, from 1 on
+    lexicon = {w: number.setdefault(tuple(ks), len(number) + 1) for w, ks in listed.items()}
     words = sorted(set().union(*counts))
     place = {w: i for i, w in enumerate(words)}
     table_ = np.sort(features(words, lexicon), axis=1)
@@ -251,7 +254,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6, length: int
     table_ = table_[:, :width]
     streams = [np.fromiter(map(place.__getitem__, p), np.int64, len(p)) for p in pools]
     n, rng = len(languages), np.random.default_rng(seed)
-    total = max(1, min(sum(map(len, streams)), 800_000) // length)
+    total = max(1, min(sum(map(len, streams)), TRAINED) // length)
     labels = np.empty((total, length), np.int64)
     labels[:, 0] = rng.integers(n, size=total)
     for t in range(1, length):
@@ -288,28 +291,34 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6, length: int
     return Model(languages, w.astype(np.float32), a, lexicon)
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> list[tuple[str, str]]:
-    """At most per_language rows (text, lang) of each language, by a hash of doc_id, of texts of at most `longest` points."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST, languages: int = LANGUAGES, documents: int = DOCUMENTS) -> list[tuple[str, str]]:
+    """Rows (text, lang) by a hash of doc_id: of the `languages` most frequent ones, at most per_language of each and `documents` in all.
+
+    Only texts of at most `longest` code points are taken, and no more than about 1.3 times the bound reaches the driver.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text", "lang")
-    shares = {r["lang"]: min(1.0, 1.3 * per_language / r["count"]) for r in usable.groupBy("lang").count().collect()}
-    if not shares:
+    known = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not known:
         return []
-    point = F.pmod(F.xxhash64(F.lit("crf"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    most = max(1, min(per_language, documents // len(known)))
+    shares = {r["lang"]: min(1.0, (1.3 * most + 20) / r["count"]) for r in known}
+    point = F.pmod(F.xxhash64(F.lit("crf"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("lang"))
-    rows = usable.withColumn("point", point).where(F.col("point") < share).collect()
+    rows = usable.where(F.col("lang").isin(*shares)).withColumn("point", point).where(F.col("point") < share).collect()
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["point"], str(r["doc_id"]), r["text"])):
         out.setdefault(r["lang"], []).append((r["text"], r["lang"]))
-    return [x for rows in out.values() for x in rows[:per_language]]
+    return [x for rows in out.values() for x in rows[:most]]
 
 
 def predict(docs: DataFrame, model: Model, segments: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score of each row of docs (doc_id, text), and its other columns but for those names.
+    """docs (text and other columns) with lang_pred and score, replacing columns of those names; no rows give no rows.
 
     A null or empty text, or one without a letter, is 'und' with score 0; so is every text of a model without languages.
     Otherwise score is the mean probability of the predicted language over words with a letter.  With segments: runs of
     tokens (start, end, lang; by white space, end exclusive) of one most likely label, by the mean of a token's words.  Rows
-    stand alone, repeated or not.
+    stand alone, repeated or not, and every letter of a text of any length counts.  Of two languages equally likely, the
+    first in order is predicted.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
