@@ -1,7 +1,7 @@
 """Quality scores by voting of nearest labelled neighbours in a latent-semantic space.
 
-A text's terms (words and their shapes) are hashed, weighted by log frequency and inverse document frequency, and projected
-on the leading right singular vectors of a bounded labelled sample.  The sample's vectors are broadcast; every document's
+A text's terms (words and their shapes) are hashed, weighted by log frequency and inverse document frequency (counted over
+all documents), and projected on the leading right singular vectors of a bounded labelled sample.  The sample's vectors are broadcast; every document's
 cosine to all of them is computed exactly, block by block, and its nearest neighbours vote with a power of theirs.
 """
 
@@ -32,7 +32,7 @@ def terms(token: str) -> tuple[int, int]:
     shape = token
     for pattern, sign in _SHAPE:
         shape = pattern.sub(sign, shape)
-    return crc32(b"w" + token.lower().encode()) % TERMS, crc32(b"s" + shape[:12].encode()) % TERMS
+    return crc32(b"w" + token.lower().encode()) % TERMS, crc32(b"s" + shape.encode()) % TERMS
 
 
 class Counter:
@@ -41,16 +41,23 @@ class Counter:
     def __init__(self):
         self.cache: dict[str, tuple[int, int]] = {}
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and log-scaled counts, the words' and the shapes' each of unit length."""
-        tokens, cache = text.split(), self.cache
+    def hashed(self, tokens) -> list[tuple[int, int]]:
+        cache = self.cache
         new = set(tokens).difference(cache)
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = set(tokens)
         for t in new:
             cache[t] = terms(t)
-        found = list(map(cache.__getitem__, tokens))
+        return list(map(cache.__getitem__, tokens))
+
+    def terms(self, text: str) -> np.ndarray:
+        """The terms that occur, each once."""
+        return np.unique(np.array(self.hashed(set(text.split())), np.int64))
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and log-scaled counts, the words' and the shapes' each of unit length."""
+        found = self.hashed(text.split())
         ids, counts = [], []
         for k in (0, 1):
             x, n = np.unique(np.fromiter((f[k] for f in found), np.int64, len(found)), return_counts=True)
@@ -78,24 +85,43 @@ class Model:
         return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
     def vote(self, latent: np.ndarray) -> np.ndarray:
-        """Score of each vector; equal vectors score alike, for the vote has the neighbours' cosines alone and in order."""
+        """Score of each vector: the labels' mean, weighted by a power of the cosine, over its NEIGHBOURS nearest and all that tie with the last."""
         out = np.full(len(latent), self.prior)
         if not len(self.vectors):
             return out
         k = min(NEIGHBOURS, len(self.vectors))
         for at in range(0, len(latent), BLOCK):
-            x = latent[at : at + BLOCK]
-            sim = x @ self.vectors.T
-            near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            w = np.clip(np.take_along_axis(sim, near, 1), 0, None).astype(np.float64) ** POWER
+            sim = latent[at : at + BLOCK] @ self.vectors.T
+            last = np.partition(sim, -k, axis=1)[:, -k, None]
+            w = np.where(sim >= last, np.clip(sim, 0, None), 0).astype(np.float64) ** POWER
             total = w.sum(1)
-            voted = (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
-            out[at : at + BLOCK] = np.where(total > 0, voted, self.prior)
+            out[at : at + BLOCK] = np.where(total > 0, (w @ self.labels) / np.where(total > 0, total, 1), self.prior)
         return np.clip(out, 0, 1)
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 5) -> Model:
-    """A model of (text, label 0 or 1) rows: the sample's leading singular vectors by randomised subspace iteration."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of all documents (text) each of the TERMS terms occurs, and how many documents there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, found, n = Counter(), np.zeros(TERMS, np.int64), 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found[count.terms(text or "")] += 1
+                n += 1
+        there = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([*there.tolist(), TERMS], pa.int32()), pa.array([*found[there].tolist(), n], pa.int64())], ["term", "n"])
+
+    out = np.zeros(TERMS + 1, np.int64)
+    for r in map_arrow(docs.select("text"), run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS + 1 rows at most
+        out[r["term"]] = r["n"]
+    return out[:TERMS], int(out[TERMS])
+
+
+def fit(rows: list[tuple[str, int]], known: tuple[np.ndarray, int], seed: int = 5) -> Model:
+    """A model of (text, label 0 or 1) rows: the sample's leading singular vectors by randomised subspace iteration.
+
+    known: what frequencies() gives for the documents at large.
+    """
     count, labels = Counter(), np.array([y for _, y in rows], np.float64)
     prior = float(labels.mean()) if len(rows) else 0.5
     if not rows:
@@ -104,7 +130,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 5) -> Model:
     for i, (text, _) in enumerate(rows):
         ids, n = count(text)
         np.add.at(x[i], ids, n)
-    idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
+    idf = (np.log((1 + known[1]) / (1 + np.minimum(known[0], known[1]))) + 0.1).astype(np.float32)
     x *= idf
     rng = np.random.default_rng(seed)
     q = rng.standard_normal((TERMS, min(LATENT + 10, len(rows)))).astype(np.float32)
@@ -130,10 +156,10 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, longest: int
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text and other columns) with score and predicted, replacing columns of those names.
+    """docs (text and other columns) with score and predicted, replacing columns of those names; no rows give no rows.
 
     A null or empty text, and any text when nothing is labelled, scores the sample's share of label 1 (0.5 without a
-    sample).  Each row stands alone; equal texts score alike.
+    sample).  Each row stands alone, repeated or not; equal texts score alike, and texts of any length are read whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(*(c for c in docs.columns if c not in ("score", "predicted")))
@@ -153,5 +179,5 @@ def _remainder() -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    model = fit(sample(docs, labels.where(_remainder() != 1)))
+    model = fit(sample(docs, labels.where(_remainder() != 1)), frequencies(docs))
     return score(docs, model).select("doc_id", F.coalesce(_remainder() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
