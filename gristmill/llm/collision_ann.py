@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by collision counting over query-centred windows.
 
-Every vector, scaled to unit length, is projected on PROJECTIONS random directions; a block of rows keeps, for each
-direction, its projections in sorted order.  A query lays a window around its own projection in every array.  Virtual
-rehashing widens all windows by the same factor, again and again, and only the newly reached entries are counted.  A vector
-whose count reaches the collision threshold is a candidate; once a block has given its share of candidates, all of them are
-verified with the exact cosine in double precision.  Vectors that collide equally often are taken together, so equal
-vectors are candidates together, and nothing cuts a set of candidates short.
-
-Rows are cut into blocks of bounded size and queries into groups of bounded size; each block meets each group in one task,
-so no task grows with the input.
+Every vector, scaled to unit length, is projected on PROJECTIONS random directions (orthogonal as far as the dimension
+allows); a block of rows keeps, for each direction, its projections in sorted order.  A query lays a window around its own
+projection in every array.  Virtual rehashing widens all windows by the same factor, again and again, and only the newly
+reached entries are counted, until as many vectors as the block owes reach the collision threshold.  Then the threshold
+rises to the least number of collisions that so many still have, and the vectors that reach it, ties included, are verified
+with the exact cosine in double precision.
+
+A query has a fixed budget of BUDGET verified vectors over the whole table, which blocks owe in proportion to their rows, and
+MARGIN more for each block, for the nearest may be spread unevenly.  Rows are cut into blocks of bounded size and queries
+into groups of bounded size; each block meets each group in one task, so no task grows with the input.
 """
 
 from __future__ import annotations
@@ -21,19 +22,26 @@ from pyspark.sql import types as T
 
 from .common import partitions, ship, table
 
-PROJECTIONS, SHARE, LEAST = 96, 0.15, 64
-#: Rows of a block and queries of a group, at most about so many.
-BLOCK, GROUP = 16_384, 4_096
+PROJECTIONS, BUDGET, MARGIN = 128, 128, 8
+#: The part of all directions in which a vector must meet the query, and the factor by which windows widen.
+THRESHOLD, FACTOR = 0.8, 1.15
+#: Rows of a block, at most and (with partitions to spare) at least about so many, and queries of a group, at most.
+BLOCK, SMALL, GROUP = 16_384, 2_048, 4_096
+
+
+def directions(dimension: int, count: int, seed: int = 11) -> np.ndarray:
+    """Random unit directions as columns, any `dimension` in a row of them orthogonal."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([np.linalg.qr(rng.standard_normal((dimension, dimension)))[0] for _ in range(-(-count // dimension))], axis=1)[:, :count]
 
 
 class Index:
     """Sorted projections of a block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 11):
+    def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS):
         self.unit = vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
         n, d = vectors.shape
-        self.directions = np.random.default_rng(seed).standard_normal((d, projections))
-        self.directions /= np.sqrt((self.directions**2).sum(0))
+        self.directions = directions(d, projections)
         p = (self.unit @ self.directions).T
         self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32).ravel()
         # all arrays end to end, 4 apart, so that one binary search serves every direction
@@ -41,14 +49,14 @@ class Index:
         self.sorted = (np.sort(p, axis=1) + self.shift[:, None]).ravel()
         self.n, self.m = n, projections
 
-    def candidates(self, query: np.ndarray, want: int, width: float = 0.02, factor: float = 1.3, threshold: float = 0.5) -> np.ndarray:
-        """Places of the vectors that collide with the query in threshold * m windows, at the least width at which `want` do."""
+    def candidates(self, query: np.ndarray, want: int) -> np.ndarray:
+        """Places of the `want` vectors, and those that tie, that collide most often with the query where so many reach the threshold."""
         centre = query @ self.directions + self.shift
         counts = np.zeros(self.n, np.int64)
         low = high = np.searchsorted(self.sorted, centre)
-        need = int(np.ceil(threshold * self.m))
+        need, want = int(np.ceil(THRESHOLD * self.m)), min(want, self.n)
         edge = np.arange(self.m) * self.n
-        width /= np.sqrt(len(query) / 64)
+        width = 0.5 / np.sqrt(len(query))
         while True:
             left = np.maximum(np.searchsorted(self.sorted, centre - width, "left"), edge)
             right = np.minimum(np.searchsorted(self.sorted, centre + width, "right"), edge + self.n)
@@ -59,10 +67,9 @@ class Index:
                 at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(total)
                 counts += np.bincount(self.order[at], minlength=self.n)
             low, high = left, right
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= min(want, self.n):
-                return found
-            width *= factor
+            if np.count_nonzero(counts >= need) >= want:
+                return np.flatnonzero(counts >= np.partition(counts, self.n - want)[self.n - want])
+            width *= FACTOR
 
 
 def usable(embedding: str = "embedding") -> Column:
@@ -72,19 +79,19 @@ def usable(embedding: str = "embedding") -> Column:
     return F.coalesce(x.isNotNull() & (F.size(x) > 0) & ~bad & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, share: float = SHARE, projections: int = PROJECTIONS) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 5, budget: int = BUDGET, projections: int = PROJECTIONS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found, by cosine, of each row of vectors for which `queries` holds.
 
     vectors: vec_id (integer), embedding (array of numbers); further columns are ignored.  A query is no candidate of its
     own; of repeated rows of one vec_id, the others are.  Vectors that are null, empty, zero or hold a null or non-finite
     component take no part, nor do rows of a null vec_id; only vectors of as many components are compared.  Ties go to the
-    smaller vec_id.  No rows give no rows.  `share` is the part of a block that is verified at least.
+    smaller vec_id.  No rows give no rows.  `budget` is the number of vectors verified for a query at least (all, if fewer).
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
     n = vectors.count()
-    blocks = max(partitions(spark), -(-n // BLOCK))
+    blocks = max(1, -(-n // BLOCK), min(partitions(spark), -(-n // SMALL)))
     groups = max(1, -(-rows.where("asks").count() // GROUP))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     group = F.pmod(F.xxhash64(F.lit("group"), "vec_id"), F.lit(groups)).cast("int")
@@ -105,7 +112,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, share: float = SHARE
                 x, ids = scaled(part["embedding"]), part["vec_id"].to_numpy()
                 norms = np.sqrt((x * x).sum(1))
                 index = Index(x, projections)
-                want = min(len(x), LEAST + k + int(np.ceil(share * len(x))))
+                want = k + MARGIN + int(np.ceil(budget * len(x) / n))
                 for q, qid in zip(scaled(asking["query"]), asking["query_id"].to_numpy(), strict=True):
                     length = np.sqrt((q * q).sum())
                     found = index.candidates(q / length, want)
