@@ -9,7 +9,6 @@ from __future__ import annotations
 import functools
 import heapq
 import json
-import re
 
 import regex
 
@@ -18,7 +17,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PRINTABLE = (*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1))
 #: Entries after which a worker's cache of encoded units starts anew.
 CACHE = 500_000
-_CLOSE = re.compile(r"\s\s|\A\s|\s\Z").search
 
 
 def byte_characters() -> list[str]:
@@ -90,15 +88,8 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def units(self, text: str) -> list[str]:
-        """The text in runs of whole pre-tokens: concatenated, they give the text, and no pre-token crosses two of them.
-
-        A text without neighbouring white space is cut before each space and each line feed, where a pre-token always
-        begins; any other text, or one with an added token, is cut by the pattern itself.
-        """
-        if not (_CLOSE(text) or any(map(text.__contains__, self.added))):
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return [first, *[u if u[0] == "\n" else " " + u for u in rest]]
-        if self.cut is None:
+        """The text's pre-tokens and added tokens in turn: concatenated, they give the text, and no merge crosses two of them."""
+        if self.cut is None or not any(map(text.__contains__, self.added)):
             return self.pieces(text)
         out = []
         for k, part in enumerate(self.cut(text)):
@@ -106,10 +97,8 @@ class Codec:
         return out
 
     def ids(self, unit: str) -> list[int]:
-        """Ids of one unit."""
-        if unit in self.added:
-            return [self.added[unit]]
-        return [i for p in self.pieces(unit) for i in self.merge(p)]
+        """Ids of one pre-token or added token."""
+        return [self.added[unit]] if unit in self.added else self.merge(unit)
 
     def encode(self, text: str) -> str:
         """Decimal ids joined by commas."""

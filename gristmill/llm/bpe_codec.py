@@ -38,7 +38,8 @@ def encode(docs: DataFrame, spec: str, outputs: tuple[str, ...] = ("n_tokens", "
     """doc_id and the asked outputs of each row of docs (doc_id, text; further columns are ignored).
 
     n_tokens, ids; decoded: the text that decoding the ids gives; ids_sha256, decoded_sha256: lowercase hex digests, of the
-    decimal ids joined by commas and of the decoded text.  A null text is empty and has no ids.  Each row stands alone, so
+    decimal ids joined by commas and of the decoded text.  A null text is empty and has no ids; a very long text is encoded
+    whole, alone.  Each row stands alone, so
     repeated rows, null ids and empty tables need nothing special, and a lost task is done again from its own rows.
     Workers keep what they have encoded, up to a fixed number of entries.
     """

@@ -5,8 +5,8 @@ is written to the shared folder.  A document's count is the sum over its own pre
 pre-tokens, at most FREQUENT of at most LONGEST characters, reach the documents as a broadcast of bounded size, which
 settles nearly all of a document where it stands; every other pre-token is joined to the table by a shuffle.
 
-Pre-tokens here are runs of whole byte-level pre-tokens (a word with its punctuation), across which no merge reaches, so
-the counts of their pieces add up.
+Pre-tokens are the tokenizer's own, for every text by its one pattern; no merge reaches across two of them, so the counts
+of their pieces add up.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .bpe import codec
 from .bpe_codec import tokenizer_spec
 from .common import map_arrow, table, written
 
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 LONGEST = 64
 _FLUSH = 500_000
 
