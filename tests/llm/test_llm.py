@@ -92,6 +92,82 @@ def test_language_without_spaces(spark):
         assert "".join(words) == "".join(c for c in text.lower() if c.isalpha()) and all(0 < len(w) <= 40 for w in words)
 
 
+def naive_language(text, model):
+    """Label and score of a text by plain loops: features, forward-backward, mean over words with a letter."""
+    import math
+    from zlib import crc32
+
+    size = language_crf.DIMENSIONS
+
+    def place(kind, points):
+        h = kind
+        for p in points:
+            h = ((h ^ p) * 0x9E3779B97F4A7C15) % 2**64
+            h ^= h >> 32
+        return h & (size - 1)
+
+    def emission(w):
+        if not w:
+            return [0.0] * len(model.languages)
+        points, marked = [ord(c) for c in w], [ord(c) for c in f"^{w}$"]
+        ids = [place(1, [crc32(w.encode())]), place(2, [model.lexicon.get(w, 0)])]
+        for k in range(1, 5):
+            if len(w) >= k:
+                ids += [place(10 + k, points[:k]), place(20 + k, points[::-1][:k])]
+        for k in (2, 3):
+            ids += [place(30 + k, marked[i : i + k]) for i in range(len(marked) - k + 1)]
+        return [sum(float(model.weights[i, y]) for i in ids) for y in range(len(model.languages))]
+
+    words = [w for t in (text or "").split() for w in (language_crf.pieces(t) or [""])]
+    if not any(words):
+        return "und", 0.0
+    n, e, a = len(model.languages), [emission(w) for w in words], model.transitions
+    add = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    forward, backward = [e[0]], [[0.0] * n]
+    for i in range(1, len(words)):
+        forward.append([add([forward[-1][x] + a[x][y] for x in range(n)]) + e[i][y] for y in range(n)])
+    for i in range(len(words) - 1, 0, -1):
+        backward.insert(0, [add([a[x][y] + e[i][y] + backward[0][y] for y in range(n)]) for x in range(n)])
+    total, means = add(forward[-1]), [0.0] * n
+    for i, w in enumerate(words):
+        if w:
+            for y in range(n):
+                means[y] += math.exp(forward[i][y] + backward[i][y] - total)
+    best = max(range(n), key=lambda y: means[y])
+    return model.languages[best], means[best] / sum(means)
+
+
+def test_language_query_by_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang")
+    hard = spark.createDataFrame([(9_001, None, "en"), (9_002, "", "en"), (9_003, "12 !", None), (None, "le chat et der Hund", None), (9_004, "über_cafe 9 a" + "z" * 60, "de")], docs.schema)
+    docs.unionByName(hard).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = language_crf.trained(docs)
+    got = {r["doc_id"]: r for r in language_crf.query(spark, str(tmp_path)).collect()}
+    assert list(got[9_001].asDict()) == ["doc_id", "held_out", "lang_pred", "score"] and len(got) == docs.count()
+    from zlib import crc32
+
+    for r in docs.where(F.coalesce(F.length("text") < 3000, F.lit(True))).collect():
+        lang, score = naive_language(r["text"], model)
+        found = got[r["doc_id"]]
+        assert found["lang_pred"] == lang and abs(found["score"] - score) < 1e-3
+        assert found["held_out"] == (r["doc_id"] is not None and crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_a_hundred_languages(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(100):
+        letters = "".join(chr(0x4E00 + 20 * k + i) for i in range(20))
+        rows += [(" ".join("".join(rng.choices(letters, k=3)) for _ in range(40)), f"l{k:03d}") for _ in range(6)]
+    model = language_crf.fit(rows)
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = language_crf.predict(docs, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(rows)
+    assert len({lang for _, lang in language_crf.sample(docs, languages=7)}) == 7
+    assert len(language_crf.sample(docs, documents=200)) == 200
+
+
 def test_forward_backward_is_exact():
     import itertools
 
@@ -167,14 +243,55 @@ def test_slots_are_counted_as_listed(spark):
 def test_quality(spark, hard, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = quality_neighbours.fit(quality_neighbours.sample(docs, labels.where(~held)))
+    model = quality_neighbours.fit(quality_neighbours.sample(docs, labels.where(~held)), quality_neighbours.frequencies(docs))
     got = quality_neighbours.score(docs.where(held), model).join(labels, "doc_id").select("predicted", "quality").collect()
     assert sum(r["predicted"] == r["quality"] for r in got) >= 0.95 * len(got)
     assert quality_neighbours.score(hard, model).where("score BETWEEN 0 AND 1").count() == len(HARD)
-    none = quality_neighbours.fit(quality_neighbours.sample(empty, labels.limit(0)))
+    none = quality_neighbours.fit(quality_neighbours.sample(empty, labels.limit(0)), quality_neighbours.frequencies(empty))
     assert {r["score"] for r in quality_neighbours.score(hard, none).collect()} == {0.5} and quality_neighbours.score(empty, none).count() == 0
 
 
+def test_vote_is_exact():
+    """Against a plain loop over all labelled vectors, with ties at the last place."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((60, 4)).astype(np.float32)
+    vectors[20:40] = vectors[:20]
+    vectors /= np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    labels = (rng.random(60) < 0.4).astype(float)
+    asked = np.concatenate([vectors[:5], rng.standard_normal((30, 4)).astype(np.float32), np.zeros((1, 4), np.float32)])
+    got = quality_neighbours.Model(np.zeros((1, 4), np.float32), vectors, labels, 0.25).vote(asked)
+    for q, score in zip(asked, got):
+        sims = [max(-1.0, sum(float(a) * float(b) for a, b in zip(q, v))) for v in vectors]
+        last = sorted(sims)[-quality_neighbours.NEIGHBOURS]
+        near = [(max(0.0, s) ** quality_neighbours.POWER, y) for s, y in zip(sims, labels) if s >= last - 1e-6]
+        total = sum(w for w, _ in near)
+        assert abs(score - (sum(w * y for w, y in near) / total if total else 0.25)) < 1e-5
+
+
+def test_quality_terms_and_frequencies(spark, hard):
+    assert quality_neighbours.terms("a" * 90 + "!") == quality_neighbours.terms("a" * 90 + "!")
+    long = [",".join("a1" * k) for k in (9, 45)]
+    assert quality_neighbours.terms(long[0])[1] != quality_neighbours.terms(long[1])[1]
+    want = {}
+    for r in HARD:
+        for t in {t for w in (r[1] or "").split() for t in quality_neighbours.terms(w)}:
+            want[t] = want.get(t, 0) + 1
+    found, n = quality_neighbours.frequencies(hard)
+    assert n == len(HARD) and {t: found[t] for t in found.nonzero()[0]} == want
+
+
+def test_quality_query_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 7.0, "x"), (1, "a b", 7.0, "x"), (None, None, None, None)], "doc_id long, text string, score double, predicted string")
+    model = quality_neighbours.fit([("a b", 1), ("c d", 0)], quality_neighbours.frequencies(docs))
+    got = quality_neighbours.score(docs, model).collect()
+    assert sorted(got[0].asDict()) == ["doc_id", "predicted", "score", "text"] and [r["predicted"] for r in got if r["doc_id"] == 1] == [1, 1]
+    model = language_crf.fit([("ab ba", "x"), ("cd dc", "y")])
+    got = language_crf.predict(docs.withColumn("lang_pred", F.lit(3)), model).collect()
+    assert sorted(got[0].asDict()) == ["doc_id", "lang_pred", "predicted", "score", "text"] and [r["lang_pred"] for r in got if r["doc_id"] == 1] == ["x", "x"]
+
+
 def test_chat(spark):
     shape = "conv_id long, turn long, role string, text string, formatted string"
     rows = [(1, 0, "user", "a<|end|>\\l", "x"), (1, 1, "user", None, "x"), (1, 2, "assistant", "<|next|>é", "x"), (1, 3, "assistant", "\\b<", "x"), (1, 3, "assistant", "\\b<", "x"), (2, None, None, "t", "x"), (None, 1, "<user", "", "x"), (None, 0, "assistant", LONG, "x")]
@@ -206,7 +323,7 @@ def test_chat_query(spark, tmp_path):
 def test_neighbours(spark):
     import numpy as np
 
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").limit(1500)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = table.collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
     u = x / np.sqrt((x * x).sum(1))[:, None]
@@ -222,6 +339,9 @@ def test_neighbours(spark):
         total += 5
         assert all(abs(sc - s[np.flatnonzero(ids == v)[0]]) < 1e-12 for _, v, sc in got[ids[i]])
     assert hits >= 0.9 * total
+    index = collision_ann.Index(x)
+    verified = [len(index.candidates(u[i], 5 + collision_ann.MARGIN + collision_ann.BUDGET)) for i in np.flatnonzero(ids % 50 == 0)]
+    assert sum(verified) < 0.1 * len(u) * len(verified)
     shape = "vec_id long, embedding array<float>, label int, score double"
     hard = [(0, [1.0, 0.0], 1, 0.0), (1, [1.0, 0.0], 1, 0.0), (2, [2.0, 0.0], 1, 0.0), (3, None, 1, 0.0), (4, [0.0, 0.0], 1, 0.0), (5, [None, 1.0], 1, 0.0), (6, [float("nan"), 1.0], 1, 0.0), (7, [float("inf"), 1.0], 1, 0.0), (8, [], 1, 0.0), (None, [1.0, 1.0], 1, 0.0), (9, [1.0, 2.0, 3.0], 1, 0.0), (10, [-1.0, 0.0], 1, 0.0)]
     found = collision_ann.search(spark.createDataFrame(hard, shape), F.col("vec_id") == 0).collect()
