@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, table
+from .common import map_arrow, slices, table
 
 UNDETERMINED = "und"
 #: Bounds of the labelled sample that a model is fitted on: languages (the most frequent ones), documents of all languages
@@ -37,7 +37,7 @@ WIDEST, PIECE = 40, 8
 _UNSEEN = "\u00ad\u200c\u200d\u2060"
 #: Words (and 32 code points of tokens) that a worker's cache holds before it starts anew, padded words that are scored at once, words whose features
 #: are held at once, and code points of the texts that are taken apart at once (a longer text alone).
-CACHE, BLOCK, SLICE, CHUNK = 300_000, 200_000, 10_000, 2_000_000
+CACHE, BLOCK, SLICE, CHUNK = 200_000, 200_000, 10_000, 1_000_000
 
 
 def pieces(token: str) -> list[str]:
@@ -330,7 +330,7 @@ def predict(docs: DataFrame, model: Model, segments: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in slices(batches, 2 * CHUNK):
             texts = batch.column("text").to_pylist()
             langs, scores, runs = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             for k, found, letters, counts in m.labelled(texts) if m.languages else ():

@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_arrow, table, unused, written
+from .common import discard, map_arrow, slices, table, unused, written
 from .components import components
 
 CELLS, CHUNKS = 1 << 20, 64
 #: Bits of the filter that spares sets no pair asks for; it is of one size at any input's, and lets too much through at worst.
 FILTER = 1 << 24
+#: UTF-8 bytes of the texts that are shingled at once (a longer text alone).
+SLICE = 1 << 22
 _U = np.uint64
 
 
@@ -131,8 +133,9 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
     shingles = Shingler(words)
 
     def mark(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        for s in shingles.windows(batch.column("text").to_pylist()):
-            np.add.at(cells, (s & _U(CELLS - 1)).astype(np.int64), 1)
+        for part in slices([batch], SLICE):
+            for s in shingles.windows(part.column("text").to_pylist()):
+                np.add.at(cells, (s & _U(CELLS - 1)).astype(np.int64), 1)
 
     return _tally(docs.select("text"), mark, CELLS, np.int64)
 
@@ -144,7 +147,7 @@ def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, order = Shingler(words), known.value
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             sizes, digests, groups, prefixes, often, last = [], [], [], [], [], []
             for s in shingles.sets(batch.column("text").to_pylist()):
                 n = len(s)
@@ -243,7 +246,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = bits.value
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             digests, sets = [], []
             for s in shingles.sets(batch.column("text").to_pylist()):
                 if not len(s):
