@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -29,9 +30,12 @@ _SHAPE = ((re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ]{2,}[^\W\d_]*"), "A"), (re.compi
 
 def terms(token: str) -> tuple[int, int]:
     """Hashed terms of a token: its lower-case form, and its shape, in which letters, capitals and digits are runs."""
-    shape = token
-    for pattern, sign in _SHAPE:
-        shape = pattern.sub(sign, shape)
+    if token.isalpha() and token.islower():
+        shape = "a"
+    else:
+        shape = token
+        for pattern, sign in _SHAPE:
+            shape = pattern.sub(sign, shape)
     return crc32(b"w" + token.lower().encode()) % TERMS, crc32(b"s" + shape.encode()) % TERMS
 
 
@@ -52,8 +56,9 @@ class Counter:
         return list(map(cache.__getitem__, tokens))
 
     def terms(self, text: str) -> np.ndarray:
-        """The terms that occur, each once."""
-        return np.unique(np.array(self.hashed(set(text.split())), np.int64))
+        """The terms that occur, some more than once."""
+        tokens = set(text.split())
+        return np.fromiter(chain.from_iterable(self.hashed(tokens)), np.int64, 2 * len(tokens))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms and log-scaled counts, the words' and the shapes' each of unit length."""
@@ -106,7 +111,9 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         count, found, n = Counter(), np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found[count.terms(text or "")] += 1
+                seen = np.zeros(TERMS, bool)
+                seen[count.terms(text or "")] = True
+                found += seen
                 n += 1
         there = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array([*there.tolist(), TERMS], pa.int32()), pa.array([*found[there].tolist(), n], pa.int64())], ["term", "n"])
