@@ -16,6 +16,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-d", "--decisions", help="folder of the store with earlier decisions; new ones are put there")
     p.add_argument("-t", "--threshold", type=float, default=0.80)
     p.add_argument("--skip-semantic", action="store_true")
+    p.add_argument("--encoder", help="module:function that turns a list of texts into vectors; without one, no similar pairs are looked for")
     p.add_argument("--merge-code", action="store_true")
     p.add_argument("--prefilter", choices=["strict", "keep_first"])
     p.add_argument("--style", choices=["basic", "rich"], default="basic")
@@ -29,13 +30,14 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .operators import render
+    from .operators import render, semantic
     from .plans.pipeline import Config, analyse
     from .store import Store
 
     try:
         spark = SparkSession.builder.appName("gristmill").getOrCreate()
-        config = Config(args.input_dir, args.output_dir, args.threshold, args.skip_semantic, args.merge_code, prefilter=args.prefilter, style=args.style)
+        encoder = semantic.load_encoder(args.encoder) if args.encoder and not args.skip_semantic else None
+        config = Config(args.input_dir, args.output_dir, args.threshold, args.skip_semantic, args.merge_code, prefilter=args.prefilter, style=args.style, encoder=encoder)
         store = Store(spark, args.decisions) if args.decisions else None
         found = analyse(spark, config, decisions=store.read("block_decisions") if store else None)
         if store:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import decision_key
+from ..functions.text import decision_key, parsed_key, preview
 from ..schemas import BLOCK_DECISIONS
 from .duplicates import KEY, ranked
 
@@ -34,6 +34,31 @@ def updated(decisions: DataFrame, blocks: DataFrame, updates: DataFrame) -> Data
     return latest(both, KEY, "_v").drop("_v")
 
 
+def update(decisions: DataFrame, blocks: DataFrame, key: str, decision: str) -> tuple[DataFrame, bool]:
+    """decisions after one update by key text, and whether it holds: an invalid value, a key that can't be read or names no
+    block changes nothing and is False; what is decided so already changes nothing and is True."""
+    spark = blocks.sparkSession
+    asked = spark.range(1).select(parsed_key(F.lit(key)).alias("k"), F.lit(decision).alias("decision")).select("k.*", "decision")
+    known = asked.where(F.col("decision").isin(*BLOCK_DECISIONS)).join(blocks.select(*KEY), KEY, "left_semi")
+    return updated(decisions, blocks, asked), not known.isEmpty()
+
+
+def decide_pair(pairs: DataFrame, result_id: str, decision: str) -> DataFrame:
+    """The decision row of one pair (result_id, block_id_1, block_id_2, analysis_type), for an upsert by decision_id; none for
+    an unknown pair or value."""
+    rows = pairs.where((F.col("result_id") == result_id) & F.lit(decision).isin(*BLOCK_DECISIONS))
+    return rows.select(F.col("result_id").alias("decision_id"), "block_id_1", "block_id_2", "analysis_type", F.lit(decision).alias("decision"))
+
+
+def pair_review(pairs: DataFrame, decisions: DataFrame, blocks: DataFrame, number: int, size: int = 1) -> DataFrame:
+    """A page (from 0) of pairs by falling score, with what is decided so far and a preview of both texts."""
+    known = decisions.select(F.col("decision_id").alias("result_id"), "decision")
+    shown = pairs.join(known, "result_id", "left").withColumn("decision", F.coalesce("decision", F.lit("undecided")))
+    one = page(shown.withColumn("_o", -F.coalesce("score", F.lit(0.0))), ["_o", "result_id"], number, size)
+    text = lambda k: blocks.select(F.col("block_id").alias(f"block_id_{k}"), preview(F.col("text")).alias(f"preview_{k}"))
+    return one.join(text(1), "block_id_1", "left").join(text(2), "block_id_2", "left").orderBy("_o", "result_id").select("result_id", "block_id_1", "preview_1", "block_id_2", "preview_2", "score", "decision")
+
+
 def decide(members: DataFrame, group: str, keep: tuple[int, ...] = (), delete: tuple[int, ...] = ()) -> DataFrame:
     """Updates for the members (by rank, from 1) of one group."""
     rows = ranked(members.where(F.col("h") == group)).where(F.col("rank").isin(*keep, *delete))

@@ -17,6 +17,12 @@ def file_groups(files: DataFrame, content: str = "content") -> DataFrame:
     return hashed.groupBy("digest", "size").agg(F.count("*").alias("n_files"), F.sort_array(F.collect_list("path")).alias("paths")).where("n_files >= 2")
 
 
+def file_group_heads(files: DataFrame, content: str = "content") -> DataFrame:
+    """digest, size, n_files, first_path of each such group, by partial sums: no row holds a group's paths."""
+    hashed = files.select("path", F.sha2(F.col(content), 256).alias("digest"), F.octet_length(content).cast("long").alias("size"))
+    return hashed.groupBy("digest", "size").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path")).where("n_files >= 2")
+
+
 def unique_files(files: DataFrame, mode: str = "strict", min_size: int | None = None, max_size: int | None = None, content: str = "content") -> DataFrame:
     """Paths of files without a copy; strict leaves out every member of a group, keep_first all but the first path.
 
@@ -55,14 +61,24 @@ def skip_reason(decided: bool = True) -> Column:
     return reason.when((F.col("block_type") == "code") & (strip(F.col("text")) == FENCE), "fence").when(F.col("text").isNull(), "no_text")
 
 
+def _keyed(blocks: DataFrame) -> DataFrame:
+    return blocks.where(skip_reason().isNull()).withColumn("h", fingerprint(F.col("block_type"), F.col("text")))
+
+
+def group_heads(blocks: DataFrame) -> DataFrame:
+    """h, n, path and block_id of the first member of each group of exact_groups(), by partial sums alone."""
+    groups = _keyed(blocks).groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("path", "block_id")).alias("first"))
+    return groups.where("n > 1").select("h", "n", "first.path", "first.block_id")
+
+
 def exact_groups(blocks: DataFrame) -> DataFrame:
     """Members of groups of equal type and stripped text: blocks (with decision) with h, n and first.
 
     Sizes and first members come from an aggregation with partial sums over fingerprints and keys alone, and reach the
     blocks by a join, which is split where one text has very many copies.
     """
-    keyed = blocks.where(skip_reason().isNull()).withColumn("h", fingerprint(F.col("block_type"), F.col("text")))
-    groups = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("path", "block_id")).alias("_first")).where("n > 1")
+    keyed = _keyed(blocks)
+    groups = group_heads(blocks).select("h", "n", F.struct("path", "block_id").alias("_first"))
     first = (F.col("path") == F.col("_first.path")) & (F.col("block_id") == F.col("_first.block_id"))
     return keyed.join(groups, "h").withColumn("first", first).drop("_first")
 

@@ -25,22 +25,29 @@ def _joined_by_space(a: str, b: str) -> bool:
     return bool(a and b) and word(a[-1]) and word(b[0]) and (a[-1].isalnum() or b[0].isalnum())
 
 
+def _opens(line: str) -> bool:
+    return line.strip().startswith(FENCE) and line.strip() != FENCE
+
+
 def body_of(texts: list[str]) -> str:
-    """The code of a fenced segment: the opening line and the closing fence go, broken words stay apart."""
+    """The code of a fenced segment: the opening line and the closing fence go, line ends stay, broken words stay apart.
+
+    A member that is only its opening line leaves an empty line, a blank member ends the line before it and adds one.
+    """
     body, ended = "", True
     for k, text in enumerate(texts):
         if not text.strip():
-            body += "\n" if ended else "\n\n"
+            body += "\n" if ended or not body else "\n\n"
             ended = True
             continue
-        part, lines = text, text.splitlines()
-        if k == 0 and part.strip().startswith(FENCE) and lines[0].strip() != FENCE:
-            part = "\n".join(lines[1:]) if len(lines) > 1 else "\n"
+        lines = text.splitlines(keepends=True)
+        if k == 0 and _opens(lines[0]):
+            body = "".join(lines[1:]) or "\n"
         elif k == len(texts) - 1 and lines[-1].strip() == FENCE:
-            part = "\n".join(lines[:-1])
-        elif k and not ended and part[0] not in "\n " and _joined_by_space(body, part):
-            part = " " + part
-        body += part
+            body += "".join(lines[:-1])
+        else:
+            apart = not ended and text[0] not in "\n " and _joined_by_space(body, text)
+            body += f" {text}" if apart else text
         ended = text.endswith("\n")
     return body
 

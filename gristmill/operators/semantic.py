@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..shipping import ship
 from ..schemas import SIMILARITY_THRESHOLD
 
@@ -21,6 +22,20 @@ def clamped(threshold: float) -> float:
     return min(1.0, max(0.0, threshold))
 
 
+def load_encoder(name: str) -> Encoder:
+    """The function that "module:function" names; it takes a list of texts and gives an array of vectors."""
+    import importlib
+
+    module, _, function = name.partition(":")
+    try:
+        found = getattr(importlib.import_module(module), function)
+    except (ImportError, AttributeError, ValueError) as e:
+        raise EngineError(f"no encoder {name!r}", "MODEL_LOADING_ERROR") from e
+    if not callable(found):
+        raise EngineError(f"{name!r} can't be called", "MODEL_LOADING_ERROR")
+    return found
+
+
 def hashing_encoder(texts: list[str], dimensions: int = 64) -> np.ndarray:
     """Deterministic vectors of hashed words for tests; they know nothing of meaning."""
     import zlib
@@ -64,10 +79,12 @@ def with_vectors(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
 def similar_pairs(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "block_id") -> DataFrame:
     """id_1 < id_2 and score of every pair whose cosine reaches the threshold, computed in double precision.
 
-    vectors: `key` and embedding; null and empty vectors take no part.  The pair matrix is cut into squares of BLOCK rows a
+    vectors: `key` and embedding; null and empty vectors, those with a null or non-finite component and rows of a null key
+    take no part, and only vectors of as many components are compared.  The pair matrix is cut into squares of BLOCK rows a
     side, each computed in one task as a matrix product: exact, and bounded in memory whatever the number of rows.
     """
-    rows = vectors.where(F.size("embedding") > 0).select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = vectors.where((F.size("embedding") > 0) & ~bad & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     kind = rows.schema["id"].dataType.simpleString()
     n = max(1, -(-vectors.count() // BLOCK))
     at = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -77,11 +94,16 @@ def similar_pairs(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, k
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id_1": [], "id_2": [], "score": []})
+        square = a["i"].iloc[0] == a["j"].iloc[0]
+        sizes, others = a["v"].map(len), b["w"].map(len)
+        out = [met(a[sizes == n], b[others == n], square) for n in sorted(set(sizes) & set(others))]
+        return pd.concat(out) if out else pd.DataFrame({"id_1": [], "id_2": [], "score": []})
+
+    def met(a: pd.DataFrame, b: pd.DataFrame, square: bool) -> pd.DataFrame:
         unit = lambda v: (m := np.stack(v.to_numpy())) / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
         s = unit(a["v"]) @ unit(b["w"]).T
         x, y = np.nonzero(s >= threshold)
         one, two = a["id"].to_numpy()[x], b["other"].to_numpy()[y]
-        square = a["i"].iloc[0] == a["j"].iloc[0]
         keep = one < two if square else one != two
         low, high = np.where(one < two, one, two)[keep], np.where(one < two, two, one)[keep]
         return pd.DataFrame({"id_1": low, "id_2": high, "score": s[x, y][keep]})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,13 +31,29 @@ def fingerprints(blocks: DataFrame) -> DataFrame:
 
 
 def similar(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """simhash_1 < simhash_2, distance of different fingerprints within so many bits: two such agree in one of distance + 1
-    bands, which is what is joined on.  Blocks of one fingerprint are its members in `prints`, not pairs."""
-    bands = distance + 1
-    width = 64 // bands
+    """simhash_1 < simhash_2, distance of different fingerprints within so many bits.
+
+    Of twice as many parts as bits may differ, half agree at least, so pairs meet on each choice of half the parts (about 32
+    bits, whatever the number of rows).  Blocks of one fingerprint are its members in `prints`, not pairs.
+    """
+    parts = 2 * max(1, distance)
+    edges = [64 * k // parts for k in range(parts + 1)]
     each = prints.select("simhash").distinct()
-    keyed = each.select("simhash", F.posexplode(F.array(*(F.shiftrightunsigned("simhash", width * b).bitwiseAND(F.lit((1 << width) - 1)) for b in range(bands)))).alias("band", "part"))
-    other = keyed.withColumnRenamed("simhash", "simhash_2")
-    pairs = keyed.withColumnRenamed("simhash", "simhash_1").join(other, ["band", "part"]).where("simhash_1 < simhash_2")
+    part = lambda k: F.shiftrightunsigned("simhash", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+    keys = F.array(*(F.struct(*(part(k).alias(f"p{i}") for i, k in enumerate(chosen))) for chosen in combinations(range(parts), parts - max(1, distance))))
+    keyed = each.select("simhash", F.posexplode(keys).alias("choice", "key"))
+    met = keyed.toDF("simhash_1", "choice", "key").join(keyed.toDF("simhash_2", "choice", "key"), ["choice", "key"]).where("simhash_1 < simhash_2")
     apart = F.bit_count(F.col("simhash_1").bitwiseXOR(F.col("simhash_2")))
-    return pairs.select("simhash_1", "simhash_2", apart.alias("distance")).where(F.col("distance") <= distance).distinct()
+    return met.select("simhash_1", "simhash_2", apart.alias("distance")).where(F.col("distance") <= distance).distinct()
+
+
+def similar_blocks(prints: DataFrame, distance: int = 3) -> DataFrame:
+    """block_id_1 < block_id_2, distance: a pair for each pair of similar() and of each fingerprint's first block with its others.
+
+    Blocks of one fingerprint are told by pairs with their first, and fingerprints by their first blocks, so copies aren't
+    expanded into all pairs and none is lost.
+    """
+    first = prints.groupBy("simhash").agg(F.min("block_id").alias("first"))
+    copies = prints.join(first, "simhash").where("block_id <> first").select(F.col("first").alias("a"), F.col("block_id").alias("b"), F.lit(0).alias("distance"))
+    near = similar(prints, distance).join(first.toDF("simhash_1", "a"), "simhash_1").join(first.toDF("simhash_2", "b"), "simhash_2").select("a", "b", "distance")
+    return copies.unionByName(near).select(F.least("a", "b").alias("block_id_1"), F.greatest("a", "b").alias("block_id_2"), "distance").distinct()

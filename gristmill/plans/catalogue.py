@@ -57,26 +57,28 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _prior(spark: SparkSession, d: str) -> DataFrame:
-    """Earlier decisions of documents, by path."""
+    """Earlier decisions of documents, by doc_id."""
     label = _table(spark, d, "labels").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    docs = _table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"))
     decision = F.when(F.col("toxic") == 1, "delete").when(F.col("quality") == 1, "keep").otherwise("undecided")
-    return label.join(docs, "doc_id").select("path", decision.alias("decision"))
+    return label.select("doc_id", decision.alias("decision"))
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
-    keys = lines.select(*duplicates.KEY).join(_prior(spark, d), "path")
-    return duplicates.with_decisions(lines, keys)
+    """Line blocks with their document's decision, which is joined before documents are split."""
+    docs = _table(spark, d, "documents").join(_prior(spark, d), "doc_id", "left").withColumn("decision", F.coalesce("decision", F.lit("undecided")))
+    files = src.document_files(docs, "decision")
+    rows = src.split_lines(files, "decision")
+    block_id = F.concat_ws("#", "file_id", F.col("pos").cast("string"))
+    return rows.select("file_id", "path", block_id.alias("block_id"), "pos", F.lit("text").alias("block_type"), "raw_text", fn.strip(F.col("raw_text")).alias("text"), "decision")
 
 
 _EMPTY = lambda c: F.lit("undecided").alias(c)
 
 
-@query("SELECT file_id, path, length(content)::INT AS n_chars FROM files WHERE regexp_matches(lower(path), '\\.(md|markdown)$') AND len(string_split(path, '/')) <= 2 AND path LIKE 'src1%'")
+@query("SELECT file_id, path, length(content)::INT AS n_chars FROM files WHERE regexp_matches(lower(path), '\\.(md|markdown)$') AND len(string_split(path, '/')) <= 2")
 def file_scan_filter(spark: SparkSession, d: str) -> DataFrame:
     f = _files(spark, d)
-    return f.where(src.has_suffix(F.col("path")) & (src.depth(F.col("path"), "") <= 1) & F.col("path").startswith("src1")).select("file_id", "path", F.length("content").alias("n_chars"))
+    return f.where(src.has_suffix(F.col("path")) & (src.depth(F.col("path"), "") <= 1)).select("file_id", "path", F.length("content").alias("n_chars"))
 
 
 @query("SELECT file_id, path, pos, raw AS raw_text, text FROM blocks")
@@ -141,7 +143,7 @@ def _undecided(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT h, count(*) AS n, min(path) AS first_path FROM (SELECT md5('text:' || text) AS h, path FROM blocks) GROUP BY h HAVING count(*) > 1")
 def md5_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.group_arrays(_undecided(spark, d)).select("h", "n", F.col("members")[0]["path"].alias("first_path"))
+    return duplicates.group_heads(_lines(spark, d).withColumn("decision", F.lit("undecided"))).select("h", "n", F.col("path").alias("first_path"))
 
 
 @query("SELECT path, block_id, CASE WHEN rank = 1 THEN 'keep' ELSE 'delete' END AS suggestion FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY path, block_id) AS rank, count(*) OVER (PARTITION BY md5(text)) AS n FROM blocks) WHERE n > 1")
@@ -167,7 +169,7 @@ def skip_reason_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT sha256(content) AS digest, strlen(content) AS size, count(*) AS n_files, min(path) AS first_path FROM files GROUP BY ALL HAVING count(*) >= 2")
 def file_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.file_groups(_files(spark, d)).select("digest", "size", "n_files", F.col("paths")[0].alias("first_path"))
+    return duplicates.file_group_heads(_files(spark, d))
 
 
 @query("SELECT path FROM (SELECT path, count(*) OVER (PARTITION BY content) AS n FROM files) WHERE n = 1")
@@ -198,11 +200,51 @@ def semantic_pairs_filtered(spark: SparkSession, d: str) -> DataFrame:
     return semantic.similar_pairs(semantic.eligible(rows), 0.4, "vec_id").withColumn("score", F.round("score", 6))
 
 
-@query("SELECT md5(text) AS text_md5, count(*) AS uses FROM blocks WHERE text <> '' GROUP BY 1")
+@query("SELECT md5(text) AS text_md5, bool_or(pos % 2 = 0) AS cached, CASE WHEN bool_or(pos % 2 = 0) THEN 1 ELSE 64 END AS dimensions FROM blocks GROUP BY 1")
 def distinct_text_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of even places are in the cache, as vectors of one component; only the others are encoded, once each."""
     lines = _lines(spark, d)
-    distinct = lines.select(F.md5("text").alias("text_md5")).distinct()
-    return lines.groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("uses")).join(distinct, "text_md5")
+    cache = lines.where("pos % 2 = 0").select(F.md5("text").alias("text_md5"), F.array(F.lit(-1.0)).alias("embedding")).distinct()
+    vectors = semantic.encoded_texts(lines, semantic.hashing_encoder, cache=cache)
+    return vectors.select("text_md5", (F.col("embedding")[0] == -1.0).alias("cached"), F.size("embedding").alias("dimensions"))
+
+
+@query("SELECT b.block_id, CASE WHEN pos % 3 = 0 THEN 'undecided' WHEN pos % 3 = 1 THEN 'keep' ELSE 'undecided' END AS decision FROM blocks b")
+def decisions_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions joined to blocks by key: none for a third of them, an invalid value for another."""
+    lines = _lines(spark, d)
+    known = lines.where("pos % 3 <> 0").select(*duplicates.KEY, F.when(F.col("pos") % 3 == 1, "keep").otherwise("maybe").alias("decision"))
+    return duplicates.with_decisions(lines, known).select("block_id", "decision")
+
+
+@query("SELECT block_id, CASE WHEN pos % 3 = 0 THEN text ELSE upper(block_id) END AS analysis_text FROM blocks")
+def analysis_texts(spark: SparkSession, d: str) -> DataFrame:
+    own = F.when(F.col("pos") % 3 != 0, F.upper("block_id"))
+    return src.with_analysis_text(_lines(spark, d).withColumn("analysis_text", own)).select("block_id", "analysis_text")
+
+
+@query("SELECT path, 1002 AS code, 'not UTF-8' AS reason FROM files WHERE doc_id % 5 = 0")
+def quarantined_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file in five ends with a byte that UTF-8 doesn't have."""
+    bad = F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("FF"))).otherwise(F.lit("").cast("binary"))
+    docs = _table(spark, d, "documents")
+    files = src.document_files(docs, "doc_id").withColumn("content", F.concat(F.col("content").cast("binary"), bad))
+    return src.quarantined(files)
+
+
+@query(
+    """SELECT result_id, block_id_1, preview_1, block_id_2, preview_2, score, decision FROM (
+  SELECT lpad(doc_id::VARCHAR, 12, '0') AS result_id, 'a' || doc_id AS block_id_1, 'first ' || doc_id AS preview_1, 'b' || doc_id AS block_id_2, 'second ' || doc_id AS preview_2,
+         (doc_id % 7) / 10.0::DOUBLE AS score, CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'undecided' END AS decision FROM files) ORDER BY score DESC, result_id LIMIT 20 OFFSET 20"""
+)
+def pair_review_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of twenty pairs under review."""
+    docs = _table(spark, d, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("result_id"))
+    of = lambda sign: F.concat(F.lit(sign), F.col("doc_id").cast("string"))
+    pairs = docs.select("result_id", of("a").alias("block_id_1"), of("b").alias("block_id_2"), ((F.col("doc_id") % 7) / 10.0).alias("score"))
+    decided = docs.where("doc_id % 3 = 0").select(F.col("result_id").alias("decision_id"), F.lit("keep").alias("decision"))
+    blocks = docs.select(of("a").alias("block_id"), of("first ").alias("text")).unionByName(docs.select(of("b").alias("block_id"), of("second ").alias("text")))
+    return dec.pair_review(pairs, decided, blocks, 1, 20)
 
 
 _RESULTS = """, pairs AS (SELECT block_id AS a, lead(block_id) OVER (PARTITION BY h ORDER BY path, block_id) AS b, rank, n FROM groups),
@@ -303,11 +345,12 @@ def render_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return render.render(done.withColumn("block_type", kind)).select("output_path", F.md5("content").alias("content_md5"))
 
 
-@query(_FINAL + "SELECT count(*) AS blocks, count(*) FILTER (new IN ('keep', 'delete')) AS decided, count(*) FILTER (new = 'undecided') AS undecided, (SELECT count(*) FROM groups WHERE rank = 1) AS exact_groups, 0::BIGINT AS similar_pairs FROM final")
+@query(_FINAL + "SELECT count(*) AS blocks, count(*) FILTER (new IN ('keep', 'delete')) AS decided, count(*) FILTER (new = 'undecided') AS undecided, (SELECT count(*) FROM groups WHERE rank = 1) AS exact_groups, (SELECT count(*) FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4) AS similar_pairs FROM final")
 def status_summary(spark: SparkSession, d: str) -> DataFrame:
     decided = _decided(spark, d)
     members = duplicates.exact_groups(decided)
-    return dec.status(duplicates.applied(decided, duplicates.suggestions(members)), members, None)
+    pairs = semantic.similar_pairs(_table(spark, d, "embeddings"), 0.4, "vec_id")
+    return dec.status(duplicates.applied(decided, duplicates.suggestions(members)), members, pairs)
 
 
 @query()

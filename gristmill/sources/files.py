@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import EngineError
+from ..errors import CODES, EngineError
 from ..functions.text import block_type, clipped, infer_element_type, normalize, strip
 from ..schemas import DUPLICATE_GROUPS, MARKDOWN_SUFFIXES
 
@@ -28,8 +28,10 @@ def listing(spark: SparkSession, root: str, suffixes: tuple[str, ...] = MARKDOWN
     """path, size, modified of the files of a folder.  Names that begin with _ or . are hidden, as in every file source."""
     from pyspark.errors import AnalysisException
 
+    either = lambda x: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x)
+    glob = "*{" + ",".join(map(either, suffixes)) + "}"  # so that other files are listed only, not read
     try:
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(root)
     except AnalysisException as e:
         raise EngineError(f"not a readable folder: {root}", "INVALID_DIRECTORY") from e
     rows = rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
@@ -38,15 +40,43 @@ def listing(spark: SparkSession, root: str, suffixes: tuple[str, ...] = MARKDOWN
 
 
 def markdown_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """file_id, path, content of a folder's Markdown files, decoded as UTF-8."""
-    rows = listing(spark, root, recursive=recursive)
-    return rows.select(F.md5("path").alias("file_id"), "path", F.decode("content", "UTF-8").alias("content"))
+    """file_id, path, content of a folder's Markdown files that are UTF-8; quarantined() has the others."""
+    return decoded(listing(spark, root, recursive=recursive)).where("content IS NOT NULL")
 
 
-def document_files(docs: DataFrame) -> DataFrame:
-    """file_id, path, content from a table of documents (doc_id, text, source)."""
+def markdown_file(spark: SparkSession, path: str) -> DataFrame:
+    """The same of one file; an error if it isn't there, isn't Markdown or isn't UTF-8."""
+    try:
+        found = decoded(listing(spark, path, recursive=False))
+        row = found.first()
+    except EngineError as e:
+        raise EngineError(f"no such file: {path}", "FILE_NOT_FOUND") from e
+    if row is None or row["content"] is None:
+        raise EngineError(f"not a Markdown file in UTF-8: {path}", "FILE_PROCESSING_ERROR", {"path": path})
+    return found
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """file_id, path, content of files (path, binary content); content is null where the bytes aren't UTF-8."""
+    return files.select(F.md5("path").alias("file_id"), "path", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def quarantined(files: DataFrame) -> DataFrame:
+    """path, code, reason of files (path, binary content) that can't be processed; the others go on without them."""
+    rows = decoded(files).where("content IS NULL")
+    return rows.select("path", F.lit(CODES["FILE_PROCESSING_ERROR"]).alias("code"), F.lit("not UTF-8").alias("reason"))
+
+
+def with_analysis_text(blocks: DataFrame) -> DataFrame:
+    """blocks (text) whose analysis_text is the text (empty, if that is null) wherever it is missing."""
+    own = F.col("analysis_text") if "analysis_text" in blocks.columns else F.lit(None).cast("string")
+    return blocks.withColumn("analysis_text", F.coalesce(own, "text", F.lit("")))
+
+
+def document_files(docs: DataFrame, *more: str) -> DataFrame:
+    """file_id, path, content, and more columns, from a table of documents (doc_id, text, source)."""
     path = F.concat_ws("/", F.col("source"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")))
-    return docs.select(F.md5(path).alias("file_id"), path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    return docs.select(F.md5(path).alias("file_id"), path.alias("path"), F.coalesce("text", F.lit("")).alias("content"), *more)
 
 
 def split_markdown(files: DataFrame) -> DataFrame:
@@ -78,10 +108,10 @@ def split_markdown(files: DataFrame) -> DataFrame:
     return whole.select("file_id", "path", pos.alias("pos"), "element_type", "raw_text")
 
 
-def split_lines(files: DataFrame) -> DataFrame:
-    """The same columns with an element for each line that isn't blank."""
-    lines = files.select("file_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "raw_text"))
-    return lines.where(strip(F.col("raw_text")) != "").select("file_id", "path", "pos", F.lit("Text").alias("element_type"), "raw_text")
+def split_lines(files: DataFrame, *more: str) -> DataFrame:
+    """The same columns, and more of files', with an element for each line that isn't blank."""
+    lines = files.select("file_id", "path", *more, F.posexplode(F.split("content", "\n", -1)).alias("pos", "raw_text"))
+    return lines.where(strip(F.col("raw_text")) != "").select("file_id", "path", "pos", F.lit("Text").alias("element_type"), "raw_text", *more)
 
 
 def blocks(elements: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas
 from .functions.text import one_of
@@ -18,6 +21,12 @@ _KEYS = {
 }
 
 
+_ENUMS = {
+    "pair_decisions": {"decision": (schemas.BLOCK_DECISIONS, "undecided")},
+    "block_decisions": {"decision": (schemas.BLOCK_DECISIONS, "undecided")},
+}
+
+
 class Store:
     """Reads give DataFrames; writes are keyed upserts.  A write makes a new version of the table's folder, and a version
     counts once Spark has marked it whole, so a reader or a lost job never sees half of one."""
@@ -67,6 +76,34 @@ class Store:
         self.upsert("files", new.select(F.md5("path").alias("file_id"), "path", F.current_timestamp().alias("registered_at"), F.create_map().cast("map<string,string>").alias("metadata")))
         return self.read("files").select("file_id", "path")
 
+    def load_json(self, name: str, path: str) -> DataFrame:
+        """The table's records in a JSON file: an array of objects, or an object of them by id.
+
+        A missing or empty file gives no rows.  One that isn't such JSON is renamed, with .corrupt and the time behind its
+        name, and gives no rows either, as a missing one does from then on.  Values of unknown enumerations become their default.
+        """
+        schema, keys = _KEYS[name]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        at = hadoop.Path(path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        none = self.spark.createDataFrame([], schema)
+        if not fs.exists(at) or not fs.getFileStatus(at).getLen():
+            return none
+        whole = self.spark.read.text(path, wholetext=True)
+        record = T.StructType(list(schema.fields))
+        listed, named = F.from_json("value", T.ArrayType(record)), F.map_values(F.from_json("value", T.MapType(T.StringType(), record)))
+        begins = F.substring(F.ltrim("value"), 1, 1)
+        parsed = whole.select(F.trim("value").alias("value"), F.when(begins == "[", listed).when(begins == "{", named).alias("rows"))
+        if not parsed.where((F.col("value") != "") & (F.col("rows").isNull() | F.expr("try_parse_json(value) IS NULL"))).isEmpty():
+            fs.rename(at, hadoop.Path(f"{path}.corrupt.{datetime.now():%Y%m%d%H%M%S}"))
+            return none
+        rows = parsed.select(F.explode("rows").alias("r")).select("r.*")
+        for c, (values, default) in _ENUMS.get(name, {}).items():
+            rows = rows.withColumn(c, one_of(F.col(c), values, default))
+        for k in keys:
+            rows = rows.where(F.col(k).isNotNull() & (F.col(k) != ""))
+        return rows
+
     def file(self, file_id: str) -> DataFrame:
         return self.read("files").where(F.col("file_id") == file_id)
 

@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.errors import EngineError
 from gristmill.functions import text as fn
 from gristmill.operators import decisions as dec
 from gristmill.operators import duplicates, merge, render, semantic, simhash
@@ -27,15 +28,74 @@ def code(*texts, kind="code", file="f"):
         (("```\npython", "print('Hello')", FENCE), 1, "```\npython print('Hello')", None),
         (("```python import x", "y", FENCE), 1, "\ny", "python"),
         ((FENCE, FENCE), 1, "", None),
+        (("```python\nimport x\n", "y", FENCE), 1, "import x\ny", "python"),
+        (("```python\n", "a = 1\r\n", "z\n```"), 1, None, "python"),
+        (("```python", "def f():\n    return 1\n", "x = f()\n", FENCE), 1, "\ndef f():\n    return 1\nx = f()\n", "python"),
     ],
 )
 def test_merge_examples(texts, gap, want, language):
     out, members = merge.fold(code(*texts), gap)
-    assert [r["text"] for r in out] == [want]
+    assert [r["text"] for r in out] == [merge.body_of(list(texts)) if want is None else want]
     assert out[0]["block_type"] == "code_merged" and out[0]["language"] == language
     assert len(members) == len(texts) and {m["merged_into"] for m in members} == {out[0]["block_id"]}
 
 
+def test_merge_body_keeps_line_ends():
+    assert merge.body_of(["```python\n", "a = 1\r\n", "z\n```"]) == "\na = 1\r\nz\n"
+    assert merge.body_of(["```python\nimport x\n", "y", "```"]) == "import x\ny"
+    assert merge.body_of(["\n```python", "x", "```"]) == "\n```python x"
+    assert merge.body_of(["", "x"]) == "\nx"
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "good.md").write_text("# A\n\nä")
+    (tmp_path / "bad.MD").write_bytes(b"# \xff\xfe")
+    (tmp_path / "other.txt").write_text("x")
+    assert [r["content"] for r in src.markdown_files(spark, str(tmp_path)).collect()] == ["# A\n\nä"]
+    assert [tuple(r) for r in src.quarantined(src.listing(spark, str(tmp_path))).collect()] == [(f"{tmp_path}/bad.MD", 1002, "not UTF-8")]
+    assert src.markdown_file(spark, f"{tmp_path}/good.md").first()["content"] == "# A\n\nä"
+    for name, number in (("bad.MD", 1002), ("none.md", 1001), ("other.txt", 1002)):
+        with pytest.raises(EngineError) as e:
+            src.markdown_file(spark, f"{tmp_path}/{name}")
+        assert e.value.number == number
+
+
+def test_store_recovers_from_broken_files(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store")
+    path = tmp_path / "decisions.json"
+    assert store.load_json("block_decisions", str(path)).count() == 0
+    path.write_text("")
+    assert store.load_json("block_decisions", str(path)).count() == 0
+    path.write_text("{invalid json")
+    assert store.load_json("block_decisions", str(path)).count() == 0
+    assert not path.exists() and [p.read_text() for p in tmp_path.glob("decisions.json.corrupt.*")] == ["{invalid json"]
+    row = '{"path": "p", "block_id": "b", "block_type": "text", "decision": %s, "decided_at": "2024-01-02T03:04:05"}'
+    path.write_text("[" + row % '"keep"' + ", " + row.replace('"b"', '"c"') % '"maybe"' + ', {"path": "p"}]')
+    assert sorted((r["block_id"], r["decision"]) for r in store.load_json("block_decisions", str(path)).collect()) == [("b", "keep"), ("c", "undecided")]
+    path.write_text('{"x": ' + row % '"delete"' + "}")
+    assert [r["decision"] for r in store.load_json("block_decisions", str(path)).collect()] == ["delete"]
+
+
+def test_updates_and_pair_review(spark):
+    blocks = spark.createDataFrame([("p", "b1", "text", "one\ntwo"), ("p", "b2", "text", None)], "path string, block_id string, block_type string, text string")
+    decided = spark.createDataFrame([("p", "b1", "text", "keep")], "path string, block_id string, block_type string, decision string")
+    for key, value, holds, want in (("p::b1::text", "delete", True, "delete"), ("p::b1::text", "keep", True, "keep"), ("p::b9::text", "delete", False, "keep"), ("p::b1", "delete", False, "keep"), ("p::b1::text", "maybe", False, "keep"), ("", "keep", False, "keep")):
+        after, ok = dec.update(decided, blocks, key, value)
+        assert ok == holds and [r["decision"] for r in after.collect()] == [want]
+    pairs = spark.createDataFrame([("r1", "b1", "b2", "semantic_similarity", 0.8), ("r2", "b2", "b1", "semantic_similarity", 0.9)], "result_id string, block_id_1 string, block_id_2 string, analysis_type string, score double")
+    chosen = dec.decide_pair(pairs, "r2", "keep")
+    assert [r["decision_id"] for r in chosen.collect()] == ["r2"] and dec.decide_pair(pairs, "r2", "x").count() == 0 and dec.decide_pair(pairs, "r9", "keep").count() == 0
+    got = dec.pair_review(pairs, chosen, blocks, 0, 2).collect()
+    assert [(r["result_id"], r["decision"]) for r in got] == [("r2", "keep"), ("r1", "undecided")] and got[1]["preview_1"] == "one two"
+
+
+def test_encoder_by_name():
+    assert semantic.load_encoder("gristmill.operators.semantic:hashing_encoder") is semantic.hashing_encoder
+    for name in ("gristmill.operators.semantic:none", "no_such_module:f", "", "gristmill:__name__"):
+        with pytest.raises(EngineError):
+            semantic.load_encoder(name)
+
+
 def test_merge_gap_and_conservation():
     rows = code("```python", ("text", "a"), ("text", "b"), FENCE)
     assert merge.fold(rows, 1) == (rows, [])
@@ -170,7 +230,16 @@ def test_similar_pairs_and_simhash(spark):
     assert [(r["id_1"], r["id_2"]) for r in got] == [("A", "B")]
     words = [f"w{i}" for i in range(400)]
     docs = spark.createDataFrame([("1", " ".join(words)), ("2", " ".join(words[:-1])), ("3", "other words entirely"), ("4", None)], "block_id string, text string")
-    assert simhash.similar(simhash.fingerprints(docs.na.fill("")), 3).count() <= 3
+    prints = spark.createDataFrame([(b, h) for b, h in (("a", 0), ("b", 7), ("c", 7), ("d", -1), ("e", -(1 << 63)), ("f", 15))], "block_id string, simhash long")
+    got = {tuple(r) for r in simhash.similar(prints, 3).collect()}
+    value = {0, 7, -1, -(1 << 63), 15}
+    far = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    assert got == {(x, y, far(x, y)) for x in value for y in value if x < y and far(x, y) <= 3} and len(got) >= 3
+    assert ("b", "c", 0) in {tuple(r) for r in simhash.similar_blocks(prints, 3).collect()} and simhash.similar_blocks(prints, 3).count() == len(got) + 1
+    assert simhash.fingerprints(docs.na.fill("")).count() == 4
+    odd = [("F", [1.0, 0.0]), ("G", [1.0, float("nan"), 0.0]), ("H", [None, 1.0, 0.0]), ("I", [2.0, 0.0]), (None, [1.0, 0.0])]
+    got = semantic.similar_pairs(spark.createDataFrame(rows + odd, "block_id string, embedding array<double>"), 0.85).collect()
+    assert sorted((r["id_1"], r["id_2"]) for r in got) == [("A", "B"), ("F", "I")]
 
 
 def test_rich_rendering_and_paths(spark):
