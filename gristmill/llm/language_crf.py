@@ -10,6 +10,7 @@ language has the largest mean probability over its words with a letter.
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -35,23 +36,29 @@ _RUNS = re.compile(r"[^\W\d_]+").findall
 WIDEST, PIECE = 40, 8
 #: What stands inside a word unseen: soft hyphen, joiner and non-joiner, word joiner.
 _UNSEEN = "\u00ad\u200c\u200d\u2060"
+_EDGE = string.punctuation + string.digits
 #: Words (and 32 code points of tokens) that a worker's cache holds before it starts anew, padded words that are scored at once, words whose features
 #: are held at once, and code points of the texts that are taken apart at once (a longer text alone).
-CACHE, BLOCK, SLICE, CHUNK = 200_000, 200_000, 10_000, 1_000_000
+CACHE, BLOCK, SLICE, CHUNK = 300_000, 300_000, 10_000, 2_000_000
 
 
 def pieces(token: str) -> list[str]:
     """The token's words in lower case: its runs of letters in turn, whole or in pieces; marks on letters are left out."""
     token = token.lower()
-    if not token.isascii() and not token.isalpha():
-        token = "".join(c for c in token if c not in _UNSEEN and unicodedata.category(c)[0] != "M")
+    core = token.strip(_EDGE)
+    if core.isalpha():  # a single run
+        found = [core]
+    else:
+        if not token.isascii():
+            token = "".join(c for c in token if c not in _UNSEEN and unicodedata.category(c)[0] != "M")
+        found = _RUNS(token)
     out = []
-    for run in _RUNS(token):
+    for run in found:
         if len(run) > WIDEST:
             out += [run[i : i + PIECE] for i in range(0, len(run), PIECE)]
         else:
             out.append(run)
-    return [w for w in out if any(map(str.isalpha, w))]
+    return out if core and found[:1] == [core] else [w for w in out if any(map(str.isalpha, w))]
 
 
 def _hashed(kind: int, *points: np.ndarray) -> np.ndarray:
@@ -105,6 +112,33 @@ def _sums(weights: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chain(weight: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward weights (T, B, L) of sequences of label weights (T, B, L), each place's up to a factor.
+
+    Weights and steps are at most 1; scales are taken out at every other place, between which nothing can vanish.
+    """
+    t, b, n = weight.shape
+    one = np.ones((n, 1), weight.dtype)  # a product adds few labels up faster than a sum along them
+    forward, backward = np.empty_like(weight), np.empty_like(weight)
+    np.divide(weight[0], weight[0] @ one, out=forward[0])
+    for i in range(1, t):
+        f = forward[i]
+        np.matmul(forward[i - 1], step, out=f)
+        f *= weight[i]
+        if i & 1:
+            f /= f @ one
+    backward[t - 1] = 1
+    back, shortest = np.ascontiguousarray(step.T), int(lengths.min())
+    for i in range(t - 2, -1, -1):
+        z = backward[i]
+        np.matmul(backward[i + 1] * weight[i + 1], back, out=z)
+        if i & 1:
+            z /= z @ one
+        if i + 1 >= shortest:
+            z[lengths <= i + 1] = 1
+    return forward, backward
+
+
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, expected: bool = False):
     """Label distributions (B, T, L) of sequences padded at their end; with expected, also the sum of pair distributions.
 
@@ -112,31 +146,19 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
     """
     b, t, n = emissions.shape
     step = np.exp(transitions - transitions.max())
-    weight = np.exp(emissions - emissions.max(axis=2, keepdims=True))
-    live = np.arange(t)[None, :] < lengths[:, None]
-    forward, backward = np.empty_like(weight), np.ones_like(weight)
-    a = weight[:, 0] / weight[:, 0].sum(1, keepdims=True)
-    forward[:, 0] = a
-    for i in range(1, t):
-        a = (a @ step) * weight[:, i]
-        a /= a.sum(1, keepdims=True)
-        forward[:, i] = a
-    z = np.ones((b, n), weight.dtype)
-    for i in range(t - 2, -1, -1):
-        z = (z * weight[:, i + 1]) @ step.T
-        z /= z.sum(1, keepdims=True)
-        z = np.where(live[:, i + 1, None], z, 1)
-        backward[:, i] = z
+    weight = np.exp(emissions - emissions.max(axis=2, keepdims=True)).transpose(1, 0, 2).copy()
+    forward, backward = _chain(weight, lengths, step)
     marginal = forward * backward
     marginal /= marginal.sum(2, keepdims=True)
     if not expected:
-        return marginal, None
+        return marginal.transpose(1, 0, 2), None
+    live = np.arange(t)[None, :] < lengths[:, None]
     pairs = np.zeros((n, n))
     for i in range(1, t):
-        p = forward[:, i - 1, :, None] * step * (weight[:, i] * backward[:, i])[:, None, :]
+        p = forward[i - 1][:, :, None] * step * (weight[i] * backward[i])[:, None, :]
         p /= p.sum((1, 2), keepdims=True)
         pairs += p[live[:, i]].sum(0)
-    return marginal, pairs
+    return marginal.transpose(1, 0, 2), pairs
 
 
 @dataclass
@@ -147,11 +169,11 @@ class Model:
     lexicon: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.cache: dict[str, int] = {}
-        self.rows = np.zeros((0, 1), np.float32)
-        self.letters = np.zeros(0, bool)
-        self.first, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = self.held = 0
+        self.cache: dict[str, int] = {}  # number of each token
+        self.words: dict[str, int] = {"": 0}  # row of each word, 0 for none
+        self.rows = np.ones((1, len(self.languages)), np.float32)  # the labels' weights, 1 at most
+        self.first, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each token: first row, rows
+        self.used, self.held = 1, 0
 
     def __getstate__(self):
         return self.languages, self.weights, self.transitions, self.lexicon
@@ -160,34 +182,42 @@ class Model:
         self.languages, self.weights, self.transitions, self.lexicon = state
         self.__post_init__()
 
+    def _learn(self, new: list[str]) -> None:
+        """Gives numbers to tokens, and rows to their words: a token's one word has the row of that word, several have rows in turn."""
+        start = len(self.cache)
+        self.cache.update(zip(new, range(start, start + len(new))))
+        parts = [pieces(t) for t in new]
+        words = sorted({w for p in parts for w in p}.difference(self.words), key=len)  # so that slices need little filling up
+        several = [k for k, p in enumerate(parts) if len(p) > 1]
+        at, end = self.used + len(words), self.used + len(words) + sum(len(parts[k]) for k in several)
+        if len(self.rows) < end:
+            rows = self.rows[: self.used]
+            self.rows = np.zeros((2 * end, len(self.languages)), np.float32)
+            self.rows[: self.used] = rows
+        for k in range(0, len(words), SLICE):
+            part = words[k : k + SLICE]
+            found = _sums(self.weights, features(part, self.lexicon))
+            self.rows[self.used + k : self.used + k + len(part)] = np.exp(found - found.max(axis=1, keepdims=True))
+        self.words.update(zip(words, range(self.used, at)))
+        row = self.words.__getitem__
+        first = np.fromiter((row(p[0]) if p else 0 for p in parts), np.int64, len(parts))
+        counts = np.fromiter((len(p) or 1 for p in parts), np.int64, len(parts))
+        if several:
+            self.rows[at:end] = self.rows[[row(w) for k in several for w in parts[k]]]
+            sizes = counts[several]
+            first[several] = at + np.cumsum(sizes) - sizes
+        self.first, self.counts = np.concatenate([self.first, first]), np.concatenate([self.counts, counts])
+        self.held += len(new) + end - at + sum(map(len, new)) // 32
+        self.used = end
+
     def places(self, documents: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Each document's words as rows of self.rows (a token without a letter has one row too), and its tokens' numbers of them."""
+        """Each document's words as rows of self.rows (row 0 for a token without a letter), and its tokens' numbers of them."""
         new = list(set().union(*documents).difference(self.cache)) if documents else []
         if self.held > CACHE:
             self.__post_init__()
             new = list(set().union(*documents))
         if new:
-            start = len(self.cache)
-            self.cache.update(zip(new, range(start, start + len(new))))
-            parts = [pieces(t) or [""] for t in new]
-            counts = np.fromiter(map(len, parts), np.int64, len(parts))
-            begin, end = self.used, self.used + int(counts.sum())
-            self.first = np.concatenate([self.first, begin + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.used, self.held = end, self.held + end - begin + sum(map(len, new)) // 32
-            if len(self.rows) < end:
-                rows, letters = self.rows[:begin], self.letters[:begin]
-                self.rows, self.letters = np.zeros((2 * end, len(self.languages)), np.float32), np.zeros(2 * end, bool)
-                if begin:
-                    self.rows[:begin], self.letters[:begin] = rows, letters
-            cores = [w for p in parts for w in p]
-            words = sorted(set(cores), key=len)  # so that slices need little filling up
-            place = {w: i for i, w in enumerate(words)}
-            found = np.zeros((len(words), len(self.languages)), np.float32)
-            for at in range(0, len(words), SLICE):
-                found[at : at + SLICE] = _sums(self.weights, features(words[at : at + SLICE], self.lexicon))
-            self.rows[begin:end] = found[np.fromiter(map(place.__getitem__, cores), np.int64, len(cores))]
-            self.letters[begin:end] = np.fromiter(map(bool, cores), bool, len(cores))
+            self._learn(new)
         get, rows, sizes = self.cache.__getitem__, [], []
         for d in documents:
             tokens = np.fromiter(map(get, d), np.int64, len(d))
@@ -201,6 +231,7 @@ class Model:
         """(place, distributions of its words, which words have a letter, words of each token) of each document that has tokens."""
         places, sizes = self.places(documents)
         order = sorted((k for k, p in enumerate(places) if len(p)), key=lambda k: len(places[k]))
+        step = np.exp(self.transitions - self.transitions.max()).astype(np.float32) if order else None
         begin = 0
         while begin < len(order):
             end = begin + 1
@@ -208,12 +239,14 @@ class Model:
                 end += 1
             group = order[begin:end]
             lengths = np.array([len(places[k]) for k in group])
-            padded = np.zeros((len(group), lengths[-1]), np.int64)
+            padded = np.zeros((lengths[-1], len(group)), np.int64)
             for i, k in enumerate(group):
-                padded[i, : lengths[i]] = places[k]
-            found, _ = forward_backward(self.rows[padded], lengths, self.transitions.astype(np.float32))
+                padded[: lengths[i], i] = places[k]
+            forward, backward = _chain(self.rows[padded], lengths, step)
+            forward *= backward
+            forward /= forward @ np.ones((len(self.languages), 1), np.float32)
             for i, k in enumerate(group):
-                yield k, found[i, : lengths[i]], self.letters[places[k]], sizes[k]
+                yield k, forward[: lengths[i], i], places[k] > 0, sizes[k]
             begin = end
 
     def labelled(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
