@@ -520,3 +520,60 @@ def test_shingle_join_lists_with_many_components(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for n, percent in ((3, 90), (5, 80), (1, 100)):
         assert key(tuple(r) for r in shingle_join.similarity_groups(docs, n, percent).collect()) == key(brute_groups(rows, n, percent))
+
+
+def written_table(spark, rows, folder):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def brute_pipeline(spark, rows):
+    """The pipeline's result (doc_id, n_tokens, digest of ids) by plain loops, the operators' SQL and the tokenizer's library."""
+    import duckdb
+    import pandas as pd
+    import public_tokenizers
+    import tokenizers
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language_crf.trained(docs)
+    rows = [r for r in rows if naive_language(r[1], model)[0] != "und"]
+    ids = {d for d, _, c in brute_groups([(r[0], r[1]) for r in rows], 5, 80) if d == c}
+    rows = list({r[0]: r for r in rows if r[0] in ids}.values())
+    clean = []
+    for doc, text, _, source, _ in rows:
+        out, at = "", 0
+        for start, end in sorted((m.start(), m.end()) for r in secret_scan.RULES for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.least):
+            if start > at or at == 0:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        clean.append((doc, out + text[at:], source))
+    documents = pd.DataFrame(clean, columns=["doc_id", "text", "source"])  # noqa: F841
+    taken = {d: round(t / n) for d, n, t in duckdb.sql(f"WITH documents AS (SELECT * FROM documents) SELECT doc_id, size, taken FROM ({source_mix.ORACLE}) WHERE size > 0").fetchall()}
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = {doc: library.encode(text, add_special_tokens=False).ids for doc, text, _ in clean}
+    return [(doc, len(encoded[doc]), encoded[doc]) for doc, _, _ in clean for _ in range(taken[doc])]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect() if len(r["text"] or "") < 6000]
+    rows += [(9_001, None, "en", "a", 0), (9_002, "", None, None, 0), (9_003, "12 34 !", "en", "a", 7), (9_004, "token=abcdefg and a word for it", "en", None, 31), (9_004, "token=abcdefg and a word for it", "en", None, 31)]
+    got = [(r["doc_id"], r["n_tokens"], list(r["ids"])) for r in corpus_pipeline.run(spark, written_table(spark, rows, tmp_path)).collect()]
+    assert key(got) == key(brute_pipeline(spark, rows))
+
+
+def test_pipeline_stages_on_hard_and_empty_tables(spark, hard, empty, tmp_path):
+    import corpus_pipeline
+
+    clashing = hard.withColumns({"lang_pred": F.lit("own"), "score": F.lit("own"), "size": F.lit(1), "key": F.lit("k"), "copies": F.lit(9), "r_size": F.lit(2)})
+    for docs in (hard, clashing):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, D)
+            assert out.columns == (["doc_id", "n_tokens", "ids"] if name == "encode" else docs.columns), name
+            assert out.count() >= 3, name
+    kept = corpus_pipeline.language(spark, clashing, D).collect()
+    assert {r["lang_pred"] for r in kept} == {r["score"] for r in kept} == {"own"} and {r["lang"] for r in kept} <= {"en", "fr"}
+    assert corpus_pipeline.secrets(spark, hard, D).count() == len(HARD) and corpus_pipeline.encode(spark, hard, D).count() == len(HARD)
+    assert all(stage(spark, empty, D).count() == 0 for _, stage in corpus_pipeline.STAGES)
+    assert corpus_pipeline.run(spark, written_table(spark, [], tmp_path)).count() == 0
