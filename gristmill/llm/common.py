@@ -61,15 +61,16 @@ def written(df: DataFrame) -> DataFrame:
     return frame
 
 
-def discard(*frames: DataFrame | None) -> None:
+def discard(*frames: DataFrame | None, shuffles: bool = False) -> None:
     """Deletes what written() has written, once nothing that is yet to run reads it.
 
-    Executors keep the shuffle files of finished plans until the driver collects its garbage, so that is done here too.
+    Executors keep the shuffle files of finished plans until the driver collects its garbage: with shuffles, that is done
+    too, where much has been shuffled.
     """
     gone = [f for f in frames if f is not None and hasattr(f, "folder")]
     for f in gone:
         f.folder.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(f.folder, True)
-    if gone:
+    if gone and shuffles:
         gone[0].sparkSession._jvm.System.gc()
 
 
