@@ -226,7 +226,7 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     before = F.coalesce(F.col("a.p1").isin(F.col("b.p1"), F.col("b.p2")), F.lit(False)) | F.coalesce(F.col("a.p2").isin(F.col("b.p1"), F.col("b.p2")), F.lit(False))
     met = outside.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & once & apart & ~before & _near("a", "b", percent))
     pairs = written(met.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct())
-    discard(rows, shuffles=True)
+    discard(rows)
     return pairs
 
 
@@ -314,16 +314,16 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     there = whole.where("n > 0")
     groups = written(there.groupBy("gid").agg(F.first(F.struct(F.col("n").alias("size"), "often", "last", "prefix")).alias("g")).select("gid", "g.*"))
     base = written(whole.select("doc_id", "n", "cls", "gid"))
-    discard(whole, shuffles=True)
+    discard(whole)
     classes = written(base.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")))
     lists = written(shared(groups))
-    discard(groups, shuffles=True)
+    discard(groups)
     within = classes.groupBy("gid").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("gid", "a")
     within = classes.join(within, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
     single = classes.select("cls", "gid", F.col("cls").alias("label"))
     pairs = written(expanded(plausible(hub_pairs(lists, percent), lists, percent), single).unionByName(within))
     links, sets = linked(docs, pairs, None, words, percent)
-    discard(pairs, shuffles=True)
+    discard(pairs)
 
     first = components(links)
     named = written(classes.join(first.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")))
@@ -333,7 +333,7 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     within = left.join(right, "gid").where("a < b AND label_a <> label_b").select("a", "b")
     pairs = written(rest.unionByName(within))
     more, last_sets = linked(docs, pairs, sets, words, percent)
-    discard(pairs, sets, last_sets, lists, shuffles=True)
+    discard(pairs, sets, last_sets, lists)
     # links between components, named by their labels, join them
     nodes = named.select("cls", "label")
     joins = more.join(nodes.toDF("a", "label_a"), "a").join(nodes.toDF("b", "label_b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
