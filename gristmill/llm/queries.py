@@ -22,4 +22,5 @@ ORACLE_SQL = {
     "op5_source_mix": source_mix.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
     "op9_shingle_join": shingle_join.ORACLE,
+    "op10_secret_scan": secret_scan.ORACLE,
 }

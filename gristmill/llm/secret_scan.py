@@ -231,3 +231,48 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(F.filter("spans", lambda s: s["kind"] < len(BASE))), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _oracle() -> str:
+    """The query in DuckDB SQL: matches and the text between them, whose lengths add up to places.
+
+    SQL's expressions fold more than A-Z, so letters in either case are spelt out; they have neither look-ahead nor
+    possessive repeats, so a key's markers are listed and each BEGIN goes to an END next to it, else over what follows.  The
+    two can differ only in a key without END whose lines begin with + or whose header names an armour line without a body.
+    """
+    either = lambda m: re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1])
+    rules = {r.kind: re.sub(r"\(\?i:([^)]*)\)", lambda m: f"(?:{either(m)})", r.pattern) for r in RULES if r.kind != "pem"}
+    rules["assign"] = rules["assign"].replace("((?:", "(?:(?:")
+    marker = f"-----(?:BEGIN|END) {_NAME}"
+    after = _PEM.split(f"-----END {_NAME}|", 1)[1][:-1].replace("*+", "*").replace("++", "+").replace("}+", "}").replace("(?=", "(?:")
+    parts = [
+        f"SELECT row, {k} AS kind, {r.least} AS least, {_quoted(rules.get(r.kind, marker))} AS pattern, regexp_extract_all(text, {_quoted(rules.get(r.kind, marker))}) AS m, string_split_regex(text, {_quoted(rules.get(r.kind, marker))}) AS gaps FROM docs"
+        for k, r in enumerate(RULES)
+    ]
+    group = f"length(regexp_extract(m, {_quoted(rules['assign'])}, 1)) >= least"
+    kinds = ", ".join(f"'{r.kind}'" for r in RULES)
+    pem = next(k for k, r in enumerate(RULES) if r.kind == "pem")
+    line = f"regexp_extract(gap_after, {_quoted('^(?:' + after + ')')})"
+    tail = r"regexp_matches(body, '[\r\n\\\\]$')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+matched AS ({" UNION ALL ".join(parts)}),
+each AS (SELECT row, kind, least, unnest(m) AS m, unnest(gaps[1:len(m)]) AS gap, unnest(gaps[2:]) AS gap_after, generate_subscripts(m, 1) AS i FROM matched),
+placed AS (SELECT *, sum(length(gap) + length(m)) OVER w AS stop, lead(m) OVER w AS next_m FROM each WINDOW w AS (PARTITION BY row, kind ORDER BY i)),
+keys AS (SELECT *, {line} AS body FROM placed WHERE kind = {pem} AND m LIKE '-----BEGIN%'),
+spans AS (
+  SELECT row, kind, stop - length(m) AS start, stop FROM placed WHERE kind <> {pem} AND (least = 0 OR {group})
+  UNION ALL SELECT row, kind, stop - length(m), CASE WHEN next_m LIKE '-----END%' THEN stop + length(gap_after) + length(next_m) ELSE stop + length(body) - CASE WHEN {tail} THEN 1 ELSE 0 END END FROM keys
+),
+named AS (SELECT row, kind, start, ([{kinds}])[kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS s FROM spans)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, kind), '') AS spans
+FROM docs LEFT JOIN named USING (row) GROUP BY row
+"""
+
+
+ORACLE = _oracle()
