@@ -126,7 +126,17 @@ def normalize_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).select("block_id", fn.normalize(element, raw, emphasis=False).alias("text"))
 
 
-@query()
+# Escaped marks are set aside, as SQL's expressions can't look behind.
+_ASIDE = {c: 0xE000 + k for k, c in enumerate("*_~")}
+_PLAIN = "replace(m, '`', '')"
+for _c, _code in _ASIDE.items():
+    _PLAIN = f"replace({_PLAIN}, chr(92) || '{_c}', chr({_code}))"
+_PLAIN = f"regexp_replace({_PLAIN}, '[*_~]{{1,2}}(.+?)[*_~]{{1,2}}', '\\1', 'g')"
+for _c, _code in _ASIDE.items():
+    _PLAIN = f"replace({_PLAIN}, chr({_code}), chr(92) || '{_c}')"
+
+
+@query(ORACLE_SQL["normalize_blocks"].replace("replace(m, '`', '')", _PLAIN))
 def normalize_blocks_full(spark: SparkSession, d: str) -> DataFrame:
     raw = _marked(F.col("raw_text"), F.col("pos"))
     return _lines(spark, d).select("block_id", fn.normalize(fn.infer_element_type(F.lit("Text"), raw), raw).alias("text"))

@@ -134,6 +134,21 @@ def test_normalize_matches_python(spark):
     assert all(r["s"] == r["t"].strip() for r in got)
 
 
+def test_emphasis_in_sql_matches_python():
+    import random
+
+    import duckdb
+
+    from gristmill.plans import catalogue
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("*_~\\ab\n` ", k=rng.randint(0, 14))) for _ in range(2000)]
+    with duckdb.connect() as db:
+        got = db.execute(f"SELECT {catalogue._PLAIN} FROM (SELECT unnest(?) AS m)", [texts]).fetchall()
+    want = [re.sub(r"(?<!\\)[*_~]{1,2}(.+?)(?<!\\)[*_~]{1,2}", r"\1", t.replace("`", "")) for t in texts]
+    assert [g[0] for g in got] == want
+
+
 def test_types_keys_previews(spark):
     rows = [("# T", "Title"), ("- x", "ListItem"), ("1. x", "ListItem"), ("```x", "CodeSnippet"), ("абв", "Text"), ("中文", "NarrativeText"), ("12", "Text"), ("#", "Text")]
     df = spark.createDataFrame([(r, w) for r, w in rows], "r string, w string")
