@@ -19,6 +19,9 @@ from ..shipping import ship
 
 #: The words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Parts in which a tallied array is put together.
+CHUNKS = 64
+_U = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +109,68 @@ def slices(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -
             begin = end
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes with their bits spread; changes h."""
+    h ^= h >> _U(33)
+    h *= _U(0xFF51AFD7ED558CCD)
+    h ^= h >> _U(33)
+    h *= _U(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> _U(33))
+
+
+class WordHasher:
+    """64-bit hashes of words in UTF-8: sums over their bytes of a value of the byte times a power of its place.
+
+    separators: the bytes that aren't part of a word.  lower: whether A-Z count as a-z.
+    """
+
+    def __init__(self, separators: list[int], lower: bool = False):
+        self.values = mixed(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+        if lower:
+            self.values[65:91] = self.values[97:123]
+        self.space = np.zeros(257, bool)
+        self.space[separators] = True
+        self.powers = np.ones(1, _U)
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and size of each word of data, which begins and ends with a separator."""
+        raw = np.frombuffer(data, np.uint8)
+        space = self.space[raw]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        if not len(starts):
+            return np.zeros(0, _U), starts, sizes
+        if sizes.max() >= len(self.powers):
+            self.powers = np.concatenate([[_U(1)], np.cumprod(np.full(int(sizes.max()) * 2, _U(0xA0761D6478BD642F)))])
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        terms = self.values[raw[~space]] * self.powers[place]
+        return mixed(np.add.reduceat(terms, first) + sizes.astype(_U)), starts, sizes
+
+
+def tally(df: DataFrame, mark: Callable, size: int, kind, join=np.add) -> np.ndarray:
+    """An array of fixed size gathered over all rows: mark(cells, batch) puts in a batch, join puts tasks' arrays together, by parts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(size, kind)
+        for batch in batches:
+            mark(cells, batch)
+        parts = [(k, x) for k, x in enumerate(np.split(cells, CHUNKS)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], ["chunk", "cells"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(size // CHUNKS, kind)
+        for x in group["cells"]:
+            join(total, np.frombuffer(x.as_py(), kind), out=total)
+        return pa.table({"chunk": group["chunk"][:1], "cells": pa.array([total.tobytes()], pa.binary())})
+
+    shape = "chunk int, cells binary"
+    out = np.zeros((CHUNKS, size // CHUNKS), kind)
+    for r in map_arrow(df, count, shape).groupBy("chunk").applyInArrow(add, shape).collect():
+        out[r["chunk"]] = np.frombuffer(r["cells"], kind)
+    return out.ravel()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

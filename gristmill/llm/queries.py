@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat_format, collision_ann, language_crf, lz_fingerprint, quality_neighbours, secret_scan, shingle_join, source_mix, token_count
+from . import bpe_codec, chat_format, collision_ann, delta_lloyd, language_crf, lexical_search, lz_fingerprint, passages, quality_neighbours, secret_scan, shingle_join, source_mix, token_count
 
 QUERIES = {
     "op1_lz_fingerprint": lz_fingerprint.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_collision_ann": collision_ann.query,
     "op9_shingle_join": shingle_join.query,
     "op10_secret_scan": secret_scan.query,
+    "op11_passage_dedup": passages.query,
+    "op12_lexical_search": lexical_search.query,
+    "op13_delta_lloyd": delta_lloyd.query,
 }
 
 #: Those that SQL can express; the others are tested against brute force, a round trip or held-out labels.
@@ -23,4 +26,7 @@ ORACLE_SQL = {
     "op7_chat_format": chat_format.ORACLE,
     "op9_shingle_join": shingle_join.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
+    "op11_passage_dedup": passages.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_delta_lloyd": delta_lloyd.ORACLE,
 }

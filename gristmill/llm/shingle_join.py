@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_arrow, slices, table, unused, written
+from .common import WordHasher, discard, map_arrow, mixed, slices, table, tally, unused, written
 from .components import components
 
-CELLS, CHUNKS = 1 << 20, 64
+CELLS = 1 << 20
 #: Bits of the filter that spares sets no pair asks for; it is of one size at any input's, and lets too much through at worst.
 FILTER = 1 << 24
 #: UTF-8 bytes of the texts that are shingled at once (a longer text alone).
@@ -37,60 +37,31 @@ SLICE = 1 << 22
 _U = np.uint64
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h ^= h >> _U(33)
-    h *= _U(0xFF51AFD7ED558CCD)
-    h ^= h >> _U(33)
-    h *= _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
-
-
 class Shingler:
-    """Sets of 64-bit shingle hashes of texts: sorted, without repeats.
-
-    Words are hashed for many texts at once, as sums over their bytes of a value of the byte times a power of its place.
-    """
+    """Sets of 64-bit shingle hashes of texts: sorted, without repeats; words are hashed for many texts at once."""
 
     def __init__(self, words: int):
         self.n = words
-        self.factors = _mixed(np.arange(1, words + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
-        self.values = _mixed(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
-        self.space = np.zeros(257, bool)
-        self.space[[0x20, *range(0x09, 0x0E)]] = True
-        self.powers = np.ones(1, _U)
-
-    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and start of each word of data, which begins and ends with white space."""
-        raw = np.frombuffer(data, np.uint8)
-        space = self.space[raw]
-        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-        starts, sizes = edges[::2], edges[1::2] - edges[::2]
-        if not len(starts):
-            return np.zeros(0, _U), starts
-        if sizes.max() >= len(self.powers):
-            self.powers = np.concatenate([[_U(1)], np.cumprod(np.full(int(sizes.max()) * 2, _U(0xA0761D6478BD642F)))])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-        terms = self.values[raw[~space]] * self.powers[place]
-        return _mixed(np.add.reduceat(terms, first) + sizes.astype(_U)), starts
+        self.factors = mixed(np.arange(1, words + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+        self.words = WordHasher([0x20, *range(0x09, 0x0E)])
 
     def windows(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Each text's shingle hashes, one for each place, in order."""
         for at in range(0, len(texts), 64):
             parts = [t.encode().lower() if t else b"" for t in texts[at : at + 64]]  # of bytes: lowers A-Z alone
-            words, starts = self._words(b"\n" + b"\n".join(parts) + b"\n")
+            words, starts, _ = self.words.words(b"\n" + b"\n".join(parts) + b"\n")
             ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
             runs = np.full(max(0, len(words) - self.n + 1), self.n, _U)
             for k in range(self.n if len(runs) else 0):
                 runs += words[k : k + len(runs)] * self.factors[k]
-            runs = _mixed(runs)
+            runs = mixed(runs)
             begin = 0
             for end in ends.tolist():
                 if end - begin >= self.n:
                     yield runs[begin : end - self.n + 1]
                 elif end > begin:  # a text of fewer words is one shingle
                     few = words[begin:end] * self.factors[: end - begin]
-                    yield _mixed(np.array([few.sum(dtype=_U)]) + _U(end - begin))
+                    yield mixed(np.array([few.sum(dtype=_U)]) + _U(end - begin))
                 else:
                     yield words[:0]
                 begin = end
@@ -105,29 +76,6 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1
 
 
-def _tally(df: DataFrame, mark, size: int, kind, join=np.add) -> np.ndarray:
-    """An array of fixed size gathered over all rows: mark(cells, batch) puts in a batch, join puts tasks' arrays together, by parts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(size, kind)
-        for batch in batches:
-            mark(cells, batch)
-        parts = [(k, x) for k, x in enumerate(np.split(cells, CHUNKS)) if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], ["chunk", "cells"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(size // CHUNKS, kind)
-        for x in group["cells"]:
-            join(total, np.frombuffer(x.as_py(), kind), out=total)
-        return pa.table({"chunk": group["chunk"][:1], "cells": pa.array([total.tobytes()], pa.binary())})
-
-    shape = "chunk int, cells binary"
-    out = np.zeros((CHUNKS, size // CHUNKS), kind)
-    for r in map_arrow(df, count, shape).groupBy("chunk").applyInArrow(add, shape).collect():
-        out[r["chunk"]] = np.frombuffer(r["cells"], kind)
-    return out.ravel()
-
-
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
     """Counts of shingles by hash cell over all documents: CELLS numbers, whatever the input's size."""
     shingles = Shingler(words)
@@ -137,7 +85,7 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
             for s in shingles.windows(part.column("text").to_pylist()):
                 np.add.at(cells, (s & _U(CELLS - 1)).astype(np.int64), 1)
 
-    return _tally(docs.select("text"), mark, CELLS, np.int64)
+    return tally(docs.select("text"), mark, CELLS, np.int64)
 
 
 def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -242,7 +190,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             k = int.from_bytes(c[:8], "little") % FILTER
             cells[k >> 3] |= 1 << (k & 7)
 
-    bits = docs.sparkSession.sparkContext.broadcast(_tally(wanted.select("cls"), mark, FILTER // 8, np.uint8, np.bitwise_or))
+    bits = docs.sparkSession.sparkContext.broadcast(tally(wanted.select("cls"), mark, FILTER // 8, np.uint8, np.bitwise_or))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = bits.value
