@@ -224,10 +224,11 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, busy: int = BUSY) -> D
     shape = "doc_id bigint, digest binary, begin bigint, end bigint"
     of_buckets = usual.select("doc_id", "digest", "start", "windows", "packed", bucket.alias("bucket")).groupBy("bucket").applyInArrow(sorted_bucket(window), shape)
     single = single_windows(pieces.where("busy"), window)
-    earliest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
+    # written, so that the join has plain shuffles on both sides, which AQE splits where one window is in very many documents
+    earliest = written(single.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low"))
     of_windows = single.join(earliest, ["h1", "h2"]).where("doc_id > low").select("doc_id", "digest", "begin", (F.col("begin") + window).alias("end"))
     ranges = written(of_buckets.unionByName(of_windows))
-    discard(pieces)
+    discard(pieces, earliest)
     return ranges
 
 
