@@ -90,7 +90,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, budget: int = BUDGET
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    n = vectors.count()
+    n = rows.count()
     blocks = max(1, -(-n // BLOCK), min(partitions(spark), -(-n // SMALL)))
     groups = max(1, -(-rows.where("asks").count() // GROUP))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")

@@ -19,7 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -325,23 +325,24 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 6, length: int
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST, languages: int = LANGUAGES, documents: int = DOCUMENTS) -> list[tuple[str, str]]:
-    """Rows (text, lang) by a hash of doc_id: of the `languages` most frequent ones, at most per_language of each and `documents` in all.
+    """Rows (text, lang) by a hash of doc_id and text: of the `languages` most frequent ones, at most per_language of each and `documents` in all.
 
-    Only texts of at most `longest` code points are taken, and no more than about 1.3 times the bound reaches the driver.
+    Only texts of at most `longest` code points are taken.  Rows alike in doc_id, text and lang count once; other rows of one
+    doc_id count each, and no more rows than the bound reach the driver.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text", "lang")
-    known = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
+    usable = usable.select(F.col("doc_id").cast("string").alias("doc_id"), F.md5("text").alias("digest"), "text", "lang")
+    known = usable.select("lang", "doc_id", "digest").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not known:
         return []
     most = max(1, min(per_language, documents // len(known)))
     shares = {r["lang"]: min(1.0, (1.3 * most + 20) / r["count"]) for r in known}
-    point = F.pmod(F.xxhash64(F.lit("crf"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    point = F.pmod(F.xxhash64(F.lit("crf"), "doc_id", "digest"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("lang"))
-    rows = usable.where(F.col("lang").isin(*shares)).withColumn("point", point).where(F.col("point") < share).collect()
-    out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["point"], str(r["doc_id"]), r["text"])):
-        out.setdefault(r["lang"], []).append((r["text"], r["lang"]))
-    return [x for rows in out.values() for x in rows[:most]]
+    some = usable.where(F.col("lang").isin(*shares)).withColumn("point", point).where(F.col("point") < share).dropDuplicates(["lang", "doc_id", "digest"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("point", "doc_id", "digest"))  # of about the bound's rows
+    rows = some.withColumn("place", place).where(F.col("place") <= most).select("text", "lang", "place").collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["place"]))]
 
 
 def predict(docs: DataFrame, model: Model, segments: bool = False) -> DataFrame:

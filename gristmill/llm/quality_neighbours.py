@@ -151,15 +151,17 @@ def fit(rows: list[tuple[str, int]], known: tuple[np.ndarray, int], seed: int =
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, longest: int = LONGEST) -> list[tuple[str, int]]:
-    """At most `most` rows (text, quality) by a hash of doc_id, in the labels' own proportions."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("_y"))
-    n = known.count()
-    point = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.withColumn("_point", point).where(F.col("_point") < min(1.0, 1.2 * most / max(1, n)))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where((point < min(1.0, 1.2 * most / max(1, n))) & (F.length("text") <= longest))
-    rows = texts.join(chosen, "doc_id").collect()
-    rows.sort(key=lambda r: (r["_point"], str(r["doc_id"]), r["text"], r["_y"]))
-    return [(r["text"], int(r["_y"])) for r in rows[:most]]
+    """At most `most` rows (text, quality) by a hash of doc_id and text, in the labels' own proportions.
+
+    Rows alike in doc_id and text, and in doc_id and quality, count once; no more than `most` rows reach the driver.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("_y")).distinct()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest).withColumn("_digest", F.md5("text"))
+    n = texts.select("doc_id", "_digest").distinct().join(known, "doc_id").count()
+    point = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string"), "_digest"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = texts.withColumn("_point", point).where(F.col("_point") < min(1.0, (1.2 * most + 20) / max(1, n))).dropDuplicates(["doc_id", "_digest"])
+    rows = some.join(known, "doc_id").orderBy("_point", F.col("doc_id").cast("string"), "_digest", "_y").limit(most)
+    return [(r["text"], int(r["_y"])) for r in rows.select("text", "_y").collect()]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

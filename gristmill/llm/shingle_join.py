@@ -13,6 +13,8 @@
    which connects nearly all copies of a text in linear time.  Then all others meet, in lists without the pairs that are in one
    component already: members of a list's largest component meet those outside it only.  No pair that could join two
    components is left out.
+6. Classes of one group that are in different components by then meet only where they agree in a part of what is behind the
+   prefix; of so many parts that two sets which link must agree in one that isn't empty (see inside_pairs).
 """
 
 from __future__ import annotations
@@ -178,6 +180,49 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
+def inside_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes (cls, gid, label, shingles, prefix) of one group in different components that may link.
+
+    Sets of one size that link differ in a number of shingles that the size bounds, and never in their common prefix.  The
+    others are dealt by their hash to parts, more than half of that number, so that in some part two such sets differ in one
+    shingle at most.  A part has four quarters and four digests, each without one quarter, and two such sets agree in one of
+    them.  Pairs come from equal (group, part, quarter, digest) alone.  As there are a few parts more, a set in which only
+    few parts have an empty digest needs none of those; sets in which more have are listed under them too.  A pair is given if
+    it agrees in as many parts as the differences can't spoil, without those that have an empty digest.
+    """
+    sized = members.withColumn("n", F.size("shingles").cast("long"))
+    overlap = F.expr(f"(2 * n * {percent} + {100 + percent} - 1) div {100 + percent}")
+    sized = sized.withColumn("half", F.col("n") - overlap).withColumn("parts", F.col("half") + 2 + F.expr("half * 3 div 20"))
+    tokens = sized.select("cls", "gid", "label", "half", "parts", F.explode(F.array_except("shingles", "prefix")).alias("token")).withColumn("hash", F.xxhash64("token"))
+    quarter = F.pmod(F.xxhash64(F.lit("quarter"), "token"), F.lit(4))
+    keys = ["cls", "gid", "label", "half", "parts", "part"]
+    dealt = tokens.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "token"), F.col("parts"))).groupBy(*keys).agg(*(F.bit_xor(F.when(quarter == q, F.col("hash"))).alias(f"q{q}") for q in range(4)))
+
+    def without(q: int) -> Column:
+        others = [F.col(f"q{k}") for k in range(4) if k != q]
+        x, y, z = (F.coalesce(c, F.lit(0).cast("long")) for c in others)
+        return F.struct(F.lit(q).alias("quarter"), F.when(F.coalesce(*others).isNotNull(), x.bitwiseXOR(y).bitwiseXOR(z)).alias("sign"))
+
+    signed = dealt.withColumn("signs", F.array(*map(without, range(4)))).select(*keys, "signs", (~F.exists("signs", lambda s: s["sign"].isNull())).alias("usable"))
+    count = signed.groupBy("cls").agg(F.count_if("usable").alias("usable"), F.collect_list("part").alias("there"))
+    counted = written(sized.join(count, "cls", "left").select("cls", "gid", "label", "half", "parts", "there", F.coalesce("usable", F.lit(0)).alias("usable")))
+    few = counted.where("usable <= half")
+    missing = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), F.coalesce("there", F.array().cast("array<bigint>")))
+    empty = F.array(*(F.struct(F.lit(q).alias("quarter"), F.lit(None).cast("long").alias("sign")) for q in range(4)))
+    none = few.select("cls", "gid", "label", F.explode(missing).alias("part")).select("*", F.explode(empty).alias("s"))
+    every = signed.select("cls", "gid", "label", "part", F.explode("signs").alias("s"))
+    blank = every.where("s.sign IS NULL").join(few.select("cls"), "cls", "left_semi")
+    listed_parts = every.where("s.sign IS NOT NULL").unionByName(blank).unionByName(none).select("cls", "part", "s.*")
+    need = F.greatest(F.col("usable") - F.col("half"), F.lit(1)).alias("need")
+    rows = written(listed_parts.join(counted.select("cls", "gid", "label", need), "cls"))
+    same = (F.col("x.gid") == F.col("y.gid")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.quarter") == F.col("y.quarter")) & F.col("x.sign").eqNullSafe(F.col("y.sign"))
+    met = rows.alias("x").join(rows.alias("y"), same & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")))
+    agreed = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.part").alias("part")).agg(F.max(F.greatest("x.need", "y.need")).alias("need"))
+    pairs = written(agreed.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b"))
+    discard(rows, counted)
+    return pairs
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """cls and its set as sorted longs, once for each class of docs (text) in wanted (cls).
 
@@ -265,7 +310,6 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     discard(whole)
     classes = written(base.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")))
     lists = written(shared(groups))
-    discard(groups)
     within = classes.groupBy("gid").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("gid", "a")
     within = classes.join(within, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
     single = classes.select("cls", "gid", F.col("cls").alias("label"))
@@ -275,13 +319,14 @@ def similarity_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
 
     first = components(links)
     named = written(classes.join(first.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-    of_groups = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).alias("label"))
+    of_groups = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
     rest = expanded(plausible(open_pairs(lists, of_groups, percent), lists, percent), named)
-    left, right = named.toDF("a", "rep_a", "gid", "label_a"), named.toDF("b", "rep_b", "gid", "label_b")
-    within = left.join(right, "gid").where("a < b AND label_a <> label_b").select("a", "b")
+    # every class of a group of several has its set already, for it has met the group's first one
+    torn = named.join(of_groups.where("label IS NULL").select("gid"), "gid", "left_semi")
+    within = inside_pairs(torn.join(sets, "cls").join(groups.select("gid", "prefix"), "gid").select("cls", "gid", "label", "shingles", "prefix"), percent)
     pairs = written(rest.unionByName(within))
     more, last_sets = linked(docs, pairs, sets, words, percent)
-    discard(pairs, sets, last_sets, lists)
+    discard(pairs, sets, last_sets, lists, groups, within)
     # links between components, named by their labels, join them
     nodes = named.select("cls", "label")
     joins = more.join(nodes.toDF("a", "label_a"), "a").join(nodes.toDF("b", "label_b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))

@@ -581,3 +581,59 @@ def test_pipeline_stages_on_hard_and_empty_tables(spark, hard, empty, tmp_path):
     assert corpus_pipeline.secrets(spark, hard, D).count() == len(HARD) and corpus_pipeline.encode(spark, hard, D).count() == len(HARD)
     assert all(stage(spark, empty, D).count() == 0 for _, stage in corpus_pipeline.STAGES)
     assert corpus_pipeline.run(spark, written_table(spark, [], tmp_path)).count() == 0
+
+
+def test_pairs_inside_a_group_grow_with_its_size(spark):
+    """Sets that share a prefix and draw the rest from common passages, without links but for planted ones."""
+    rng = random.Random(5)
+    passages = [[1000 * p + i for i in range(8)] for p in range(1, 61)]
+    prefix, made = list(range(41)), {}
+    for n in (300, 1200):
+        rows = []
+        for k in range(n):
+            rest = [x for p in rng.sample(passages, 20) for x in p]
+            rows.append((f"c{k:05d}", sorted(prefix + rest)))
+        for k in range(0, 40, 2):  # the nearest that still link, and copies of small difference
+            own, other = rows[k][1], rows[k + 1][1]
+            gone = set(rng.sample(own[41:], 22 if k % 4 else 3))
+            rows[k + 1] = (rows[k + 1][0], sorted([x for x in own if x not in gone] + [10**6 + k * 100 + i for i in range(len(gone))]))
+        df = spark.createDataFrame([(c.encode(), 7, c.encode(), s, prefix) for c, s in rows], "cls binary, gid bigint, label binary, shingles array<bigint>, prefix array<bigint>")
+        pairs = {(bytes(r["a"]).decode(), bytes(r["b"]).decode()) for r in shingle_join.inside_pairs(df, 80).collect()}
+        assert {(rows[k][0], rows[k + 1][0]) for k in range(0, 40, 2)} <= pairs
+        made[n] = len(pairs)
+        assert len(pairs) < 0.005 * n * (n - 1) / 2 + n
+        one = df.withColumn("label", F.lit(b"x"))
+        assert shingle_join.inside_pairs(one, 80).count() == 0
+        apart = {k: set(s) for k, s in rows}
+        rare = spark.createDataFrame([(c.encode(), 7, c.encode(), sorted(prefix + [10**7 * (i + 1) + j for j in range(160)]), prefix) for i, c in enumerate(apart)], df.schema)
+        assert shingle_join.inside_pairs(rare, 80).count() <= n
+    tiny = [(bytes([k]), 1, bytes([k]), sorted([1, 2, 3, 10 + k]), [1]) for k in range(20)]
+    got = shingle_join.inside_pairs(spark.createDataFrame(tiny, "cls binary, gid bigint, label binary, shingles array<bigint>, prefix array<bigint>"), 60)
+    assert got.count() == 190  # each two link
+    assert shingle_join.inside_pairs(df.limit(0), 80).count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_groups_of_one_prefix(spark, percent):
+    """Single words as shingles: rare ones that all share, the rest from common words that fillers make more frequent."""
+    rng = random.Random(percent)
+    pool, rare = [f"c{i}" for i in range(90)], [f"r{i}" for i in range(25)]
+    rows = [(i, " ".join(rare + rng.sample(pool, 35))) for i in range(50)]
+    for i in range(0, 20, 2):
+        own = rows[i][1].split()
+        out, free = rng.randint(1, 9), [w for w in pool if w not in own]
+        rows[i + 1] = (i + 1, " ".join(own[: len(own) - out] + rng.sample(free, out)))
+    rows += [(100 + i, " ".join(rng.sample(pool, 70))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert key(tuple(r) for r in shingle_join.similarity_groups(docs, 1, percent).collect()) == key(brute_groups(rows, 1, percent))
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    many = spark.range(60_000).select(F.lit(5).cast("long").alias("doc_id"), F.format_string("some words %d", "id").alias("text"), F.lit("en").alias("lang"))
+    same = spark.range(60_000).select(F.lit(6).cast("long").alias("doc_id"), F.lit("des mots").alias("text"), F.lit("fr").alias("lang"))
+    found = language_crf.sample(many.unionByName(same))
+    assert sum(x == "en" for _, x in found) == language_crf.PER_LANGUAGE and [t for t, x in found if x == "fr"] == ["des mots"]
+    labels = spark.createDataFrame([(5, 1), (5, 1), (6, 0), (6, 1), (None, 1)], "doc_id long, quality int")
+    found = quality_neighbours.sample(many.unionByName(same), labels)
+    assert len(found) == quality_neighbours.SAMPLE
+    assert sorted(quality_neighbours.sample(same, labels)) == [("des mots", 0), ("des mots", 1)]
