@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import EngineError
 from ..shipping import ship
@@ -15,6 +19,8 @@ from ..schemas import SIMILARITY_THRESHOLD
 
 #: Rows of a block of the pair matrix.
 BLOCK = 4096
+#: Vectors that others are measured by, and numbers of axes at which their product is bounded.
+PIVOTS, DEPTHS = 64, (1, 2, 4, 8, 16, 32)
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -76,20 +82,164 @@ def with_vectors(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.withColumn("embedding", F.coalesce("embedding", F.array().cast("array<double>")))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "block_id") -> DataFrame:
+def _unit(v: list[np.ndarray] | pd.Series) -> np.ndarray:
+    m = np.stack(list(v)).astype(np.float64)
+    m = m / np.maximum(np.abs(m).max(1, keepdims=True), 1e-300)  # so that no square overflows or vanishes
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+
+
+class Space:
+    """What vectors of one number of components are measured by: a few of them as pivots, and directions drawn from these."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.axes = np.linalg.svd(pivots, full_matrices=False)[2]
+        self.depths = [k for k in (0, *DEPTHS) if k < len(self.axes)] + [len(self.axes)]
+
+    def cells(self, u: np.ndarray) -> np.ndarray:
+        """The nearest pivot of each."""
+        return (u @ self.pivots.T).argmax(1)
+
+    def measures(self, u: np.ndarray) -> np.ndarray:
+        """Angles to the pivots, places along the axes, and lengths of what the first axes leave, for each depth."""
+        along = u @ self.axes.T
+        left = np.cumsum(np.concatenate([np.zeros((len(u), 1)), along * along], axis=1), axis=1)[:, self.depths]
+        return np.concatenate([np.arccos(np.clip(u @ self.pivots.T, -1, 1)), along, np.sqrt(np.maximum((u * u).sum(1, keepdims=True) - left, 0))], axis=1)
+
+    def bound(self, low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> float:
+        """No cosine between vectors of two cells, given the range of each measure, is larger.
+
+        The angle of two vectors is at least the difference of their angles to any pivot; and their product is at most what
+        it can be along the first axes, and the product of the lengths of the rest.
+        """
+        p, k = len(self.pivots), len(self.axes)
+        gap = max(0.0, float(np.maximum(low[:p] - other_high[:p], other_low[:p] - high[:p]).max()))
+        a, b, c, d = low[p : p + k], high[p : p + k], other_low[p : p + k], other_high[p : p + k]
+        along = np.concatenate([[0.0], np.cumsum(np.maximum.reduce([a * c, a * d, b * c, b * d]))])[self.depths]
+        return min(float(np.cos(min(gap, np.pi))), float((along + high[p + k :] * other_high[p + k :]).min()))
+
+
+@dataclass
+class Blocks:
+    """How the pair matrix is cut: cells (number of components, pivot), each in blocks of bounded size, and which cells meet.
+
+    Vectors of a number of components that no pivot has are in the one cell (0, 0), which meets itself only.
+    """
+
+    spaces: dict[int, Space]
+    first: dict[tuple[int, int], int]  # a cell's first block
+    many: dict[tuple[int, int], int]  # and its number of blocks
+    meets: dict[tuple[int, int], list[tuple[int, int]]]  # cells that a cell meets, itself included
+
+    def cells(self, v: list) -> list[tuple[int, int]]:
+        """The cell of each vector."""
+        out = [(0, 0)] * len(v)
+        sizes = np.array([len(x) for x in v])
+        for size in set(sizes.tolist()) & set(self.spaces):
+            of = np.flatnonzero(sizes == size)
+            for i, c in zip(of.tolist(), self.spaces[size].cells(_unit([v[i] for i in of])).tolist(), strict=True):
+                out[i] = (size, c)
+        return out
+
+    def partners(self, cell: tuple[int, int], block: int, left: bool) -> list[int]:
+        """Blocks whose numbers are no smaller (left) or no larger than a block's, of the cells that its cell meets."""
+        every = (b for c in self.meets[cell] for b in range(self.first[c], self.first[c] + self.many[c]))
+        return [b for b in every if (b >= block if left else b <= block)]
+
+    def counts(self) -> tuple[int, int]:
+        """Pairs of blocks that meet, and all pairs of blocks."""
+        n = sum(self.many.values())
+        met = sum(self.many[a] * self.many[b] for a in self.meets for b in self.meets[a] if self.first[a] < self.first[b])
+        return met + sum(k * (k + 1) // 2 for k in self.many.values()), n * (n + 1) // 2
+
+
+def usable(vectors: DataFrame, key: str) -> DataFrame:
+    """id, v of vectors that take part: not null or empty, no component null or non-finite, and a key."""
+    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return vectors.where((F.size("embedding") > 0) & ~bad & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def planned(rows: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK) -> Blocks:
+    """Blocks of rows (id, v) and which of them may hold a pair that reaches the threshold; at most `pivots` rows and as many
+    sums reach the driver.  There are about two pivots for each block's rows, and none if all fit into one block."""
+    ship(rows.sparkSession)
+    n = -(-rows.count() // block)
+    if n <= 1:
+        return Blocks({}, {(0, 0): 0}, {(0, 0): 1}, {(0, 0): [(0, 0)]})
+    pivots = min(pivots, 2 * n)
+    chosen = rows.select("v").orderBy(F.xxhash64(F.lit("pivot"), "id"), "v").limit(pivots).collect()
+    by_size: dict[int, list] = {}
+    for r in chosen:
+        by_size.setdefault(len(r["v"]), []).append(np.array(r["v"]))
+    plan = Blocks({n: Space(_unit(v)) for n, v in by_size.items()}, {}, {}, {})
+
+    def ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low: dict[tuple[int, int], np.ndarray] = {}
+        high: dict[tuple[int, int], np.ndarray] = {}
+        count: Counter = Counter()
+        for f in frames:
+            v = f["v"].tolist()
+            cells = plan.cells(v)
+            count.update(cells)
+            for size, space in plan.spaces.items():
+                of = [i for i, c in enumerate(cells) if c[0] == size]
+                if of:
+                    measures, own = space.measures(_unit([v[i] for i in of])), np.array([cells[i][1] for i in of])
+                    for c in set(own.tolist()):
+                        m, at = measures[own == c], (size, c)
+                        low[at] = np.minimum(low[at], m.min(0)) if at in low else m.min(0)
+                        high[at] = np.maximum(high[at], m.max(0)) if at in high else m.max(0)
+        rows = [(*at, n, low[at].tolist() if at in low else [], high[at].tolist() if at in high else []) for at, n in count.items()]
+        yield pd.DataFrame(rows, columns=["size", "cell", "n", "low", "high"])
+
+    parts = rows.select("v").mapInPandas(ranges, "size int, cell int, n long, low array<double>, high array<double>")
+    extreme = lambda f, c: F.transform(F.sequence(F.lit(0), F.size(F.first(c)) - 1), lambda k: f(F.transform(F.collect_list(c), lambda x: x[k])))
+    whole = F.size(F.first("low")) > 0
+    none = F.array().cast("array<double>")
+    merged = parts.withColumn("part", F.spark_partition_id() % 64)
+    for keys in (["size", "cell", "part"], ["size", "cell"]):  # in two steps, as tasks may be many
+        merged = merged.groupBy(*keys).agg(F.sum("n").alias("n"), F.when(whole, extreme(F.array_min, "low")).otherwise(none).alias("low"), F.when(whole, extreme(F.array_max, "high")).otherwise(none).alias("high"))
+    found = {(r["size"], r["cell"]): r for r in merged.collect()}
+    for cell, r in sorted(found.items()):
+        plan.first[cell] = sum(plan.many.values())
+        plan.many[cell] = -(-r["n"] // block)
+    as_array = {c: (np.array(r["low"]), np.array(r["high"])) for c, r in found.items()}
+    for a in found:
+        plan.meets[a] = [b for b in found if a == b or (a[0] == b[0] and a[0] and plan.spaces[a[0]].bound(*as_array[a], *as_array[b]) >= threshold - 1e-9)]
+    return plan
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "block_id", block: int = BLOCK) -> DataFrame:
     """id_1 < id_2 and score of every pair whose cosine reaches the threshold, computed in double precision.
 
     vectors: `key` and embedding; null and empty vectors, those with a null or non-finite component and rows of a null key
-    take no part, and only vectors of as many components are compared.  The pair matrix is cut into squares of BLOCK rows a
-    side, each computed in one task as a matrix product: exact, and bounded in memory whatever the number of rows.
+    take no part, and only vectors of as many components are compared.  Vectors are put into cells by their nearest pivot and
+    a cell into blocks of at most about `block` rows; cells whose bounds stay below the threshold never meet, and every other
+    pair of blocks is computed in one task as a matrix product: exact, and bounded in memory whatever the number of rows.
+    Vectors without any cluster structure can't be told apart by such bounds; then all blocks meet.
     """
-    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = vectors.where((F.size("embedding") > 0) & ~bad & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    kind = rows.schema["id"].dataType.simpleString()
-    n = max(1, -(-vectors.count() // BLOCK))
-    at = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = rows.select("id", "v", at.alias("i"), F.explode(F.sequence(at, F.lit(n - 1))).alias("j"))
-    right = rows.select(F.col("id").alias("other"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), at)).alias("i"), at.alias("j"))
+    rows = usable(vectors, key)
+    kind = rows.schema["id"].dataType
+    plan = planned(rows, threshold, block=block)
+    ship(vectors.sparkSession)
+
+    def dealt(left: bool, names: tuple[str, str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = plan.cells(batch.column("v").to_pylist())
+                groups: dict[tuple, list[int]] = {}
+                for i, (c, h) in enumerate(zip(cells, batch.column("hash").to_pylist(), strict=True)):
+                    groups.setdefault((c, plan.first[c] + h % plan.many[c]), []).append(i)
+                for (c, b), of in groups.items():
+                    part = batch.take(pa.array(of))
+                    for other in plan.partners(c, b, left):
+                        i, j = (b, other) if left else (other, b)
+                        n = part.num_rows
+                        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, j, np.int64))], [*names, "i", "j"])
+
+        vector = T.ArrayType(T.DoubleType())
+        shape = T.StructType([T.StructField(names[0], kind), T.StructField(names[1], vector), T.StructField("i", T.LongType()), T.StructField("j", T.LongType())])
+        return rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("hash")).mapInArrow(run, shape)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -100,17 +250,16 @@ def similar_pairs(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, k
         return pd.concat(out) if out else pd.DataFrame({"id_1": [], "id_2": [], "score": []})
 
     def met(a: pd.DataFrame, b: pd.DataFrame, square: bool) -> pd.DataFrame:
-        unit = lambda v: (m := np.stack(v.to_numpy())) / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
-        s = unit(a["v"]) @ unit(b["w"]).T
+        s = _unit(a["v"]) @ _unit(b["w"]).T
         x, y = np.nonzero(s >= threshold)
         one, two = a["id"].to_numpy()[x], b["other"].to_numpy()[y]
         keep = one < two if square else one != two
         low, high = np.where(one < two, one, two)[keep], np.where(one < two, two, one)[keep]
         return pd.DataFrame({"id_1": low, "id_2": high, "score": s[x, y][keep]})
 
-    ship(vectors.sparkSession)
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
-    return pairs.applyInPandas(run, f"id_1 {kind}, id_2 {kind}, score double")
+    pairs = dealt(True, ("id", "v")).groupBy("i", "j").cogroup(dealt(False, ("other", "w")).groupBy("i", "j"))
+    name = kind.simpleString()
+    return pairs.applyInPandas(run, f"id_1 {name}, id_2 {name}, score double")
 
 
 def ranked(pairs: DataFrame) -> DataFrame:

@@ -270,3 +270,33 @@ def test_entry_has_oracles(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_pruned_pairs_are_exact_and_skip_blocks(spark):
+    """Clustered vectors against all pairs: cells whose bounds stay below the threshold never meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((30, 16))
+    x = [(centres[k % 30] / np.linalg.norm(centres[k % 30]) + rng.choice((0.02, 0.05)) * rng.standard_normal(16)) * rng.uniform(0.1, 9) for k in range(1500)]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(9000 + k, rng.standard_normal(3).tolist()) for k in range(60)] + [(9500, [0.0] * 16), (9501, [1e300] * 16), (9502, [2e300] * 16)]
+    df = spark.createDataFrame(rows, "block_id long, embedding array<double>")
+    plan = semantic.planned(semantic.usable(df, "block_id"), 0.9, block=40)
+    met, every = plan.counts()
+    assert 0 < met < every / 2
+    want = set()
+    unit = {}
+    for k, v in rows:
+        m = np.array(v) / max(np.abs(v).max(), 1e-300)
+        unit[k] = m / max(np.sqrt(m @ m), 1e-12)
+    for size in (3, 16):
+        ids = [k for k, v in rows if len(v) == size]
+        m = np.stack([unit[k] for k in ids])
+        a, b = np.nonzero(np.triu(m @ m.T >= 0.9, 1))
+        want |= {(ids[i], ids[j]) for i, j in zip(a, b)}
+    got = semantic.similar_pairs(df, 0.9, block=40).collect()
+    assert {(r["id_1"], r["id_2"]) for r in got} == want and len(got) == len(want) > 5000
+    assert semantic.similar_pairs(df.limit(0), 0.9).count() == 0
+    # vectors spread evenly can't be told apart, and none may be lost
+    even = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((400, 16)))], df.schema)
+    assert semantic.similar_pairs(even, 0.5, block=50).count() == semantic.similar_pairs(even, 0.5).count() > 0
