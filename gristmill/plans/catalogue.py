@@ -13,7 +13,8 @@ from ..functions import text as fn
 from ..operators import decisions as dec
 from ..operators import duplicates, merge, render, semantic, simhash
 from ..sources import files as src
-from ..store import decisions_matching, results_matching
+from ..shipping import scratch
+from ..store import Store, decisions_matching, results_matching
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -363,7 +364,108 @@ def status_summary(spark: SparkSession, d: str) -> DataFrame:
     return dec.status(duplicates.applied(decided, duplicates.suggestions(members)), members, pairs)
 
 
-@query()
+@query(
+    """SELECT 1 AS version, path, 'keep' AS decision FROM files WHERE doc_id % 2 = 0
+UNION ALL SELECT 2, path, CASE WHEN doc_id % 3 = 0 THEN 'delete' ELSE 'keep' END FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
+UNION ALL SELECT 4, path, CASE WHEN doc_id % 5 = 0 THEN 'undecided' WHEN doc_id % 3 = 0 THEN 'delete' ELSE 'keep' END FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0"""
+)
+def store_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A table's rows at each of its versions: three upserts, and a compaction (version 3) between the last two."""
+    files = src.document_files(_table(spark, d, "documents"), "doc_id")
+    row = files.select("doc_id", "path", F.lit("all").alias("block_id"), F.lit("text").alias("block_type"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("decided_at"))
+    store = Store(spark, scratch(spark, "store"), ranges=8)
+    for step, (n, decision) in enumerate(((2, "keep"), (3, "delete"), (5, "undecided"))):
+        if step == 2:
+            store.compact("block_decisions", 2)
+        store.upsert("block_decisions", row.where(F.col("doc_id") % n == 0).withColumn("decision", F.lit(decision)))
+    at = lambda v: store.read("block_decisions", version=v).select(F.lit(v).alias("version"), "path", "decision")
+    return at(1).unionByName(at(2)).unionByName(at(4))
+
+
+_FENCED = {2: "````py", 4: "```", 5: "```", 6: "````", 11: "", 13: "====", 15: "~~~", 16: "~~~~"}
+_BEFORE = {8: "## ", 9: "- ", 10: "    ", 14: "| "}
+
+
+def _markdown(line: Column, i: Column) -> Column:
+    """A line of Markdown made of a line by its place: fences within fences, headings, lists, tables, indented code."""
+    out = F.when(i % 17 == 14, F.concat(F.lit("| "), line, F.lit(" |")))
+    for k, mark in _FENCED.items():
+        out = out.when(i % 17 == k, F.lit(mark))
+    for k, mark in _BEFORE.items():
+        out = out.when(i % 17 == k, F.concat(F.lit(mark), line))
+    return out.otherwise(line)
+
+
+_MARKDOWN = "CASE (i - 1) % 17 WHEN 14 THEN '| ' || x || ' |' " + "".join(f"WHEN {k} THEN '{m}' " for k, m in _FENCED.items()) + "".join(f"WHEN {k} THEN '{m}' || x " for k, m in _BEFORE.items()) + "ELSE x END"
+
+
+@query(
+    _BASE
+    + rf""", md AS (SELECT file_id, list_transform(string_split(content, chr(10)), lambda x, i: {_MARKDOWN}) AS lines FROM files),
+marks AS (SELECT *, list_filter(list_transform(lines, lambda x, i: {{'at': (i - 1)::INT, 'mark': regexp_extract(x, '^ {{0,3}}(`{{3,}}|~{{3,}})(.*)$', 1), 'rest': regexp_extract(x, '^ {{0,3}}(`{{3,}}|~{{3,}})(.*)$', 2), 'spans': []::STRUCT(first INT, last INT)[]}}), lambda x: x.mark <> '') AS m FROM md),
+folded AS (SELECT *, list_reduce(m, lambda s, x: CASE
+  WHEN s.at < 0 AND (x.mark LIKE '~%' OR NOT contains(x.rest, '`')) THEN {{'at': x.at, 'mark': x.mark, 'rest': '', 'spans': s.spans}}
+  WHEN s.at >= 0 AND starts_with(x.mark, s.mark) AND trim(x.rest, {_SPACES}) = '' THEN {{'at': (-1)::INT, 'mark': '', 'rest': '', 'spans': list_append(s.spans, {{'first': s.at, 'last': x.at}})}}
+  ELSE s END, {{'at': (-1)::INT, 'mark': '', 'rest': '', 'spans': []::STRUCT(first INT, last INT)[]}}) AS s FROM marks),
+spans AS (SELECT file_id, lines, CASE WHEN s.at >= 0 THEN list_append(s.spans, {{'first': s.at, 'last': (len(lines) - 1)::INT}}) ELSE s.spans END AS spans FROM folded),
+u0 AS (SELECT file_id, unnest(lines) AS raw, unnest(range(len(lines)))::INT AS line FROM spans),
+f0 AS (SELECT file_id, unnest(spans, recursive := true) FROM spans),
+f1 AS (SELECT f.file_id, f.first AS line, string_agg(u.raw, chr(10) ORDER BY u.line) AS raw FROM f0 f JOIN u0 u ON f.file_id = u.file_id AND u.line BETWEEN f.first AND f.last GROUP BY ALL),
+u AS (SELECT file_id, line, raw, true AS fence FROM f1 UNION ALL SELECT file_id, line, raw, false FROM u0 WHERE NOT EXISTS (SELECT 1 FROM f0 WHERE f0.file_id = u0.file_id AND u0.line BETWEEN f0.first AND f0.last)),
+k0 AS (SELECT *, CASE WHEN fence THEN 'fence' WHEN trim(raw, {_SPACES}) = '' THEN 'blank' WHEN regexp_matches(raw, '^#{{1,6}}\s+') THEN 'Title' WHEN regexp_matches(raw, '^\s*([-*+]|\d+\.)\s+') THEN 'ListItem'
+  WHEN regexp_matches(raw, '^\s*\|.*\|\s*$') THEN 'Table' WHEN regexp_matches(raw, '^( {{4}}| {{0,3}}\t)') THEN 'indented' ELSE 'Text' END AS kind FROM u),
+k1 AS (SELECT *, last_value(CASE WHEN kind NOT IN ('blank', 'indented') THEN kind END IGNORE NULLS) OVER w AS behind,
+  coalesce(max(CASE WHEN kind = 'blank' THEN line END) OVER w, -1) > coalesce(max(CASE WHEN kind NOT IN ('blank', 'indented') THEN line END) OVER w, -1) AS gap FROM k0 WINDOW w AS (PARTITION BY file_id ORDER BY line)),
+k2 AS (SELECT file_id, line, raw, CASE WHEN kind <> 'indented' THEN kind WHEN behind = 'ListItem' OR (behind = 'Text' AND NOT gap) THEN 'Text' ELSE 'code' END AS kind FROM k1),
+k3 AS (SELECT *, regexp_matches(raw, '^ {{0,3}}(=+|-+)\s*$') AND kind = 'Text' AS looks, lag(kind) OVER (PARTITION BY file_id ORDER BY line) AS before FROM k2),
+k4 AS (SELECT *, looks AND coalesce(before = 'Text' AND NOT lag(looks) OVER (PARTITION BY file_id ORDER BY line), false) AS under FROM k3),
+k5 AS (SELECT *, before IS NULL OR kind <> before OR kind IN ('Title', 'ListItem', 'fence') OR coalesce(lag(under) OVER (PARTITION BY file_id ORDER BY line), false) AS opens FROM k4),
+k6 AS (SELECT *, sum(opens::INT) OVER (PARTITION BY file_id ORDER BY line) AS element FROM k5),
+k7 AS (SELECT file_id, element, CASE WHEN bool_or(under) THEN 'Title' WHEN any_value(kind) IN ('fence', 'code') THEN 'CodeSnippet' ELSE any_value(kind) END AS element_type,
+  coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT under), '') AS raw_text FROM k6 WHERE kind <> 'blank' GROUP BY file_id, element)
+SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY element) - 1)::INT AS pos, element_type, md5(raw_text) AS raw_md5 FROM k7"""
+)
+def markdown_elements(spark: SparkSession, d: str) -> DataFrame:
+    made = F.array_join(F.transform(F.split("content", "\n", -1), _markdown), "\n")
+    return src.split_markdown(_files(spark, d).withColumn("content", made)).select("file_id", "pos", "element_type", F.md5("raw_text").alias("raw_md5"))
+
+
+def _merging(text: str, kind: str) -> str:
+    """SQL of merge_code_blocks() over lines whose text and type are given: the fold as a list_reduce, bodies by windows."""
+    state = "{{'at': {at}::INT, 'gap': {gap}::INT, 'code': false, 'closes': false, 'starts': false, 'spans': {spans}}}"
+    none = "[]::STRUCT(first INT, last INT)[]"
+    return (
+        _BASE
+        + rf""", m0 AS (SELECT file_id, block_id, pos, {kind} AS kind, {text} AS text FROM blocks),
+m1 AS (SELECT *, trim(text, {_SPACES}) AS bare, (row_number() OVER w - 1)::INT AS i, lead(trim(text, {_SPACES})) OVER w AS following FROM m0 WINDOW w AS (PARTITION BY file_id ORDER BY pos, block_id)),
+m2 AS (SELECT *, kind = 'code' AS code, kind = 'code' AND bare = '```' AS closes, kind = 'code' AND starts_with(bare, '```') AND bare <> '```' AS opens FROM m1),
+m3 AS (SELECT *, NOT (opens AND ends_with(bare, '```')) AND (opens OR (closes AND coalesce(following = '```', false))) AS starts FROM m2),
+m4 AS (SELECT file_id, count(*)::INT AS n, list_reduce(list({{'at': i, 'gap': 0::INT, 'code': code, 'closes': closes, 'starts': starts, 'spans': {none}}} ORDER BY i), lambda s, x: CASE
+  WHEN s.at < 0 AND x.starts THEN {state.format(at="x.at", gap="0", spans="s.spans")}
+  WHEN s.at < 0 THEN s
+  WHEN x.closes THEN {state.format(at="(-1)", gap="0", spans="list_append(s.spans, {'first': s.at, 'last': x.at})")}
+  WHEN NOT x.code AND s.gap >= 1 THEN {state.format(at="(-1)", gap="0", spans="s.spans")}
+  WHEN NOT x.code THEN {state.format(at="s.at", gap="(s.gap + 1)", spans="s.spans")}
+  ELSE s END, {state.format(at="(-1)", gap="0", spans=none)}) AS s FROM m3 GROUP BY file_id),
+m5 AS (SELECT file_id, unnest(CASE WHEN s.at >= 0 THEN list_append(s.spans, {{'first': s.at, 'last': n - 1}}) ELSE s.spans END, recursive := true) FROM m4),
+m6 AS (SELECT r.*, first, last, r.i - first AS k, last - first + 1 AS members, strpos(text, chr(10)) AS nl FROM m3 r JOIN m5 s ON r.file_id = s.file_id AND r.i BETWEEN s.first AND s.last),
+m7 AS (SELECT *, CASE WHEN nl = 0 THEN text ELSE text[1:nl] END AS head, CASE WHEN nl = 0 THEN '' ELSE text[nl + 1:] END AS behind, CASE WHEN ends_with(text, chr(10)) THEN text[1:length(text) - 1] ELSE text END AS u FROM m6),
+m8 AS (SELECT *, starts_with(trim(head, {_SPACES}), '```') AND trim(head, {_SPACES}) <> '```' AS opening, CASE WHEN contains(u, chr(10)) THEN length(u) - strpos(reverse(u), chr(10)) + 1 ELSE 0 END AS p FROM m7),
+m9 AS (SELECT *, k = 0 OR lag(bare) OVER w = '' OR ends_with(lag(text) OVER w, chr(10)) AS ended, CASE WHEN k = 1 AND lag(opening) OVER w AND lag(behind) OVER w = '' THEN chr(10) ELSE right(lag(text) OVER w, 1) END AS c, left(text, 1) AS d
+  FROM m8 WINDOW w AS (PARTITION BY file_id, first ORDER BY i)),
+m10 AS (SELECT *, CASE WHEN bare = '' THEN CASE WHEN ended THEN chr(10) ELSE chr(10) || chr(10) END
+  WHEN k = 0 AND opening THEN CASE WHEN behind = '' THEN chr(10) ELSE behind END
+  WHEN i = last AND trim(text[p + 1:], {_SPACES}) = '```' THEN text[1:p]
+  WHEN NOT ended AND regexp_matches(c, '[\p{{L}}\p{{N}}_]') AND regexp_matches(d, '[\p{{L}}\p{{N}}_]') AND NOT (c = '_' AND d = '_') THEN ' ' || text ELSE text END AS part FROM m9),
+m11 AS (SELECT file_id, first, min(pos) AS pos, count(*) AS token_count, count(*) = 2 AND bool_and(bare = '```') AS plain, string_agg(part, '' ORDER BY i) AS joined, arg_min(bare, i) AS bare FROM m10 GROUP BY file_id, first),
+m12 AS (SELECT *, CASE WHEN plain THEN '' ELSE joined END AS body, CASE WHEN NOT plain THEN nullif(regexp_extract(bare, '^```([\p{{L}}\p{{N}}_]+)', 1), '') END AS language FROM m11)
+SELECT file_id, pos, md5(file_id || body) AS block_id, 'code_merged' AS block_type, body AS text, 'keep' AS status, length(body)::INT AS char_count, token_count, language, NULL AS merged_into FROM m12
+UNION ALL SELECT r.file_id, r.pos, r.block_id, r.kind, r.text, 'delete', length(r.text)::INT, 1, NULL, md5(r.file_id || m.body) FROM m10 r JOIN m12 m USING (file_id, first)
+UNION ALL SELECT file_id, pos, block_id, kind, text, 'undecided', length(text)::INT, 1, NULL, NULL FROM m3 WHERE NOT EXISTS (SELECT 1 FROM m5 WHERE m5.file_id = m3.file_id AND m3.i BETWEEN first AND last)"""
+    )
+
+
+@query(_merging("CASE pos % 6 WHEN 1 THEN '```python' WHEN 4 THEN '```' ELSE text END", "CASE WHEN pos % 6 IN (1, 2, 3, 4) THEN 'code' ELSE 'text' END"))
 def merge_code_fragments(spark: SparkSession, d: str) -> DataFrame:
     place = F.col("pos") % 6
     raw = F.when(place == 1, F.lit("```python")).when(place == 4, F.lit("```")).otherwise(F.col("text"))
@@ -371,6 +473,23 @@ def merge_code_fragments(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_code_blocks(_lines(spark, d).withColumns({"text": raw, "block_type": kind}))
 
 
+@query(
+    _merging(
+        "CASE pos % 11 WHEN 1 THEN '```py' || chr(10) || text || chr(10) WHEN 3 THEN text || chr(10) || text WHEN 4 THEN '  ' WHEN 6 THEN text || chr(10) || '```' WHEN 7 THEN '```' WHEN 8 THEN '```' WHEN 9 THEN '```' || text || chr(10) || '```' WHEN 10 THEN '```js' ELSE text END",
+        "CASE WHEN pos % 11 IN (0, 5) THEN 'text' ELSE 'code' END",
+    )
+)
+def merge_code_multiline(spark: SparkSession, d: str) -> DataFrame:
+    """The same over blocks of several lines, blank ones, whole fenced ones and bare fences."""
+    place, text = F.col("pos") % 11, F.col("text")
+    forms = {1: ("```py\n", text, "\n"), 3: (text, "\n", text), 4: ("  ",), 6: (text, "\n```"), 7: ("```",), 8: ("```",), 9: ("```", text, "\n```"), 10: ("```js",)}
+    raw = F.when(F.lit(False), text)
+    for k, parts in forms.items():
+        raw = raw.when(place == k, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)))
+    kind = F.when(place.isin(0, 5), "text").otherwise("code")
+    return merge.merge_code_blocks(_lines(spark, d).withColumns({"text": raw.otherwise(text), "block_type": kind}))
+
+
 @query()
 def simhash_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("block_id"), "text")

@@ -79,33 +79,81 @@ def document_files(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.md5(path).alias("file_id"), path.alias("path"), F.coalesce("text", F.lit("")).alias("content"), *more)
 
 
+def fenced(lines: Column) -> Column:
+    """The fenced code of an array of lines: first and last line (from 0) of each, in order.
+
+    A fence is three or more backticks or tildes behind three spaces at most.  It is closed by a line of at least as many of
+    the same and nothing else, or by the end; whatever is in between belongs to it.  A line of backticks with another backtick
+    behind them opens nothing.
+    """
+    fence = r"^ {0,3}(`{3,}|~{3,})(.*)$"
+    mark = lambda x: F.regexp_extract(x, fence, 1)
+    rest = lambda x: F.regexp_extract(x, fence, 2)
+    span = "array<struct<first:int,last:int>>"
+    marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), mark(x).alias("mark"), rest(x).alias("rest"))), lambda x: x["mark"] != "")
+    state = lambda at, mark, spans: F.struct(at.cast("int").alias("at"), mark.alias("mark"), spans.cast(span).alias("spans"))
+    none = lambda spans: state(F.lit(-1), F.lit(""), spans)
+    one = lambda first, last: F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))
+
+    def step(s: Column, x: Column) -> Column:
+        opens = (s["at"] < 0) & (x["mark"].startswith("~") | ~x["rest"].contains("`"))
+        closes = (s["at"] >= 0) & x["mark"].startswith(s["mark"]) & (strip(x["rest"]) == "")
+        return F.when(opens, state(x["at"], x["mark"], s["spans"])).when(closes, none(F.concat(s["spans"], one(s["at"], x["at"])))).otherwise(s)
+
+    last = lambda s: F.when(s["at"] >= 0, F.concat(s["spans"], one(s["at"], F.size(lines) - 1))).otherwise(s["spans"])
+    return F.aggregate(marked, none(F.array()), step, last)
+
+
 def split_markdown(files: DataFrame) -> DataFrame:
     """file_id, path, pos, element_type, raw_text: a file's elements in order.
 
-    Fenced code stays whole, an open fence to the end of the file; headings, list items and table rows end with their line
-    (rows that follow each other are one table), other lines form paragraphs up to a blank line.  Segmentation is our own.
+    Fenced code stays whole (see fenced()).  Headings, list items and table rows end with their line (rows that follow each
+    other are one table), other lines form paragraphs up to a blank line; a paragraph underlined by = or - is a heading, without
+    that line.  Lines indented by four spaces or a tab are code, unless they go on with a paragraph or belong to a list item.
+    Segmentation is our own.
     """
-    lines = files.select("file_id", "path", F.posexplode(F.split("content", r"\r?\n", -1)).alias("line", "raw"))
+    whole = files.select("file_id", "path", F.split("content", r"\r?\n", -1).alias("lines"))
+    whole = whole.withColumn("spans", fenced(F.col("lines"))).withColumn("spans", F.concat("spans", F.array(F.struct(F.size("lines").alias("first"), F.size("lines").alias("last")))))
+
+    def units(span: Column, k: Column) -> Column:
+        """The lines before a fence, each alone, and the fence."""
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.element_at("spans", F.greatest(k, F.lit(1)))["last"] + 1)
+        unit = lambda at, fence, raw: F.struct(at.cast("int").alias("line"), F.lit(fence).alias("fence"), raw.alias("raw"))
+        lines = F.transform(F.slice("lines", begin + 1, span["first"] - begin), lambda x, i: unit(begin + i, False, x))
+        code = F.array(unit(span["first"], True, F.array_join(F.slice("lines", span["first"] + 1, span["last"] - span["first"] + 1), "\n")))
+        return F.concat(lines, F.when(span["first"] < F.size("lines"), code).otherwise(F.slice(code, 1, 0)))
+
+    lines = whole.select("file_id", "path", F.explode(F.flatten(F.transform("spans", units))).alias("u")).select("file_id", "path", "u.*")
     w = Window.partitionBy("file_id").orderBy("line")
-    fence = F.col("raw").rlike(r"^\s{0,3}```")
-    lines = lines.withColumn("fences", F.sum(fence.cast("int")).over(w)).withColumn("inside", (F.col("fences") % 2 == 1) | fence)
+    indented = F.col("raw").rlike(r"^( {4}| {0,3}\t)")
     kind = (
-        F.when(F.col("inside"), "CodeSnippet")
+        F.when(F.col("fence"), "fence")
         .when(strip(F.col("raw")) == "", "blank")
         .when(F.col("raw").rlike(r"^#{1,6}\s+"), "Title")
         .when(F.col("raw").rlike(r"^\s*([-*+]|\d+\.)\s+"), "ListItem")
         .when(F.col("raw").rlike(r"^\s*\|.*\|\s*$"), "Table")
+        .when(indented, "indented")
         .otherwise("Text")
     )
     lines = lines.withColumn("kind", kind)
-    before = F.lag("kind").over(w)
-    opens = F.when(F.col("kind") == "CodeSnippet", fence & (F.col("fences") % 2 == 1)).otherwise(before.isNull() | (F.col("kind") != before) | F.col("kind").isin("Title", "ListItem"))
+    solid = lambda c: F.when(~F.col("kind").isin("blank", "indented"), c)
+    # what an indented line goes on with: the last line of another kind, if no blank one is between, or else a list item
+    behind = F.last(solid(F.col("kind")), ignorenulls=True).over(w)
+    gap = F.coalesce(F.last(F.when(F.col("kind") == "blank", F.col("line")), ignorenulls=True).over(w), F.lit(-1)) > F.coalesce(F.last(solid(F.col("line")), ignorenulls=True).over(w), F.lit(-1))
+    ahead = F.when(behind == "ListItem", "Text").when((behind == "Text") & ~gap, "Text").otherwise("code")
+    lines = lines.withColumn("kind", F.when(F.col("kind") == "indented", ahead).otherwise(F.col("kind")))
+    under = F.col("raw").rlike(r"^ {0,3}(=+|-+)\s*$") & (F.col("kind") == "Text")
+    # a line of - or = underlines a paragraph; right after another such line it begins one
+    lines = lines.withColumn("under", under).withColumn("before", F.lag("kind").over(w)).withColumn("line_before", F.lag("under").over(w))
+    lines = lines.withColumn("under", F.col("under") & F.coalesce((F.col("before") == "Text") & ~F.col("line_before"), F.lit(False)))
+    after = F.coalesce(F.lag("under").over(w), F.lit(False))
+    opens = F.col("before").isNull() | (F.col("kind") != F.col("before")) | F.col("kind").isin("Title", "ListItem", "fence") | after
     lines = lines.withColumn("element", F.sum(opens.cast("int")).over(w)).where("kind <> 'blank'")
-    whole = lines.groupBy("file_id", "path", "element").agg(
-        F.min("line").alias("line"), F.first("kind").alias("element_type"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]), "\n").alias("raw_text")
-    )
+    text = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("line", "raw", "under"))), lambda x: ~x["under"]), lambda x: x["raw"]), "\n")
+    kinds = F.when(F.max("under"), "Title").when(F.first("kind").isin("fence", "code"), "CodeSnippet").otherwise(F.first("kind"))
+    elements = lines.groupBy("file_id", "path", "element").agg(F.min("line").alias("line"), kinds.alias("element_type"), text.alias("raw_text"))
     pos = F.row_number().over(Window.partitionBy("file_id").orderBy("line")) - 1
-    return whole.select("file_id", "path", pos.alias("pos"), "element_type", "raw_text")
+    return elements.select("file_id", "path", pos.alias("pos"), "element_type", "raw_text")
 
 
 def split_lines(files: DataFrame, *more: str) -> DataFrame:

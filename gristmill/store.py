@@ -1,14 +1,17 @@
-"""Tables of files, blocks, results and decisions as Parquet folders with whole versions."""
+"""Tables of files, blocks, results and decisions as Parquet segments under a log of versions."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schemas
+from .errors import EngineError
 from .functions.text import one_of
 from .operators.decisions import latest, undecided_pairs
 
@@ -25,51 +28,190 @@ _ENUMS = {
     "pair_decisions": {"decision": (schemas.BLOCK_DECISIONS, "undecided")},
     "block_decisions": {"decision": (schemas.BLOCK_DECISIONS, "undecided")},
 }
+#: Key ranges of a table (by a hash of its first key), and segments of a range from which on compact() merges them.
+RANGES, SEGMENTS = 32, 8
 
 
-class Store:
-    """Reads give DataFrames; writes are keyed upserts.  A write makes a new version of the table's folder, and a version
-    counts once Spark has marked it whole, so a reader or a lost job never sees half of one."""
+class Log:
+    """The versions of one table: a small JSON file each, which names the segments that it adds and those that it replaces.
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    A segment is a folder of Parquet with a folder below for each key range that it has rows of.  A version counts once its
+    file is in place, and putting it there fails if another writer has taken its number; so readers see whole versions only,
+    and of two writers of one version one has to go on from the other's.
+    """
 
-    def _versions(self, name: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _read(self, path) -> dict:
+        stream = self.fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def entries(self) -> list[dict]:
+        """The versions in order."""
+        folder = self.path(f"{self.base}/log")
+        if not self.fs.exists(folder):
             return []
-        new = self.spark._jvm.org.apache.hadoop.fs.Path
-        found = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName()[1:].isdigit() and fs.exists(new(p, "_SUCCESS")))
+        names = sorted(s.getPath().getName() for s in self.fs.listStatus(folder))
+        return [self._read(self.path(folder, n)) for n in names if n.removesuffix(".json").isdigit()]
+
+    def segments(self, entries: list[dict]) -> dict[int, list[str]]:
+        """The segments of each key range after these versions, oldest first."""
+        live: dict[int, list[str]] = {}
+        for e in entries:
+            for k in e["ranges"]:
+                live[k] = ([] if e["replaces"] else live.get(k, [])) + [e["segment"]]
+        return live
+
+    def commit(self, entry: dict) -> bool:
+        """Puts entry in as its version; False if that version is another writer's."""
+        at = f"{self.base}/log/{entry['version']:020d}.json"
+        draft = self.path(f"{self.base}/log/.{uuid.uuid4().hex}")
+        out = self.fs.create(draft)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        jvm = self.spark._jvm
+        try:
+            if self.fs.getScheme() == "file":
+                # a local rename would overwrite; a hard link fails if the name is there, in one step
+                local = lambda p: jvm.java.nio.file.Paths.get(self.fs.makeQualified(p).toUri())
+                jvm.java.nio.file.Files.createLink(local(self.path(at)), local(draft))
+                return True
+            return bool(self.fs.rename(draft, self.path(at)))  # false or an error if the name is there
+        except Exception:
+            if self.fs.exists(self.path(at)):
+                return False
+            raise
+        finally:
+            if self.fs.exists(draft):
+                self.fs.delete(draft, False)
 
-    def read(self, name: str) -> DataFrame:
-        """The table's latest version; an empty table of its schema if there is none."""
-        schema, _ = _KEYS[name]
-        versions = self._versions(name)
-        return self.spark.read.schema(schema).parquet(f"{self.base}/{name}/v{versions[-1]}") if versions else self.spark.createDataFrame([], schema)
 
-    def upsert(self, name: str, rows: DataFrame) -> bool:
-        """Puts rows in by key; of rows with equal key the new one stays.  False, and nothing written, if nothing changes.
+class Store:
+    """Reads give DataFrames; writes are keyed upserts.  A write adds a segment with the rows that change and reads the key
+    ranges that they are in, and no other; compact() merges the segments of ranges that have many."""
+
+    def __init__(self, spark: SparkSession, base: str, ranges: int = RANGES):
+        self.spark, self.base, self.ranges = spark, base.rstrip("/"), ranges
 
-        Rows without a key part are left out.
+    def _log(self, name: str) -> Log:
+        return Log(self.spark, f"{self.base}/{name}")
+
+    def _range(self, name: str, entries: list[dict], key: Column | None = None) -> Column:
+        """A row's key range; the number of ranges is what the table began with."""
+        _, keys = _KEYS[name]
+        n = entries[0]["of"] if entries else self.ranges
+        return F.pmod(F.xxhash64(F.col(keys[0]) if key is None else key), F.lit(n)).cast("int")
+
+    def _merged(self, name: str, live: dict[int, list[str]]) -> DataFrame:
+        """The rows of these segments; of rows of one key that of the latest segment."""
+        schema, keys = _KEYS[name]
+        single = [f"{s[0]}/range={k}" for k, s in live.items() if len(s) == 1]
+        parts = [self.spark.read.schema(schema).parquet(*single)] if single else []
+        several = [[f"{s[i]}/range={k}" for k, s in live.items() if len(s) > 1 and i < len(s)] for i in range(max(map(len, live.values()), default=0))]
+        steps = [self.spark.read.schema(schema).parquet(*paths).withColumn("_v", F.lit(i)) for i, paths in enumerate(several) if paths]
+        if steps:
+            rows = steps[0]
+            for s in steps[1:]:
+                rows = rows.unionByName(s)
+            parts.append(latest(rows, keys, "_v").select(*(f.name for f in schema)))
+        out = parts[0] if parts else self.spark.createDataFrame([], schema)
+        return out.unionByName(parts[1]) if len(parts) > 1 else out
+
+    def read(self, name: str, version: int | None = None, key: str | None = None) -> DataFrame:
+        """The table's latest version, or an earlier one, or the key range of one value of its first key; empty if there is none."""
+        log = self._log(name)
+        entries = log.entries()
+        live = log.segments(entries if version is None else [e for e in entries if e["version"] <= version])
+        if key is not None and entries:
+            k = self.spark.range(1).select(self._range(name, entries, F.lit(key))).first()[0]
+            live = {k: live[k]} if k in live else {}
+        return self._merged(name, live)
+
+    def history(self, name: str) -> DataFrame:
+        """version, operation, ranges (number of them), rows of each version."""
+        rows = [(e["version"], e["operation"], len(e["ranges"]), e["rows"]) for e in self._log(name).entries()]
+        return self.spark.createDataFrame(rows, "version int, operation string, ranges int, rows bigint")
+
+    def _segment(self, name: str, rows: DataFrame, of: Column) -> tuple[str, list[int], int]:
+        """A written segment: its folder, its ranges and its number of rows."""
+        folder = f"{self.base}/{name}/data/{uuid.uuid4().hex}"
+        rows.withColumn("range", of).write.partitionBy("range").parquet(folder)
+        log = self._log(name)
+        names = [s.getPath().getName() for s in log.fs.listStatus(log.path(folder))]
+        found = sorted(int(n.removeprefix("range=")) for n in names if n.startswith("range="))
+        return folder, found, self.spark.read.parquet(folder).count() if found else 0
+
+    def upsert(self, name: str, rows: DataFrame, attempts: int = 20) -> bool:
+        """Puts rows in by key; of rows with equal key the new one stays.  False, and no version made, if nothing changes.
+
+        Rows without a key part are left out.  Of rows of one key among the new ones, that of the greatest values stays.  If
+        another writer has been quicker, the same is done again on top of what it wrote, where that is in the same ranges.
         """
         schema, keys = _KEYS[name]
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
         for k in keys:
             rows = rows.where(F.col(k).isNotNull() & (F.col(k) != ""))
-        old = self.read(name)
         values = [c.name for c in schema if c.name not in keys]
-        digest = lambda d: d.select(*keys, F.sha2(F.to_json(F.struct(*values)), 256).alias("_digest"))
-        if digest(rows).join(digest(old), [*keys, "_digest"], "left_anti").isEmpty():
+        json_of = lambda: F.to_json(F.struct(*values))
+        rows = latest(rows.withColumn("_v", json_of()), keys, "_v").select(*(f.name for f in schema))
+        digest = lambda d: d.select(*keys, F.sha2(json_of(), 256).alias("_digest"))
+        log = self._log(name)
+        for _ in range(attempts):
+            entries = log.entries()
+            of, live = self._range(name, entries), log.segments(entries)
+            touched = [r[0] for r in rows.select(of.alias("k")).distinct().collect()]  # at most as many as there are ranges
+            old = self._merged(name, {k: live[k] for k in touched if k in live})
+            new = rows.withColumn("_digest", F.sha2(json_of(), 256)).join(digest(old), [*keys, "_digest"], "left_anti").drop("_digest")
+            folder, found, count = self._segment(name, new, of)
+            if not found:
+                log.fs.delete(log.path(folder), True)
+                return False
+            while True:
+                version = (entries[-1]["version"] if entries else 0) + 1
+                if log.commit({"version": version, "operation": "upsert", "segment": folder, "ranges": found, "replaces": False, "rows": count, "of": entries[0]["of"] if entries else self.ranges}):
+                    return True
+                now = log.entries()
+                theirs = {k for e in now[len(entries) :] for k in e["ranges"]}
+                again = not entries or theirs & set(touched)
+                entries = now
+                if again:
+                    break
+            log.fs.delete(log.path(folder), True)
+        raise EngineError(f"other writers were quicker {attempts} times", "UNEXPECTED_ERROR", {"table": name})
+
+    def compact(self, name: str, segments: int = SEGMENTS) -> bool:
+        """Merges the segments of each key range that has so many or more; False if there is none, or another writer was quicker
+        in one of them."""
+        log = self._log(name)
+        entries = log.entries()
+        many = {k: s for k, s in log.segments(entries).items() if len(s) >= max(2, segments)}
+        if not many:
             return False
-        both = old.withColumn("_v", F.lit(0)).unionByName(rows.withColumn("_v", F.lit(1)))
-        version = (self._versions(name) or [0])[-1] + 1
-        out = latest(both, keys, "_v").select(*(f.name for f in schema))
-        writer = out.write.mode("overwrite")
-        writer.parquet(f"{self.base}/{name}/v{version}")
+        folder, found, count = self._segment(name, self._merged(name, many), self._range(name, entries))
+        seen = len(entries)
+        while not log.commit({"version": entries[-1]["version"] + 1, "operation": "compact", "segment": folder, "ranges": found, "replaces": True, "rows": count, "of": entries[0]["of"]}):
+            entries = log.entries()
+            if {k for e in entries[seen:] for k in e["ranges"]} & set(many):
+                log.fs.delete(log.path(folder), True)
+                return False
         return True
 
+    def vacuum(self, name: str) -> int:
+        """Deletes the segments that the latest version reads nothing of, and says how many; earlier versions can't be read then."""
+        log = self._log(name)
+        entries = log.entries()
+        live = {s for of in log.segments(entries).values() for s in of}
+        gone = [e["segment"] for e in entries if e["segment"] not in live and log.fs.exists(log.path(e["segment"]))]
+        for s in gone:
+            log.fs.delete(log.path(s), True)
+        return len(gone)
+
     def register_files(self, files: DataFrame) -> DataFrame:
         """file_id of each path, the known one or one made from the path; new paths are added."""
         new = files.select("path").distinct().join(self.read("files").select("path"), "path", "left_anti")
@@ -105,13 +247,13 @@ class Store:
         return rows
 
     def file(self, file_id: str) -> DataFrame:
-        return self.read("files").where(F.col("file_id") == file_id)
+        return self.read("files", key=file_id).where(F.col("file_id") == file_id)
 
     def block(self, block_id: str) -> DataFrame:
         return self.read("blocks").where(F.col("block_id") == block_id)
 
     def blocks_by_file(self, file_id: str) -> DataFrame:
-        return self.read("blocks").where(F.col("file_id") == file_id).orderBy("pos")
+        return self.read("blocks", key=file_id).where(F.col("file_id") == file_id).orderBy("pos")
 
     def blocks(self, **criteria) -> DataFrame:
         return matching(self.read("blocks"), criteria, ("file_id", "block_type"))

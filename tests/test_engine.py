@@ -300,3 +300,118 @@ def test_pruned_pairs_are_exact_and_skip_blocks(spark):
     # vectors spread evenly can't be told apart, and none may be lost
     even = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((400, 16)))], df.schema)
     assert semantic.similar_pairs(even, 0.5, block=50).count() == semantic.similar_pairs(even, 0.5).count() > 0
+
+
+def _decisions(spark, rows):
+    return spark.createDataFrame([(p, "b", "text", d) for p, d in rows], "path string, block_id string, block_type string, decision string").withColumn("decided_at", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+
+
+def _state(rows):
+    return {r["path"]: r["decision"] for r in rows.collect()}
+
+
+def test_store_versions_and_compaction(spark, tmp_path):
+    store = Store(spark, str(tmp_path), ranges=4)
+    first = {f"p{k}": "keep" for k in range(40)}
+    assert store.upsert("block_decisions", _decisions(spark, first.items()))
+    assert not store.upsert("block_decisions", _decisions(spark, [("p1", "keep")]))
+    assert store.upsert("block_decisions", _decisions(spark, [("p1", "delete"), ("p1", "delete"), ("new", "keep"), ("", "keep")]))
+    assert store.upsert("block_decisions", _decisions(spark, [("p1", "undecided"), ("p1", "delete")]))  # of one key the greatest values stay
+    assert _state(store.read("block_decisions")) == first | {"p1": "undecided", "new": "keep"}
+    assert _state(store.read("block_decisions", version=1)) == first and _state(store.read("block_decisions", version=2))["p1"] == "delete"
+    assert [tuple(r)[:2] for r in store.history("block_decisions").orderBy("version").collect()] == [(1, "upsert"), (2, "upsert"), (3, "upsert")]
+    # a row's key range alone is read, and what it goes with stays as it is
+    assert len(store.read("block_decisions", key="p7").inputFiles()) < len(store.read("block_decisions").inputFiles())
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "block_decisions/data").rglob("*.parquet")}
+    assert store.upsert("block_decisions", _decisions(spark, [("p2", "delete")]))
+    assert {p: p.stat().st_mtime_ns for p in before} == before and store._log("block_decisions").entries()[-1]["rows"] == 1
+    want = _state(store.read("block_decisions"))
+    assert store.compact("block_decisions", 2) and not store.compact("block_decisions", 2)
+    assert _state(store.read("block_decisions")) == want and _state(store.read("block_decisions", version=1)) == first
+    store.vacuum("block_decisions")
+    assert _state(store.read("block_decisions")) == want
+
+
+def test_two_writers_of_one_store(spark, tmp_path):
+    """Of two writers of one version one goes on from what the other wrote, and nothing is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    a, b = Store(spark, str(tmp_path), ranges=2), Store(spark, str(tmp_path), ranges=8)
+    log = a._log("block_decisions")
+    entry = {"version": 1, "operation": "upsert", "segment": "x", "ranges": [], "replaces": False, "rows": 0, "of": 2}
+    log.fs.mkdirs(log.path(f"{tmp_path}/other/log"))
+    other = a._log("other")
+    assert other.commit(entry) and not other.commit(entry | {"segment": "y"}) and [e["segment"] for e in other.entries()] == ["x"]
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(s.upsert, "block_decisions", _decisions(spark, [(f"{n}{k}", "keep"), ("both", n)])) for k in range(2) for n, s in (("a", a), ("b", b))]
+        for j in jobs:
+            j.result()
+    got = _state(a.read("block_decisions"))
+    assert set(got) == {"a0", "a1", "b0", "b1", "both"} and got["both"] in "ab"
+    assert [e["version"] for e in log.entries()] == list(range(1, len(log.entries()) + 1)) and len({e["of"] for e in log.entries()}) == 1
+    # a commit that another writer has overtaken in the same range starts again from there
+    seen = []
+    real = log.__class__.commit
+
+    def late(self, entry):
+        if not seen:
+            seen.append(1)
+            assert b.upsert("block_decisions", _decisions(spark, [("a0", "delete")]))
+        return real(self, entry)
+
+    log.__class__.commit = late
+    try:
+        assert a.upsert("block_decisions", _decisions(spark, [("a0", "undecided")]))
+    finally:
+        log.__class__.commit = real
+    assert _state(a.read("block_decisions"))["a0"] == "undecided"
+
+
+def _elements(spark, text):
+    files = spark.createDataFrame([("f", "p.md", text)], "file_id string, path string, content string")
+    return [(r["element_type"], r["raw_text"]) for r in src.split_markdown(files).orderBy("pos").collect()]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("````\n```\ninner\n```\n````\nafter", [("CodeSnippet", "````\n```\ninner\n```\n````"), ("Text", "after")]),
+        ("~~~\n# no title\n```\n~~~~\n# T", [("CodeSnippet", "~~~\n# no title\n```\n~~~~"), ("Title", "# T")]),
+        ("```a`b\ntext", [("Text", "```a`b\ntext")]),
+        ("```py\nx\n``` not closed\ny", [("CodeSnippet", "```py\nx\n``` not closed\ny")]),
+        ("a\n```\nx\n```\n```\ny\n```", [("Text", "a"), ("CodeSnippet", "```\nx\n```"), ("CodeSnippet", "```\ny\n```")]),
+        ("Big\n===\n\ntwo\nlines\n---\n---\nx", [("Title", "Big"), ("Title", "two\nlines"), ("Text", "---\nx")]),
+        ("p\n    still p\n\n    code\n\tmore\n\nq", [("Text", "p\n    still p"), ("CodeSnippet", "    code\n\tmore"), ("Text", "q")]),
+        ("- a\n- b\n\n    of b\n\n1. c", [("ListItem", "- a"), ("ListItem", "- b"), ("Text", "    of b"), ("ListItem", "1. c")]),
+        ("| a |\n|---|\n| b |\nx", [("Table", "| a |\n|---|\n| b |"), ("Text", "x")]),
+        ("", []),
+        ("\r\n \r\n# A\r\nb\r\n", [("Title", "# A"), ("Text", "b")]),
+        ("   ```\nx\n    ```\ny\n   ```", [("CodeSnippet", "   ```\nx\n    ```\ny\n   ```")]),
+    ],
+)
+def test_markdown_elements(spark, text, want):
+    assert _elements(spark, text) == want
+
+
+@pytest.mark.parametrize("gap", [0, 1, 2])
+def test_merging_is_the_plain_loop(spark, gap):
+    """merge_code_blocks() against fold() over files of random blocks, multi-line and odd ones among them."""
+    import random
+
+    rng = random.Random(gap)
+    texts = [FENCE, FENCE, FENCE + "python", "```py\nx = 1\n", "x", " y", "\n", "", "  ", "a_", "_b", "z\n```", "```\npython", "```js\ncode\n```", " ``` ", "é1\r\n", "中", "l1\u2028```", "w\x85", "\n```ruby", None]
+    rows = []
+    for f in range(150):
+        for i in range(rng.randint(0, 12)):
+            rows.append({"file_id": f"f{f}", "pos": i // 2 if f % 9 == 0 else i, "block_id": f"b{i:02d}", "block_type": rng.choice(("code", "code", "code", "code", "text", "heading")), "text": rng.choice(texts), "token_count": rng.randint(0, 5)})
+    want = []
+    for f in {r["file_id"] for r in rows}:
+        own = sorted((r for r in rows if r["file_id"] == f), key=lambda r: (r["pos"], r["block_id"]))
+        out, members = merge.fold([r | {"status": "undecided", "char_count": len(r["text"] or ""), "language": None, "merged_into": None} for r in own], gap)
+        want += [*out, *members]
+    df = spark.createDataFrame([(r["file_id"], r["pos"], r["block_id"], r["block_type"], r["text"], r["token_count"]) for r in rows], "file_id string, pos int, block_id string, block_type string, text string, token_count long")
+    got = [r.asDict() for r in merge.merge_code_blocks(df, gap).collect()]
+    columns = ["file_id", "pos", "block_id", "block_type", "text", "status", "char_count", "token_count", "language", "merged_into"]
+    as_rows = lambda rs: sorted(str([r[c] for c in columns]) for r in rs)
+    assert as_rows(got) == as_rows(want) and len(got) > len(rows)
+    assert merge.merge_code_blocks(df.limit(0)).count() == 0
