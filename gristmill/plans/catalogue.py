@@ -13,6 +13,7 @@ from ..functions import text as fn
 from ..operators import decisions as dec
 from ..operators import duplicates, merge, render, semantic, simhash
 from ..sources import files as src
+from ..sources import scans
 from ..shipping import scratch
 from ..store import Store, decisions_matching, results_matching
 
@@ -382,6 +383,34 @@ def store_versions(spark: SparkSession, d: str) -> DataFrame:
     return at(1).unionByName(at(2)).unionByName(at(4))
 
 
+@query(
+    """SELECT path, CASE WHEN doc_id % 11 = 0 AND doc_id % 13 <> 0 THEN 'new' WHEN doc_id % 13 = 0 THEN 'gone' WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS state
+FROM files WHERE NOT (doc_id % 11 = 0 AND doc_id % 13 = 0)"""
+)
+def file_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Two listings of the same files: some are in one only, some have another size, some another time."""
+    files = src.document_files(_table(spark, d, "documents"), "doc_id").select("doc_id", "path", F.octet_length("content").cast("long").alias("size"), F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("modified"))
+    other = lambda n, c, by: F.when(F.col("doc_id") % n == 0, by).otherwise(F.col(c)).alias(c)
+    after = files.where("doc_id % 13 <> 0").select("path", other(7, "size", F.col("size") + 1), other(5, "modified", F.col("modified") + F.expr("INTERVAL 1 SECOND")))
+    return scans.changes(files.where("doc_id % 11 <> 0"), after)
+
+
+@query(
+    _BASE
+    + """, l AS (SELECT path[1:2] AS root, TIMESTAMP '2024-01-01 10:00:00' + to_minutes((doc_id % 90)::INT) AS scanned_at, path, sha256(content) AS digest, strlen(content) AS size FROM files),
+f AS (SELECT * FROM l WHERE scanned_at BETWEEN TIMESTAMP '2024-01-01 10:30:00' AND TIMESTAMP '2024-01-01 11:15:00')
+SELECT root, path, count(*) OVER (PARTITION BY root, digest, size) AS n_files FROM f WHERE scanned_at = (SELECT max(scanned_at) FROM f g WHERE g.root = f.root)"""
+)
+def recent_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Of scans made at different times, each root's latest that is no older than 45 minutes, and the copies in it."""
+    files = src.document_files(_table(spark, d, "documents"), "doc_id")
+    at = F.to_timestamp(F.lit("2024-01-01 10:00:00")) + F.make_dt_interval(mins=(F.col("doc_id") % 90).cast("int"))
+    log = files.select(F.substring("path", 1, 2).alias("root"), at.alias("scanned_at"), "path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"))
+    last = scans.latest_scans(log, F.to_timestamp(F.lit("2024-01-01 11:15:00")), 2700)
+    counted = last.groupBy("root", "digest", "size").agg(F.count("*").alias("n_files"))
+    return last.join(counted, ["root", "digest", "size"]).select("root", "path", "n_files")
+
+
 _FENCED = {2: "````py", 4: "```", 5: "```", 6: "````", 11: "", 13: "====", 15: "~~~", 16: "~~~~"}
 _BEFORE = {8: "## ", 9: "- ", 10: "    ", 14: "| "}
 

@@ -415,3 +415,54 @@ def test_merging_is_the_plain_loop(spark, gap):
     as_rows = lambda rs: sorted(str([r[c] for c in columns]) for r in rs)
     assert as_rows(got) == as_rows(want) and len(got) > len(rows)
     assert merge.merge_code_blocks(df.limit(0)).count() == 0
+
+
+def test_scans_read_what_has_changed(spark, tmp_path):
+    import os
+    from datetime import datetime
+
+    from gristmill.sources import scans
+
+    top = tmp_path / "in"
+    (top / "sub").mkdir(parents=True)
+    for name, text in (("a.md", "one"), ("b.md", "one"), ("sub/c.md", "two"), ("d.txt", "no")):
+        (top / name).write_text(text)
+    log = scans.ScanLog(spark, f"{tmp_path}/log", seconds=600, days=2)
+    at = lambda day, minute: datetime(2024, 1, day, 10, minute)
+    assert log.recent(str(top), at(1, 0)).count() == 0
+    first = {r["path"]: r["digest"] for r in log.scan(str(top), now=at(1, 0)).collect()}
+    assert set(first) == {f"{top}/{n}" for n in ("a.md", "b.md", "sub/c.md")} and first[f"{top}/a.md"] == first[f"{top}/b.md"]
+    # what changes without size and time doing so isn't seen, so it wasn't read; what changes in either is
+    kept = os.stat(top / "a.md")
+    (top / "a.md").write_text("eno")
+    os.utime(top / "a.md", ns=(kept.st_atime_ns, kept.st_mtime_ns))
+    (top / "b.md").write_text("other")
+    (top / "sub/c.md").unlink()
+    (top / "e.md").write_text("two")
+    assert {r["path"]: r["digest"] for r in log.scan(str(top), now=at(1, 5)).collect()} == first  # still fresh
+    second = {r["path"]: r["digest"] for r in log.scan(str(top), now=at(1, 20)).collect()}
+    assert set(second) == {f"{top}/{n}" for n in ("a.md", "b.md", "e.md")}
+    assert second[f"{top}/a.md"] == first[f"{top}/a.md"] and second[f"{top}/b.md"] != first[f"{top}/b.md"] and second[f"{top}/e.md"] == first[f"{top}/sub/c.md"]
+    assert {r["scanned_at"] for r in log.recent(str(top), at(1, 25)).collect()} == {at(1, 20)}
+    assert log.scan(str(top), now=at(1, 21), fresh=False).count() == 3
+    (top / "f.md").write_text("two")
+    third = log.scan(str(top), now=at(2, 0))
+    assert sorted(r["path"] for r in scans.copies(third).collect()) == [f"{top}/e.md", f"{top}/f.md"]
+    assert scans.copies(third, f"{top}/a.md").count() == 0 and scans.copies(third, f"{top}/e.md").count() == 2
+    (tmp_path / "none").mkdir()
+    assert log.scan(f"{tmp_path}/none", now=at(2, 0)).count() == 0 and log.recent(f"{tmp_path}/none", at(2, 1)).count() == 1
+    assert log.expire(at(3, 0)) == 0 and log.expire(at(4, 0)) == 1 and {r["day"].day for r in log.rows().select("day").distinct().collect()} == {2}
+    gone = spark.createDataFrame([(f"{top}/no.md", 1)], "path string, size int")
+    assert [r["digest"] for r in scans.digests(gone).collect()] == [None]
+
+
+def test_changes_of_hard_listings(spark):
+    from datetime import datetime
+
+    from gristmill.sources import scans
+
+    t = [datetime(2024, 1, k) for k in (1, 2)]
+    shape = "path string, size long, modified timestamp"
+    before = spark.createDataFrame([("a", 1, t[0]), ("a", 1, t[0]), ("b", None, None), ("c", 1, t[0]), (None, 1, t[0]), ("d", 1, t[0]), ("e", 2, t[1]), ("e", 1, t[0])], shape)
+    after = spark.createDataFrame([("a", 1, t[0]), ("b", None, None), ("c", 1, t[1]), (None, 2, t[0]), ("e", 2, t[1]), ("f", 0, None)], shape)
+    assert {tuple(r) for r in scans.changes(before, after).collect()} == {("a", "unchanged"), ("b", "unchanged"), ("c", "changed"), ("d", "gone"), ("e", "unchanged"), ("f", "new")}
