@@ -15,8 +15,8 @@ import regex
 #: Fixed values of the byte-level format: its pre-token pattern and the bytes that stand for themselves as characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = (*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1))
-#: Entries after which a worker's cache of encoded units starts anew.
-CACHE = 500_000
+#: Bytes (about) after which a worker's cache of encoded units starts anew, and those of an entry besides its characters.
+CACHE, ENTRY = 48 << 20, 200
 
 
 def byte_characters() -> list[str]:
@@ -46,6 +46,7 @@ class Codec:
         parts = sorted(self.added, key=lambda s: (-len(s), s))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, parts)) + ")").split if parts else None
         self.known: dict[str, str] = {}
+        self.held = 0
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one pre-token.
@@ -105,14 +106,18 @@ class Codec:
         if not text:
             return ""
         units, known = self.units(text), self.known
-        new = set(units).difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set(units)
-        for u in new:
-            known[u] = ",".join(map(str, self.ids(u)))
+        if self.held > CACHE:
+            self.forget()
+        for u in set(units).difference(known):
+            known[u] = found = ",".join(map(str, self.ids(u)))
+            self.held += ENTRY + 4 * len(u) + len(found)
         return ",".join(map(known.__getitem__, units))
 
+    def forget(self) -> None:
+        """Empties the cache."""
+        self.known.clear()
+        self.held = 0
+
     def decode(self, ids: str) -> str:
         """The text of decimal ids joined by commas: vocabulary strings one after the other."""
         return b"".join(map(self.strings.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""

@@ -41,7 +41,7 @@ def encode(docs: DataFrame, spec: str, outputs: tuple[str, ...] = ("n_tokens", "
     decimal ids joined by commas and of the decoded text.  A null text is empty and has no ids; a very long text is encoded
     whole, alone.  Each row stands alone, so
     repeated rows, null ids and empty tables need nothing special, and a lost task is done again from its own rows.
-    Workers keep what they have encoded, up to a fixed number of entries.
+    A task keeps what it has encoded, up to a fixed number of bytes and one text's.
     """
     sent = docs.sparkSession.sparkContext.broadcast(spec)
 
@@ -62,6 +62,7 @@ def encode(docs: DataFrame, spec: str, outputs: tuple[str, ...] = ("n_tokens", "
                     else:
                         out.append(hashlib.sha256((ids if k == "ids_sha256" else decoded).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(rows[k], FIELDS[k][1]) for k in outputs)], ["doc_id", *outputs])
+        c.forget()  # the codec outlives the task in its worker; what it has encoded need not
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(k, FIELDS[k][0]) for k in outputs)]
     return map_arrow(docs.select("doc_id", "text"), run, T.StructType(fields))
