@@ -39,7 +39,7 @@ _UNSEEN = "\u00ad\u200c\u200d\u2060"
 _EDGE = string.punctuation + string.digits
 #: Words (and 32 code points of tokens) that a worker's cache holds before it starts anew, padded words that are scored at once, words whose features
 #: are held at once, and code points of the texts that are taken apart at once (a longer text alone).
-CACHE, BLOCK, SLICE, CHUNK = 300_000, 300_000, 10_000, 2_000_000
+CACHE, BLOCK, SLICE, CHUNK = 300_000, 300_000, 10_000, 1_000_000
 
 
 def pieces(token: str) -> list[str]:
