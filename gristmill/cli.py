@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+from functools import partial
 
 from .errors import EngineError
 
@@ -30,19 +31,27 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .operators import render, semantic
+    from .metrics import Metrics
+    from .operators import encoding, render, semantic
     from .plans.pipeline import Config, analyse
     from .store import Store
 
     try:
         spark = SparkSession.builder.appName("gristmill").getOrCreate()
-        encoder = semantic.load_encoder(args.encoder) if args.encoder and not args.skip_semantic else None
+        named = args.encoder and not args.skip_semantic
+        encoder = encoding.Loader(args.encoder, partial(semantic.load_encoder, args.encoder)) if named else None
         config = Config(args.input_dir, args.output_dir, args.threshold, args.skip_semantic, args.merge_code, prefilter=args.prefilter, style=args.style, encoder=encoder)
         store = Store(spark, args.decisions) if args.decisions else None
-        found = analyse(spark, config, decisions=store.read("block_decisions") if store else None)
+        log, metrics = logging.getLogger("gristmill"), Metrics()
+        with metrics.timed("analyse"):
+            found = analyse(spark, config, decisions=store.read("block_decisions") if store else None, metrics=metrics)
+        if found.semantic_skipped:
+            log.warning("no similar pairs are looked for, as the encoder can't be loaded: %s", found.semantic_skipped)
         if store:
             store.upsert("block_decisions", found.blocks.select("path", "block_id", "block_type", "decision", F.current_timestamp().alias("decided_at")))
-        render.write(found.rendered())
+        with metrics.timed("write"):
+            render.write(found.rendered())
+        log.info("%s %s", metrics.stages(), metrics.operations())
         print(found.status().first().asDict())
     except EngineError as e:
         logging.getLogger("gristmill").error("%s (%s) %s", e, e.number, e.details)

@@ -70,6 +70,11 @@ def delete_all_but_first(members: DataFrame, group: str | None = None) -> DataFr
     return rows.where("NOT first").select(*KEY, F.lit("delete").alias("decision"))
 
 
+def pending(blocks: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Blocks that nothing, or only undecided, is decided for; a null decision decides nothing."""
+    return blocks.join(decisions.where("decision IS NOT NULL AND decision <> 'undecided'").select(*KEY), KEY, "left_anti")
+
+
 def undecided_pairs(results: DataFrame, decisions: DataFrame) -> DataFrame:
     """Results without a decision, or with one that says undecided, is empty or null."""
     decisive = decisions.where("decision IS NOT NULL AND decision NOT IN ('', 'undecided')")

@@ -26,8 +26,8 @@ def file_group_heads(files: DataFrame, content: str = "content") -> DataFrame:
 def unique_files(files: DataFrame, mode: str = "strict", min_size: int | None = None, max_size: int | None = None, content: str = "content") -> DataFrame:
     """Paths of files without a copy; strict leaves out every member of a group, keep_first all but the first path.
 
-    The count and the rank are windows over the digests of (path, digest, size) alone, so contents don't move.  Size bounds
-    in bytes are off by default.
+    Copies are counted, and the first path taken, by partial sums over (path, digest, size) alone, so contents don't move.
+    Size bounds in bytes are off by default.  `functions.paths.by_parts` puts paths in order.
     """
     hashed = files.select("path", F.sha2(F.col(content), 256).alias("digest"), F.octet_length(content).cast("long").alias("size"))
     if min_size is not None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ def rendered(style: str = "basic") -> Column:
         raise ValueError(f"unknown style {style!r}")
     element = F.coalesce(F.element_at("metadata", "element_type"), F.lit(""))
     number = F.coalesce(F.nullif(F.regexp_extract(element, r"[-_](\d+)$", 1), F.lit("")), F.element_at("metadata", "category_depth"))
-    level = F.when(element.contains("Title"), 1).otherwise(F.coalesce(F.expr("try_cast(null as int)"), number.try_cast("int"), F.lit(2)))
+    level = F.when(element.contains("Title"), 1).otherwise(F.coalesce(number.try_cast("int"), F.lit(2)))
     level = F.least(F.greatest(level, F.lit(1)), F.lit(6))
     fence = F.concat(F.lit("```"), F.coalesce(F.element_at("metadata", "language"), F.lit("")), F.lit("\n"), text, F.lit("\n```"))
     return (
@@ -44,19 +47,22 @@ def render(blocks: DataFrame, style: str = "basic", input_dir: str = "", output_
     return whole.select(output_path(F.col("path"), input_dir, output_dir).alias("output_path"), "content")
 
 
-def write(rendered_files: DataFrame) -> None:
-    """Writes each content to its output_path, from the executors, through the Hadoop file system's Python counterpart.
+def write(rendered_files: DataFrame) -> int:
+    """Writes each content to its output_path, from the executors, through the Hadoop file system's Python counterpart, and
+    says how many there were.
 
-    Paths must be in a folder that all executors share.
+    Paths must be in a folder that all executors share.  A task that runs again writes its files again.
     """
 
-    def save(rows) -> None:
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        for r in rows:
-            where, path = fs.FileSystem.from_uri(r["output_path"]) if "://" in r["output_path"] else (fs.LocalFileSystem(), r["output_path"])
-            where.create_dir(path.rsplit("/", 1)[0])
-            with where.open_output_stream(path) as f:
-                f.write(r["content"].encode())
+        for frame in frames:
+            for at, content in zip(frame["output_path"], frame["content"], strict=True):
+                where, path = fs.FileSystem.from_uri(at) if "://" in at else (fs.LocalFileSystem(), at)
+                where.create_dir(path.rsplit("/", 1)[0])
+                with where.open_output_stream(path) as f:
+                    f.write(content.encode())
+            yield pd.DataFrame({"n": [len(frame)]})
 
-    rendered_files.foreachPartition(save)
+    return rendered_files.select("output_path", "content").mapInPandas(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +16,12 @@ from pyspark.sql import types as T
 from ..errors import EngineError
 from ..shipping import ship
 from ..schemas import SIMILARITY_THRESHOLD
+from .encoding import Encoder, Loader, encoded
 
 #: Rows of a block of the pair matrix.
 BLOCK = 4096
 #: Vectors that others are measured by, and numbers of axes at which their product is bounded.
 PIVOTS, DEPTHS = 64, (1, 2, 4, 8, 16, 32)
-Encoder = Callable[[list[str]], np.ndarray]
 
 
 def clamped(threshold: float) -> float:
@@ -58,22 +58,10 @@ def eligible(blocks: DataFrame) -> DataFrame:
     return blocks.where("block_type <> 'heading' AND path IS NOT NULL AND decision <> 'delete'")
 
 
-def encoded_texts(blocks: DataFrame, encoder: Encoder, batch: int = 32, cache: DataFrame | None = None) -> DataFrame:
-    """text_md5, embedding of each distinct text that isn't in the cache (same columns), together with the cache."""
-    texts = blocks.where("text IS NOT NULL AND text <> ''").select(F.md5("text").alias("text_md5"), "text").dropDuplicates(["text_md5"])
-    if cache is not None:
-        texts = texts.join(cache.select("text_md5"), "text_md5", "left_anti")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            vectors: list = []
-            for at in range(0, len(f), batch):
-                vectors.extend(encoder(f["text"].iloc[at : at + batch].tolist()).astype(np.float64).tolist())
-            yield pd.DataFrame({"text_md5": f["text_md5"], "embedding": vectors})
-
-    ship(blocks.sparkSession)
-    new = texts.mapInPandas(run, "text_md5 string, embedding array<double>")
-    return new if cache is None else cache.select("text_md5", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(new)
+def encoded_texts(blocks: DataFrame, encoder: Encoder | Loader, batch: int = 32, cache: DataFrame | None = None) -> DataFrame:
+    """text_md5, embedding of each distinct text that isn't in the cache (same columns), together with the cache; texts that
+    the encoder fails on have an empty embedding (encoding.encoded() says why)."""
+    return encoded(blocks, encoder, batch, cache).select("text_md5", "embedding")
 
 
 def with_vectors(blocks: DataFrame, vectors: DataFrame) -> DataFrame:

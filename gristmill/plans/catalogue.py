@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions import text as fn
 from ..operators import decisions as dec
-from ..operators import duplicates, merge, render, semantic, simhash
+from ..operators import duplicates, encoding, lineage, merge, render, semantic, simhash
 from ..sources import files as src
 from ..sources import scans
 from ..shipping import scratch
@@ -523,3 +524,98 @@ def merge_code_multiline(spark: SparkSession, d: str) -> DataFrame:
 def simhash_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("block_id"), "text")
     return simhash.similar(simhash.fingerprints(docs))
+
+
+#: Spellings of a file's path (source, name), by its number.
+_SPELLINGS = {
+    0: ("file:///data/", "s", "/", "n"), 1: ("/data//", "s", "/./", "n"), 2: ("../", "s", "-x/", "n"), 3: ("/../", "s", "/x/../", "n"),
+    4: ("S3A://bucket/", "s", "//y/z/../../", "n", "/"), 5: ("./", "s", "/", "n"), 6: ("s", "/../../", "n"), 7: ("hdfs://host:8020/", "s", "/../.."), 8: ("s", "/.."), 9: ("FILE:/a/../", "n", "/.../..x"),
+}
+
+
+def _spelt(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source and a spelling of the path of each document."""
+    part = {"s": F.coalesce("source", F.lit("")), "n": F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))}
+    out = F.lit("")
+    for k, spelling in _SPELLINGS.items():
+        out = F.when(F.col("doc_id") % 11 == k, F.concat(*[part.get(x, F.lit(x)) for x in spelling])).otherwise(out)
+    return _table(spark, d, "documents").select("doc_id", "source", out.alias("spelt"))
+
+
+_SQL_PART = {"s": "coalesce(source, '')", "n": "'doc' || doc_id || '.md'"}
+_CANONICAL = (
+    "WITH spelt AS (SELECT doc_id, source, CASE doc_id % 11 "
+    + " ".join(f"WHEN {k} THEN " + " || ".join(_SQL_PART.get(x, f"'{x}'") for x in spelling) for k, spelling in _SPELLINGS.items())
+    + """ ELSE '' END AS p FROM documents),
+cut AS (SELECT *, CASE WHEN regexp_matches(p, '^(?i:file):/') THEN '' ELSE regexp_extract(p, '^[A-Za-z][A-Za-z0-9+.-]+://[^/]*') END AS host FROM spelt),
+rest AS (SELECT *, CASE WHEN regexp_matches(p, '^(?i:file):/') THEN regexp_replace(p, '^[A-Za-z]+:/+', '/') ELSE p[length(host) + 1:] END AS q FROM cut),
+parts AS (SELECT *, host <> '' OR starts_with(q, '/') AS rooted, list_filter(string_split(q, '/'), lambda x: x NOT IN ('', '.')) AS ps FROM rest),
+body AS (SELECT *, list_reduce(ps, lambda s, x: CASE WHEN x <> '..' THEN concat_ws('/', nullif(s, ''), x) WHEN s <> '' AND s <> '..' AND NOT ends_with(s, '/..') THEN regexp_replace(s, '/?[^/]*$', '')
+  WHEN rooted THEN s ELSE concat_ws('/', nullif(s, ''), '..') END, '') AS b FROM parts),
+canonical AS (SELECT doc_id, source, CASE WHEN rooted THEN lower(split_part(host, '://', 1)) || CASE WHEN host <> '' THEN '://' || split_part(host, '://', 2) ELSE '' END || '/' || b WHEN b = '' THEN '.' ELSE b END AS path FROM body)
+"""
+)
+
+
+@query(_CANONICAL + "SELECT doc_id, path FROM canonical")
+def canonical_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Schemes, doubled separators, `.` and `..` in many places, and the one spelling of each."""
+    return _spelt(spark, d).select("doc_id", paths.canonical(F.col("spelt")).alias("path"))
+
+
+@query(_CANONICAL + "SELECT source, count(DISTINCT path) AS n_paths, arg_min(path, string_split(path, '/')) AS first_path, arg_max(path, string_split(path, '/')) AS last_path FROM canonical GROUP BY source")
+def first_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's first and last path by parts."""
+    path = _spelt(spark, d).select("source", paths.canonical(F.col("spelt")).alias("path"))
+    order = paths.by_parts(F.col("path"))
+    distinct = path.groupBy("source", "path").agg(F.count("*").alias("n"))
+    return distinct.groupBy("source").agg(F.count("*").alias("n_paths"), F.min_by("path", order).alias("first_path"), F.max_by("path", order).alias("last_path"))
+
+
+def _moody(texts: list[str]):
+    """An encoder for the query below: it fails on batches with a text whose length is divisible by 7, and gives a vector that
+    isn't finite where it is divisible by 11."""
+    import numpy as np
+
+    if any(len(t) % 7 == 0 for t in texts):
+        raise ValueError("length")
+    return np.array([[len(t), np.inf if len(t) % 11 == 0 else 1.0] for t in texts])
+
+
+@query(
+    """, t AS (SELECT DISTINCT text FROM blocks)
+SELECT md5(text) AS text_md5, CASE WHEN length(text) % 7 = 0 OR length(text) % 11 = 0 THEN 0 ELSE length(text) END::DOUBLE AS first_component, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: length' WHEN length(text) % 11 = 0 THEN 'not finite' END AS reason,
+CASE WHEN length(text) % 7 = 0 OR length(text) % 11 = 0 THEN 3002 ELSE 0 END::INT AS code FROM t"""
+)
+def encoder_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct text through an encoder that fails on some, which have a reason and no vector, and cost others nothing."""
+    rows = encoding.encoded(_lines(spark, d), _moody)
+    return rows.select("text_md5", F.coalesce(F.get("embedding", F.lit(0)), F.lit(0.0)).alias("first_component"), "reason", F.coalesce("code", F.lit(0)).alias("code"))
+
+
+@query(
+    _BASE.replace("WITH", "WITH RECURSIVE", 1)
+    + """, n AS (SELECT block_id, CASE WHEN pos % 9 <> 8 THEN lead(block_id) OVER (PARTITION BY file_id ORDER BY pos) END AS goes FROM blocks),
+p AS (SELECT block_id, goes FROM n WHERE goes IS NOT NULL),
+walk AS (SELECT block_id, goes AS root, 1::BIGINT AS hops FROM p UNION ALL SELECT w.block_id, p.goes, w.hops + 1 FROM walk w JOIN p ON p.block_id = w.root)
+SELECT block_id, arg_max(root, hops) AS root, max(hops) AS hops FROM walk GROUP BY block_id"""
+)
+def lineage_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that each go into the next of their file, up to every ninth, and where each ends up."""
+    next_id = lineage.neighbours(_lines(spark, d)).select("block_id", "next_id")
+    rows = _lines(spark, d).select("block_id", "pos").join(next_id, "block_id")
+    return lineage.ends(rows.select("block_id", F.when(F.col("pos") % 9 != 8, F.col("next_id")).alias("merged_into")))
+
+
+@query("SELECT file_id, block_id, lag(block_id) OVER w AS prev_id, lead(block_id) OVER w AS next_id FROM blocks WINDOW w AS (PARTITION BY file_id ORDER BY pos)")
+def block_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return lineage.neighbours(_lines(spark, d))
+
+
+@query("SELECT block_id, path FROM decided WHERE decision = 'undecided' AND pos % 10 <> 0 AND block_id NOT IN (SELECT block_id FROM groups)")
+def pending_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What is undecided after the exact stage's suggestions and decisions in bulk, of which some are invalid."""
+    blocks = _decided(spark, d)
+    decided = duplicates.applied(blocks, duplicates.suggestions(duplicates.exact_groups(blocks)))
+    bulk = decided.where("pos % 10 IN (0, 1) AND decision = 'undecided'").withColumn("decision", F.when(F.col("pos") % 10 == 0, "keep").otherwise("later"))
+    return dec.pending(decided, dec.updated(decided, decided, bulk)).select("block_id", "path")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import CODES, EngineError
+from ..functions.paths import canonical
 from ..functions.text import block_type, clipped, infer_element_type, normalize, strip
 from ..schemas import DUPLICATE_GROUPS, MARKDOWN_SUFFIXES
 
@@ -18,9 +19,10 @@ def has_suffix(path: Column, suffixes: tuple[str, ...] = MARKDOWN_SUFFIXES) -> C
     return suffix(path).isin(*suffixes)
 
 
-def depth(path: Column, root: str) -> Column:
+def depth(path: Column, root: str | Column) -> Column:
     """Folders between root and the file."""
-    below = F.regexp_replace(path, r"^" + root.rstrip("/").replace("\\", "\\\\").replace(".", "\\.") + "/", "")
+    top = F.concat(F.regexp_replace(F.lit(root) if isinstance(root, str) else root, "/+$", ""), F.lit("/"))
+    below = F.when(path.startswith(top), F.substr(path, F.length(top) + 1)).otherwise(path)
     return F.length(below) - F.length(F.replace(below, F.lit("/"), F.lit("")))
 
 
@@ -34,9 +36,9 @@ def listing(spark: SparkSession, root: str, suffixes: tuple[str, ...] = MARKDOWN
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(root)
     except AnalysisException as e:
         raise EngineError(f"not a readable folder: {root}", "INVALID_DIRECTORY") from e
-    rows = rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    rows = rows.select(canonical(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     rows = rows.where(has_suffix(F.col("path"), suffixes))
-    return rows if max_depth is None else rows.where(depth(F.col("path"), root) <= max_depth)
+    return rows if max_depth is None else rows.where(depth(F.col("path"), canonical(F.lit(root))) <= max_depth)
 
 
 def markdown_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
