@@ -2,16 +2,19 @@
 
 1. Each source gets a target of words: its share by weight, stopped at `max_repeats` times its size, the excess shared out
    again by weight.
-2. Slot i of the schedule, a word each, maps the van der Corput point of i through the cumulative targets to a source.  The
-   points of any stretch of the schedule are spread evenly, so every stretch of the mix keeps the weights.
-3. The documents of a source are shuffled by a hash and laid end to end.  The slot of rank r in its source takes word r
-   modulo the source's size, so words repeat only once all were taken, and none is taken more than `max_repeats` times.
-
-There is a slot for every word of the corpus, so a source misses its target by a few words (about log2 of all words in the
-worst case) at any corpus size, however small it is beside the others.  What a document takes depends only on how many slots
-its source has, and those are counted from the bits of the schedule's length, not listed: the cost is the same for any number
-of slots.  Running totals are two-level sums, so a source with a third of all rows is spread over many tasks.  The table of
-sources (a row each, a plan someone wrote) is ordered in one task and must stay small; documents never do.
+2. Slot i of the schedule maps the van der Corput point of i through the cumulative targets to a source, and slots are ranked
+   within their sources.  The points of any stretch of the schedule are spread evenly, so every stretch of the mix keeps the
+   weights.
+3. The documents of a source are shuffled by a hash, laid end to end and cut into blocks of equally many words (the last may be
+   shorter).  The slot of rank r in its source joins block r modulo the source's number of blocks, so words repeat only once all
+   were taken, and none is taken more than `max_repeats` times.
+4. A schedule can't meet a target that is no multiple of a block, and gives a source up to about log2 of all slots too many or
+   too few.  This rest is settled source by source: ranks beyond the target go, missing ranks are added at the end, and the last
+   one takes a finer block, of as many words as are left.  So every source meets its target to the word, however small it is.
+
+There is a slot for every `BLOCK` words of the corpus, listed, joined and ranked by distributed operations.  Running totals are
+two-level sums and blocks are joined by source and number, so a source with a third of all rows is spread over many tasks.
+The table of sources (a row each, a plan someone wrote) is ordered in one task and must stay small; documents never do.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, running_total, table, unused, written
 
-#: Words up to which the SQL below has a slot for each word, as the code has at any size.
-SLOTS = 1 << 20
 MAX_REPEATS = 3
+#: Words of a block, and of a slot of the schedule.
+BLOCK = 1024
 _CELLS, _BITS = 1024, 52
 
 
@@ -67,7 +70,7 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     cell = lambda c: F.least(F.floor(F.col(c) * _CELLS), F.lit(_CELLS - 1))
     reach = sources.where("high > low").select("sid", "low", "high", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
     taken = points.join(reach, "cell").where("low <= point AND point < high").select("slot", "sid")
-    chunk = F.floor(F.col("slot") / max(1, slots // 1024))
+    chunk = F.floor(F.col("slot") / min(max(1, slots // 1024), 1 << 14))
     return running_total(taken, ["sid"], [F.col("slot")], chunk, F.lit(1), "rank")
 
 
@@ -85,12 +88,31 @@ def slots_below(x: str, slots: int) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weigh=cycling_weights, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
+def blocks_taken(spark: SparkSession, sources: DataFrame, words: int, max_repeats: int = MAX_REPEATS, block: int = BLOCK) -> DataFrame:
+    """sid, block, times (slots that take the whole block), upto (where the source's last, finer block ends; null elsewhere).
+
+    sources as targets() makes them.  Words of a source are numbered from 0 as they are laid, block b begins at b * block.
+    """
+    slots = -(-words // block)
+    drawn = F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * max_repeats)
+    given = slots_below("high", slots) - slots_below("low", slots)
+    plan = sources.where("source_size > 0").select("sid", "source_size", drawn.alias("drawn"), given.alias("given")).where("drawn > 0")
+    plan = plan.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}")).withColumn("rest", F.expr("drawn % source_size"))
+    plan = plan.withColumn("passes", F.expr("drawn div source_size"))
+    plan = plan.withColumn("needed", F.expr(f"passes * blocks + (rest + {block - 1}) div {block}"))
+    missing = plan.where("given < needed").select("sid", F.explode(F.expr("sequence(given, needed - 1)")).alias("rank"))
+    ranked = schedule(spark, sources, slots).select("sid", "rank").unionByName(missing)
+    slot = ranked.join(plan, "sid").where("rank < needed").select("sid", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks < passes").alias("whole"), "rest")
+    upto = F.least((F.col("block") + 1) * block, F.col("rest"))
+    return slot.groupBy("sid", "block").agg(F.count_if("whole").alias("times"), F.max(F.when(~F.col("whole"), upto)).alias("upto"))
+
+
+def mix(docs: DataFrame, weigh=cycling_weights, max_repeats: int = MAX_REPEATS, seed: str = "mix", block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of each row of docs (doc_id, text, source; further columns ignored).
 
-    A null text has size 0; a null source is a source of its own; a row of a null doc_id shuffles by its text.  Repeated rows
-    count each; rows that tie in shuffled order are alike in all that is returned.  No rows, or no words, take nothing.
-    Reruns agree: nothing depends on partitions.
+    A null text has size 0; a null source is a source of its own; a row of a null doc_id shuffles by its text.  A very long text
+    lies in many blocks, each joined for itself.  Repeated rows count each; rows that tie in shuffled order are alike in all that
+    is returned.  No rows, or no words, take nothing.  Reruns agree, and so do all block lengths: nothing depends on partitions.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = written(
@@ -100,14 +122,17 @@ def mix(docs: DataFrame, weigh=cycling_weights, max_repeats: int = MAX_REPEATS,
     )
     sources = written(targets(sized.select("source", "size"), weigh, max_repeats))
     words = sources.agg(F.sum("source_size")).first()[0] or 0
-    drawn = F.least(slots_below("high", words) - slots_below("low", words), F.col("source_size") * max_repeats)
-    drawn = sources.select("sid", "source", "source_size", drawn.alias("drawn"))
-    filled = sized.where("size > 0").join(drawn, sized["source"].eqNullSafe(drawn["source"])).select(sized["doc_id"], sized["size"], "h", "sid", "source_size", "drawn")
+    named = sized.join(sources.select("sid", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "h", "sid")
     digits = max(3, (words.bit_length() - 11) // 4)  # so many chunks of a source that one has at most about 2^14 words, or is one of 4,096
-    laid = running_total(filled, ["sid"], [F.col("h"), F.col("doc_id"), F.col("size")], F.substring("h", 1, digits), F.col("size"), "start")
-    again = F.greatest(F.least(F.expr("drawn % source_size") - F.col("start"), F.col("size")), F.lit(0))
-    taken = laid.select("doc_id", "size", "sid", (F.expr("drawn div source_size") * F.col("size") + again).cast("long").alias("taken"))
-    idle = sized.where("size = 0").join(sources.select("sid", "source"), sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "sid", F.lit(0).cast("long").alias("taken"))
+    laid = running_total(named.where("size > 0"), ["sid"], [F.col("h"), F.col("doc_id"), F.col("size")], F.substring("h", 1, digits), F.col("size"), "start")
+    pieces = laid.select("sid", "doc_id", "size", "start", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
+    begin, end = F.greatest("start", F.col("block") * block), F.col("start") + F.col("size")
+    whole = F.least(end, (F.col("block") + 1) * block) - begin
+    finer = F.greatest(F.least(end, F.col("upto")) - begin, F.lit(0))
+    words_of = F.col("times") * whole + F.when(F.col("upto").isNotNull(), finer).otherwise(0)
+    met = pieces.join(blocks_taken(docs.sparkSession, sources, words, max_repeats, block), ["sid", "block"], "left")
+    taken = met.groupBy("sid", "start", "doc_id", "size").agg(F.coalesce(F.sum(words_of), F.lit(0)).cast("long").alias("taken")).drop("start")
+    idle = named.where("size = 0").select("sid", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(idle).join(sources, "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -135,8 +160,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-_POINT = " + ".join(f"((slot >> {j}) & 1) * {2.0 ** -(j + 1)!r}::DOUBLE" for j in range(24))
-ORACLE = rf"""
+#: What the schedule and its settled rest come to: each source's target to the word, in shuffled order, round after round.
+ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('mix' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS h FROM documents
@@ -147,27 +172,14 @@ WITH sized AS (
   SELECT *, ((SELECT sum(source_size) FROM s0)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1
 ), s3 AS (SELECT *, least(cap, (SELECT max(level) FROM s2) * w) AS target FROM s2
-), s4 AS (SELECT *, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) AS upto FROM s3
-), s AS (
-  SELECT *, coalesce(lag(upto) OVER (ORDER BY sid), 0) / (SELECT max(upto) FROM s4) AS low, upto / (SELECT max(upto) FROM s4) AS high FROM s4
-), k AS (SELECT sum(size)::BIGINT AS words, greatest(1, -((-sum(size)::BIGINT) // {SLOTS})) AS b FROM sized
-), b AS (SELECT words, CASE WHEN words % {SLOTS} = 0 THEN greatest(1, words // {SLOTS}) ELSE words // {SLOTS} + 1 END AS b FROM k
-), slots AS (SELECT slot, {_POINT} AS point FROM (SELECT unnest(range((SELECT (words + b - 1) // b FROM b))) AS slot)
-), ranked AS (SELECT sid, source_size, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS r FROM slots JOIN s ON low <= point AND point < high
-), times AS (
-  SELECT sid, r % ((source_size + b - 1) // b) AS block, count(*) AS times FROM ranked, b
-  WHERE r < 3 * ((source_size + b - 1) // b) GROUP BY ALL
+), s AS (SELECT *, least(floor(target + 0.5)::BIGINT, 3 * source_size) AS drawn FROM s3
 ), laid AS (
-  SELECT sized.*, sid, source_size, target,
+  SELECT sized.*, source_size, target, drawn,
          sum(size) OVER (PARTITION BY sid ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
   FROM sized JOIN s ON sized.source IS NOT DISTINCT FROM s.source
-), each AS (
-  SELECT laid.*, unnest(range(start // b, (start + size - 1) // b + 1)) AS block FROM laid, b WHERE size > 0
-), taken AS (
-  SELECT each.doc_id, each.sid, each.start, each.size,
-         sum((least(start + size, (each.block + 1) * b) - greatest(start, each.block * b)) * coalesce(times, 0)) AS taken
-  FROM each CROSS JOIN b LEFT JOIN times ON times.sid = each.sid AND times.block = each.block GROUP BY ALL
 )
-SELECT laid.doc_id, laid.size, laid.source_size, laid.target, coalesce(taken, 0)::BIGINT AS taken, laid.source
-FROM laid LEFT JOIN taken ON laid.size > 0 AND laid.sid = taken.sid AND laid.start = taken.start
+SELECT doc_id, size, source_size, target, source,
+       CASE WHEN size = 0 THEN 0
+            ELSE drawn // source_size * size + greatest(least(drawn % source_size - start, size), 0) END::BIGINT AS taken
+FROM laid
 """

@@ -229,6 +229,27 @@ def test_mix_keeps_small_sources(spark):
     assert len(got) == 21 and all(abs(taken - target) <= 25 for _, taken, target in got)
 
 
+def test_every_source_meets_its_target_to_the_word(spark):
+    sizes = [("a", 5), ("b", 40), ("c", 311), (None, 2000), ("d", 1), ("none", 0)]
+    sources = source_mix.targets(spark.createDataFrame(sizes, "source string, size long"))
+    words = sum(n for _, n in sizes)
+    for block in (1, 8, 64, 5000):
+        taken, repeats = {}, {}
+        for r in source_mix.blocks_taken(spark, sources, words, block=block).join(sources, "sid").collect():
+            length = min(block, r["source_size"] - r["block"] * block)
+            assert 0 < length and (r["upto"] is None or r["block"] * block < r["upto"] <= r["block"] * block + length)
+            taken[r["source"]] = taken.get(r["source"], 0) + r["times"] * length + (r["upto"] - r["block"] * block if r["upto"] is not None else 0)
+            repeats[r["source"]] = max(repeats.get(r["source"], 0), r["times"] + (r["upto"] is not None))
+        assert taken == {r["source"]: int(r["target"] + 0.5) for r in sources.collect() if r["target"] > 0}
+        assert max(repeats.values()) <= source_mix.MAX_REPEATS
+
+
+def test_mix_agrees_for_all_block_lengths(spark, hard):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "source").unionByName(hard.select("doc_id", "text", "source"))
+    want = key(source_mix.mix(docs).collect())
+    assert all(key(source_mix.mix(docs, block=b).collect()) == want for b in (3, 1 << 20))
+
+
 def test_slots_are_counted_as_listed(spark):
     sources = source_mix.targets(spark.createDataFrame([("a", 5), ("b", 40), ("c", 311), (None, 2000), ("d", 1)], "source string, size long"))
     for n in (1, 2, 3, 64, 777, 2357):
