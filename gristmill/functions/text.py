@@ -113,3 +113,24 @@ def fingerprint(kind: Column, text: Column) -> Column:
 def timestamp(c: Column) -> Column:
     """ISO 8601 to a timestamp, without a zone UTC (the session's zone), now where it can't be read."""
     return F.coalesce(F.try_to_timestamp(c), F.current_timestamp())
+
+
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)?)?$"
+
+
+def instant(c: Column) -> Column:
+    """The time of ISO 8601 text, whatever the session's zone: without a zone of its own it is UTC; null where it is no such
+    text.  A date alone is its midnight; digits beyond microseconds are cut."""
+    full = F.when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00"))).otherwise(F.replace(c, F.lit(","), F.lit(".")))
+    zone = F.regexp_replace(F.regexp_extract(c, _ISO, 1), r"(\d{2}):?(?=\d)", "$1:")
+    bare = F.regexp_replace(full, r"(?<=.{10})(?:Z|[+-][\d:]+)$", "")
+    seconds = F.when(F.length(bare) == 16, ":00").otherwise("")
+    return F.when(c.rlike(_ISO), F.try_to_timestamp(F.concat(bare, seconds, F.when(zone == "", "Z").otherwise(zone))))
+
+
+def iso(c: Column) -> Column:
+    """A time as ISO 8601 text in UTC, to the microsecond where it has any, whatever the session's zone."""
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.unix_micros(c).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    text = F.replace((F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + since).cast("string"), F.lit(" "), F.lit("T"))
+    whole, rest = F.substring_index(text, ".", 1), F.substring_index(text, ".", -1)
+    return F.concat(F.when(text.contains("."), F.concat(whole, F.lit("."), F.rpad(rest, 6, "0"))).otherwise(text), F.lit("+00:00"))

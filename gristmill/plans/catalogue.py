@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import codecs
 from ..functions import paths
 from ..functions import text as fn
 from ..operators import decisions as dec
@@ -619,3 +620,63 @@ def pending_decisions(spark: SparkSession, d: str) -> DataFrame:
     decided = duplicates.applied(blocks, duplicates.suggestions(duplicates.exact_groups(blocks)))
     bulk = decided.where("pos % 10 IN (0, 1) AND decision = 'undecided'").withColumn("decision", F.when(F.col("pos") % 10 == 0, "keep").otherwise("later"))
     return dec.pending(decided, dec.updated(decided, decided, bulk)).select("block_id", "path")
+
+
+@query(
+    """, t AS (SELECT *, CASE pos % 7 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'without text' WHEN 2 THEN 'without file_id, text' END AS reject FROM blocks)
+SELECT block_id AS made_from, CASE WHEN reject IS NULL THEN block_id END AS block_id, CASE WHEN reject IS NULL THEN CASE WHEN pos % 7 = 3 THEN 'unknown' ELSE 'list_item' END END AS block_type,
+CASE WHEN reject IS NULL THEN md5(text) END AS text_md5, CASE WHEN reject IS NULL THEN pos % 7 = 4 END AS has_metadata, reject FROM t"""
+)
+def decoded_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each block as a JSON record, some of them cut off, without fields or with a type that there isn't, read back."""
+    place = F.col("pos") % 7
+    blocks = _lines(spark, d).withColumn("block_type", F.when(place == 3, "nonsense").otherwise("list_item"))
+    blocks = blocks.withColumn("metadata", F.when(place == 4, F.create_map(F.lit("of"), F.col("block_id"))))
+    blocks = blocks.withColumn("text", F.when(~place.isin(1, 2), F.col("text"))).withColumn("file_id", F.when(place != 2, F.col("file_id")))
+    records = codecs.encoded(blocks, "blocks").select("value", F.get_json_object("value", "$.pos").cast("int").alias("pos"))
+    cut = records.withColumn("value", F.when(F.col("pos") % 7 == 0, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")))
+    rows = codecs.decoded(cut, "blocks")
+    made_from = F.regexp_extract("record", r'"block_id":"([^"]*)"', 1).alias("made_from")
+    return rows.select(made_from, "block_id", "block_type", F.md5("text").alias("text_md5"), (F.size("metadata") > 0).alias("has_metadata"), "reject")
+
+
+_TIME = """CASE doc_id % 6 WHEN 5 THEN '2001-02-03T04:05:06+00:00'
+  WHEN 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(t, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(t - INTERVAL 5 HOUR - INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M:%S')
+  WHEN 3 THEN strftime(t, '%Y-%m-%dT00:00:00') ELSE strftime(t, '%Y-%m-%dT%H:%M:%S') || '.000' || lpad((doc_id % 1000)::VARCHAR, 3, '0') END"""
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, TIMESTAMP '1969-12-30 00:00:00' + to_seconds(doc_id * 86413) AS t FROM documents)
+SELECT 'd' || doc_id AS block_id_1, CASE WHEN doc_id % 6 = 5 THEN {_TIME} WHEN doc_id % 6 = 4 AND doc_id % 1000 = 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%S+00:00') ELSE {_TIME} || '+00:00' END AS decided,
+CASE WHEN doc_id % 4 = 0 THEN 'undecided' ELSE 'merge' END AS decision, 'unknown' AS analysis_type FROM t"""
+)
+def record_times(spark: SparkSession, d: str) -> DataFrame:
+    """Pair decisions whose times are spelt in many ways, or not at all, read and written again in UTC."""
+    at = F.expr("TIMESTAMP_NTZ '1969-12-30 00:00:00' + make_dt_interval(0, 0, 0, doc_id * 86413)").cast("string")
+    text = F.replace(at, F.lit(" "), F.lit("T"))
+    micros = F.concat(F.lit(".000"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"))
+    forms = [at, F.concat(text, F.lit("Z")), F.concat(text, F.lit("+0530")), F.substring(at, 1, 10), F.concat(text, micros, F.lit("+00:00")), F.concat(F.lit("on "), at)]
+    spelt = forms[-1]
+    for k, form in enumerate(forms[:-1]):
+        spelt = F.when(F.col("doc_id") % 6 == k, form).otherwise(spelt)
+    one = F.struct(
+        F.format_string("d%d", "doc_id").alias("block_id_1"), F.lit("other").alias("block_id_2"), F.lit("by hand").alias("analysis_type"),
+        F.when(F.col("doc_id") % 4 == 0, "perhaps").otherwise("merge").alias("decision"), spelt.alias("timestamp"),
+    )
+    rows = codecs.decoded(_table(spark, d, "documents").select(F.to_json(one).alias("value")), "pair_decisions", F.expr("TIMESTAMP '2001-02-03 04:05:06+00:00'"))
+    again = codecs.decoded(codecs.encoded(codecs.accepted(rows, "pair_decisions"), "pair_decisions"), "pair_decisions")
+    return again.select("block_id_1", fn.iso(F.col("decided_at")).alias("decided"), "decision", "analysis_type")
+
+
+@query("SELECT path, block_id, CASE WHEN doc_id % 3 = 0 AND pos % 5 = 0 THEN 'delete' WHEN doc_id % 3 = 0 AND pos % 5 = 1 THEN 'keep' ELSE 'undecided' END AS decision FROM blocks")
+def decisions_saved_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """Stored blocks' decisions after two rounds of saving, the second of which has changes in a third of the files alone."""
+    blocks = _lines(spark, d).select(*codecs.SCHEMAS["blocks"].names[:-1], F.create_map(F.lit("original_path"), F.col("path")).alias("metadata"))
+    store = Store(spark, scratch(spark, "store"), ranges=8)
+    store.register_files(blocks)
+    store.upsert("blocks", blocks)
+    made = F.when(F.col("pos") % 5 == 0, "delete").when(F.col("pos") % 5 == 1, "keep").otherwise("later")
+    number = F.regexp_extract("path", r"doc(\d+)\.md$", 1).cast("long")
+    store.save_block_decisions(blocks.select("path", "block_id", "block_type", F.lit("undecided").alias("decision")))
+    store.save_block_decisions(blocks.where(number % 3 == 0).select("path", "block_id", "block_type", made.alias("decision")))
+    return store.block_decisions().select("path", "block_id", "decision")

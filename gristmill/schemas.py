@@ -14,6 +14,7 @@ KEY_SEPARATOR = "::"
 MISSING_KEY_PARTS = ("UNKNOWN_FILE", "UNKNOWN_ID", "UNKNOWN_TYPE")
 OUTPUT_SUFFIX = "_deduped"
 SIMILARITY_THRESHOLD = 0.80
+STATUS_KEY = "kd_processing_status"
 PAIR_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 _TYPES = {

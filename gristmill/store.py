@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import schemas
+from . import codecs, schemas
 from .errors import EngineError
 from .functions.text import one_of
 from .operators.decisions import latest, undecided_pairs
+from .operators.duplicates import KEY
+from .shipping import scratch
 
 _KEYS = {
     "files": (schemas.FILES, ["file_id"]),
@@ -246,6 +248,62 @@ class Store:
             rows = rows.where(F.col(k).isNotNull() & (F.col(k) != ""))
         return rows
 
+    def load_records(self, name: str, records: DataFrame, column: str = "value") -> dict[str, int]:
+        """Puts JSON records (codecs.decoded()) in by key and says how many were accepted and rejected.
+
+        Rejected ones, with the reason, are added to what rejects() has of the table, before the others are put in.
+        """
+        at = scratch(self.spark, "records")
+        codecs.decoded(records, name, column=column).write.parquet(at)  # parsed once, and of one time
+        rows = self.spark.read.parquet(at)
+        counts = {r["bad"]: r["count"] for r in rows.groupBy(F.col("reject").isNotNull().alias("bad")).count().collect()}
+        if counts.get(True):
+            codecs.rejected(rows).withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(f"{self.base}/{name}/rejects")
+        self.upsert(name, codecs.accepted(rows, name))
+        return {"accepted": counts.get(False, 0), "rejected": counts.get(True, 0)}
+
+    def rejects(self, name: str) -> DataFrame:
+        """reject, record, rejected_at of every record that load_records() has rejected for the table."""
+        log = self._log(name)
+        schema = "reject string, record string, rejected_at timestamp"
+        if not log.fs.exists(log.path(f"{self.base}/{name}/rejects")):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{name}/rejects")
+
+    def block_decisions(self) -> DataFrame:
+        """path, block_id, block_type, decision of every stored block with a path, as its metadata has it; undecided where that
+        has none or no known one."""
+        status = one_of(F.element_at("metadata", schemas.STATUS_KEY), schemas.BLOCK_DECISIONS, "undecided")
+        return self.read("blocks").where("path <> ''").select(*KEY, status.alias("decision"))
+
+    def save_block_decisions(self, decisions: DataFrame) -> dict[str, int]:
+        """Puts decisions (path, block_id, block_type, decision) into the metadata of their blocks, file by file.
+
+        Only key ranges of files with decisions are read, found by the table of files, and only those with a changed block are
+        written; segments of others stay as they are.  Returns the number of decisions that are valid, of blocks that changed,
+        of files that these are in, and of valid decisions that no stored block has.  Of several for one block the greatest in
+        order of text stays; invalid ones and ones without a full key are left out.
+        """
+        valid = decisions.where(F.col("decision").isin(*schemas.BLOCK_DECISIONS))
+        for k in KEY:
+            valid = valid.where(F.col(k).isNotNull())
+        asked = valid.groupBy(*KEY).agg(F.max("decision").alias("_new"))
+        touched = asked.select("path").distinct().join(self.read("files").select("file_id", "path"), "path").select("file_id").distinct()
+        entries = self._log("blocks").entries()
+        live = self._log("blocks").segments(entries)
+        ranges = [r[0] for r in touched.select(self._range("blocks", entries).alias("k")).distinct().collect()]  # at most as many as there are ranges
+        known = self._merged("blocks", {k: live[k] for k in ranges if k in live}).join(asked, KEY)
+        at = scratch(self.spark, "decided")
+        known.write.parquet(at)
+        known = self.spark.read.parquet(at)
+        differs = ~F.element_at("metadata", schemas.STATUS_KEY).eqNullSafe(F.col("_new"))
+        kept = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != schemas.STATUS_KEY)
+        changed = known.where(differs).withColumn("metadata", F.map_concat(kept, F.create_map(F.lit(schemas.STATUS_KEY), F.col("_new"))))
+        n = asked.agg(F.count(F.lit(1)).alias("valid")).crossJoin(changed.agg(F.count(F.lit(1)).alias("saved"), F.count_distinct("file_id").alias("files"))).crossJoin(known.agg(F.count(F.lit(1)).alias("known"))).first()
+        if n["saved"]:
+            self.upsert("blocks", changed)
+        return {"valid": n["valid"], "saved": n["saved"], "files": n["files"], "unknown": n["valid"] - n["known"]}
+
     def file(self, file_id: str) -> DataFrame:
         return self.read("files", key=file_id).where(F.col("file_id") == file_id)
 
@@ -291,18 +349,3 @@ def results_matching(results: DataFrame, analysis_type: str, min_score: float |
 def decisions_matching(decisions: DataFrame, block_id: str | None = None, **criteria) -> DataFrame:
     out = matching(decisions, criteria, ("analysis_type", "decision", "decision_id"))
     return out if block_id is None else out.where((F.col("block_id_1") == block_id) | (F.col("block_id_2") == block_id))
-
-
-def from_json_records(json: DataFrame, schema, enums: dict[str, tuple[tuple[str, ...], str]], required: tuple[str, ...], column: str = "value") -> DataFrame:
-    """Records read from a column of JSON text: unknown enumeration values become their default, rows without a required
-    field, or that aren't JSON, are left out."""
-    rows = json.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
-    for c, (values, default) in enums.items():
-        rows = rows.withColumn(c, one_of(F.col(c), values, default))
-    for c in required:
-        rows = rows.where(F.col(c).isNotNull())
-    return rows
-
-
-def to_json_records(rows: DataFrame) -> DataFrame:
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
