@@ -110,11 +110,6 @@ def fingerprint(kind: Column, text: Column) -> Column:
     return F.md5(F.concat(kind, F.lit(":"), strip(text)))
 
 
-def timestamp(c: Column) -> Column:
-    """ISO 8601 to a timestamp, without a zone UTC (the session's zone), now where it can't be read."""
-    return F.coalesce(F.try_to_timestamp(c), F.current_timestamp())
-
-
 _ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)?)?$"
 
 
