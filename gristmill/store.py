@@ -299,10 +299,12 @@ class Store:
         differs = ~F.element_at("metadata", schemas.STATUS_KEY).eqNullSafe(F.col("_new"))
         kept = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != schemas.STATUS_KEY)
         changed = known.where(differs).withColumn("metadata", F.map_concat(kept, F.create_map(F.lit(schemas.STATUS_KEY), F.col("_new"))))
-        n = asked.agg(F.count(F.lit(1)).alias("valid")).crossJoin(changed.agg(F.count(F.lit(1)).alias("saved"), F.count_distinct("file_id").alias("files"))).crossJoin(known.agg(F.count(F.lit(1)).alias("known"))).first()
+        one = F.lit(1)
+        n = known.agg(F.count(one).alias("known"), F.count_if(differs).alias("saved"), F.count_distinct(F.when(differs, F.col("file_id"))).alias("files")).first()
+        valid = asked.count()
         if n["saved"]:
             self.upsert("blocks", changed)
-        return {"valid": n["valid"], "saved": n["saved"], "files": n["files"], "unknown": n["valid"] - n["known"]}
+        return {"valid": valid, "saved": n["saved"], "files": n["files"], "unknown": valid - n["known"]}
 
     def file(self, file_id: str) -> DataFrame:
         return self.read("files", key=file_id).where(F.col("file_id") == file_id)
