@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -39,10 +40,13 @@ def similar(prints: DataFrame, distance: int = 3) -> DataFrame:
     parts = 2 * max(1, distance)
     edges = [64 * k // parts for k in range(parts + 1)]
     each = prints.select("simhash").distinct()
-    part = lambda k: F.shiftrightunsigned("simhash", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    keys = F.array(*(F.struct(*(part(k).alias(f"p{i}") for i, k in enumerate(chosen))) for chosen in combinations(range(parts), parts - max(1, distance))))
+    width = lambda k: edges[k + 1] - edges[k]
+    part = lambda k: F.shiftrightunsigned("simhash", edges[k]).bitwiseAND(F.lit((1 << width(k)) - 1))
+    joined = lambda chosen: reduce(lambda key, k: F.shiftleft(key, width(k)).bitwiseOR(part(k)), chosen[1:], part(chosen[0]))
+    keys = F.array(*map(joined, combinations(range(parts), parts - max(1, distance))))
     keyed = each.select("simhash", F.posexplode(keys).alias("choice", "key"))
-    met = keyed.toDF("simhash_1", "choice", "key").join(keyed.toDF("simhash_2", "choice", "key"), ["choice", "key"]).where("simhash_1 < simhash_2")
+    # merged, as Spark takes the rows before they are multiplied for its measure of what a broadcast through the driver would be
+    met = keyed.toDF("simhash_1", "choice", "key").hint("merge").join(keyed.toDF("simhash_2", "choice", "key"), ["choice", "key"]).where("simhash_1 < simhash_2")
     apart = F.bit_count(F.col("simhash_1").bitwiseXOR(F.col("simhash_2")))
     return met.select("simhash_1", "simhash_2", apart.alias("distance")).where(F.col("distance") <= distance).distinct()
 

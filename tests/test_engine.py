@@ -257,6 +257,16 @@ def test_similar_pairs_and_simhash(spark):
     assert sorted((r["id_1"], r["id_2"]) for r in got) == [("A", "B"), ("F", "I")]
 
 
+def test_simhash_keys_are_not_broadcast(spark):
+    """Each fingerprint has twenty keys; Spark's measure of them is that of the fingerprints, so they must not go through the driver."""
+    prints = spark.range(3000).select(F.col("id").cast("string").alias("block_id"), F.xxhash64("id").alias("simhash"))
+    near = prints.limit(50).select(F.concat(F.lit("n"), "block_id").alias("block_id"), F.col("simhash").bitwiseXOR(F.lit(7)).alias("simhash"))
+    found = simhash.similar(prints.unionByName(near), 3)
+    assert found.count() == 50
+    pairs = found.collect()
+    assert len(pairs) == 50 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rich_rendering_and_paths(spark):
     rows = [("Title", "heading", "H", None), ("Heading-3", "heading", "H", None), ("x", "list_item", "i", None), ("x", "code", "c", "py")]
     df = spark.createDataFrame(rows, "e string, block_type string, text string, language string").withColumn("metadata", F.map_filter(F.create_map(F.lit("element_type"), F.col("e"), F.lit("language"), F.col("language")), lambda k, v: v.isNotNull()))
