@@ -9,13 +9,16 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 
 import regex
 
 #: Fixed values of the byte-level format: its pre-token pattern and the bytes that stand for themselves as characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pattern for texts that are ASCII, whose letters, numbers and spaces need no Unicode tables.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 PRINTABLE = (*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1))
-#: Bytes (about) after which a worker's cache of encoded units starts anew, and those of an entry besides its characters.
+#: Bytes (about) of a worker's cache of encoded units, and those of an entry besides its characters.
 CACHE, ENTRY = 48 << 20, 200
 
 
@@ -26,6 +29,22 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in kept else chr(next(spare)) for b in range(256)]
 
 
+class Known(dict):
+    """Units and their decimal ids, joined by commas; a unit that isn't there is encoded when it is asked for, unless it was
+    among those of `before`, from which it moves."""
+
+    def __init__(self, codec: Codec, before: dict[str, str]):
+        self.codec, self.before, self.held = codec, before, 0
+
+    def __missing__(self, unit: str) -> str:
+        found = self.before.pop(unit, None)
+        if found is None:
+            found = ",".join(map(str, self.codec.ids(unit)))
+        self[unit] = found
+        self.held += ENTRY + 4 * len(unit) + len(found)
+        return found
+
+
 class Codec:
     def __init__(self, spec: str):
         """spec: the tokenizer's JSON text, with a BPE model and byte-level pre-tokens."""
@@ -42,11 +61,10 @@ class Codec:
         self.added: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
         self.strings: dict[str, bytes] = {str(i): bytes(to_byte[c] for c in s) for s, i in ids.items()}
         self.strings |= {str(i): s.encode() for s, i in self.added.items()}
-        self.pieces = regex.compile(PATTERN).findall
+        self.any_pieces, self.ascii_pieces = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
         parts = sorted(self.added, key=lambda s: (-len(s), s))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, parts)) + ")").split if parts else None
-        self.known: dict[str, str] = {}
-        self.held = 0
+        self.known = Known(self, {})
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one pre-token.
@@ -88,6 +106,10 @@ class Codec:
                 push(queue, (found[0], h, ids[h], merged, found[1]))
         return [x for x in ids if x >= 0]
 
+    def pieces(self, text: str) -> list[str]:
+        """The text's pre-tokens."""
+        return self.ascii_pieces(text) if text.isascii() else self.any_pieces(text)
+
     def units(self, text: str) -> list[str]:
         """The text's pre-tokens and added tokens in turn: concatenated, they give the text, and no merge crosses two of them."""
         if self.cut is None or not any(map(text.__contains__, self.added)):
@@ -105,18 +127,15 @@ class Codec:
         """Decimal ids joined by commas."""
         if not text:
             return ""
-        units, known = self.units(text), self.known
-        if self.held > CACHE:
-            self.forget()
-        for u in set(units).difference(known):
-            known[u] = found = ",".join(map(str, self.ids(u)))
-            self.held += ENTRY + 4 * len(u) + len(found)
-        return ",".join(map(known.__getitem__, units))
+        if self.known.held > CACHE // 2:
+            # what is used again moves on, and only the rest goes
+            self.known.before = {}
+            self.known = Known(self, self.known)
+        return ",".join(map(self.known.__getitem__, self.units(text)))
 
     def forget(self) -> None:
         """Empties the cache."""
-        self.known.clear()
-        self.held = 0
+        self.known = Known(self, {})
 
     def decode(self, ids: str) -> str:
         """The text of decimal ids joined by commas: vocabulary strings one after the other."""

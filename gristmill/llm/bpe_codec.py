@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -47,22 +48,26 @@ def encode(docs: DataFrame, spec: str, outputs: tuple[str, ...] = ("n_tokens", "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
-        for part in slices(batches, SLICE):
-            rows: dict[str, list] = {k: [] for k in outputs}
-            for text in part.column("text").to_pylist():
-                ids = c.encode(text or "")
-                decoded = c.decode(ids) if "decoded" in rows or "decoded_sha256" in rows else ""
-                for k, out in rows.items():
-                    if k == "n_tokens":
-                        out.append(ids.count(",") + 1 if ids else 0)
-                    elif k == "ids":
-                        out.append(np.array(ids.split(",") if ids else [], np.int32))
-                    elif k == "decoded":
-                        out.append(decoded)
-                    else:
-                        out.append(hashlib.sha256((ids if k == "ids_sha256" else decoded).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(rows[k], FIELDS[k][1]) for k in outputs)], ["doc_id", *outputs])
-        c.forget()  # the codec outlives the task in its worker; what it has encoded need not
+        gc.disable()  # nothing here makes cycles, and looking for some goes through the whole cache time and again
+        try:
+            for part in slices(batches, SLICE):
+                rows: dict[str, list] = {k: [] for k in outputs}
+                for text in part.column("text").to_pylist():
+                    ids = c.encode(text or "")
+                    decoded = c.decode(ids) if "decoded" in rows or "decoded_sha256" in rows else ""
+                    for k, out in rows.items():
+                        if k == "n_tokens":
+                            out.append(ids.count(",") + 1 if ids else 0)
+                        elif k == "ids":
+                            out.append(np.array(ids.split(",") if ids else [], np.int32))
+                        elif k == "decoded":
+                            out.append(decoded)
+                        else:
+                            out.append(hashlib.sha256((ids if k == "ids_sha256" else decoded).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(rows[k], FIELDS[k][1]) for k in outputs)], ["doc_id", *outputs])
+        finally:
+            gc.enable()
+            c.forget()  # the codec outlives the task in its worker; what it has encoded need not
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(k, FIELDS[k][0]) for k in outputs)]
     return map_arrow(docs.select("doc_id", "text"), run, T.StructType(fields))

@@ -186,6 +186,21 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[b, : n[b]], total / total.sum(1, keepdims=True))
 
 
+def test_codec_keeps_what_is_used_again(monkeypatch):
+    """A full cache loses what wasn't used again, not everything, and stays within its bytes."""
+    pytest.importorskip("public_tokenizers")
+    from gristmill.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE", 200_000)
+    c, asked = bpe.Codec(bpe_codec.tokenizer_spec()), []
+    merge = c.merge
+    c.merge = lambda piece: asked.append(piece) or merge(piece)
+    for k in range(1000):
+        assert c.decode(c.encode(f"every time new{k}")) == f"every time new{k}"
+        assert len(c.known) + len(c.known.before) < 2000
+    assert asked.count(" time") == 1 and asked.count("every") == 1
+
+
 def test_tokens(spark, hard, empty, texts):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
