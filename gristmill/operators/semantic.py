@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,10 @@ from ..shipping import ship
 from ..schemas import SIMILARITY_THRESHOLD
 from .encoding import Encoder, Loader, encoded
 
-#: Rows of a block of the pair matrix.
-BLOCK = 4096
+#: Rows of a block of the pair matrix at least, and at most; in between, blocks' number and so the copies of each vector stay the same.
+BLOCK, BLOCKS, LARGEST = 4096, 16, 1 << 16
+#: Rows of the tile of the pair matrix that a task computes at once.
+TILE = 2048
 #: Vectors that others are measured by, and numbers of axes at which their product is bounded.
 PIVOTS, DEPTHS = 64, (1, 2, 4, 8, 16, 32)
 
@@ -142,9 +145,12 @@ class Blocks:
 
 
 def usable(vectors: DataFrame, key: str) -> DataFrame:
-    """id, v of vectors that take part: not null or empty, no component null or non-finite, and a key."""
+    """id, v of vectors that take part: not null or empty, no component null or non-finite, and a key.  Floats stay floats, at
+    half the bytes; they are computed with as doubles."""
+    kept = isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType)
+    vector = F.col("embedding") if kept else F.col("embedding").cast("array<double>")
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.where((F.size("embedding") > 0) & ~bad & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return vectors.where((F.size("embedding") > 0) & ~bad & F.col(key).isNotNull()).select(F.col(key).alias("id"), vector.alias("v"))
 
 
 def planned(rows: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK) -> Blocks:
@@ -197,21 +203,28 @@ def planned(rows: DataFrame, threshold: float, pivots: int = PIVOTS, block: int
     return plan
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "block_id", block: int = BLOCK) -> DataFrame:
+def block_rows(n: int) -> int:
+    """Rows of a block for n vectors: each vector travels to all blocks that its own meets, so their number must not grow with n,
+    until blocks are as large as a task may hold."""
+    return min(LARGEST, max(BLOCK, -(-n // BLOCKS)))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "block_id", block: int | None = None) -> DataFrame:
     """id_1 < id_2 and score of every pair whose cosine reaches the threshold, computed in double precision.
 
     vectors: `key` and embedding; null and empty vectors, those with a null or non-finite component and rows of a null key
     take no part, and only vectors of as many components are compared.  Vectors are put into cells by their nearest pivot and
     a cell into blocks of at most about `block` rows; cells whose bounds stay below the threshold never meet, and every other
-    pair of blocks is computed in one task as a matrix product: exact, and bounded in memory whatever the number of rows.
+    pair of blocks is computed in one task as matrix products of its tiles: exact, and bounded in memory whatever the number of
+    rows.  Unless `block` is given, blocks grow with the rows (block_rows()).
     Vectors without any cluster structure can't be told apart by such bounds; then all blocks meet.
     """
     rows = usable(vectors, key)
     kind = rows.schema["id"].dataType
-    plan = planned(rows, threshold, block=block)
+    plan = planned(rows, threshold, block=block_rows(rows.count()) if block is None else block)
     ship(vectors.sparkSession)
 
-    def dealt(left: bool, names: tuple[str, str]) -> DataFrame:
+    def dealt(left: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 cells = plan.cells(batch.column("v").to_pylist())
@@ -220,34 +233,41 @@ def similar_pairs(vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, k
                     groups.setdefault((c, plan.first[c] + h % plan.many[c]), []).append(i)
                 for (c, b), of in groups.items():
                     part = batch.take(pa.array(of))
+                    n = part.num_rows
                     for other in plan.partners(c, b, left):
                         i, j = (b, other) if left else (other, b)
-                        n = part.num_rows
-                        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, j, np.int64))], [*names, "i", "j"])
+                        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(np.full(n, left)), pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, j, np.int64))], shape.names)
 
-        vector = T.ArrayType(T.DoubleType())
-        shape = T.StructType([T.StructField(names[0], kind), T.StructField(names[1], vector), T.StructField("i", T.LongType()), T.StructField("j", T.LongType())])
         return rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("hash")).mapInArrow(run, shape)
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id_1": [], "id_2": [], "score": []})
-        square = a["i"].iloc[0] == a["j"].iloc[0]
-        sizes, others = a["v"].map(len), b["w"].map(len)
-        out = [met(a[sizes == n], b[others == n], square) for n in sorted(set(sizes) & set(others))]
-        return pd.concat(out) if out else pd.DataFrame({"id_1": [], "id_2": [], "score": []})
-
-    def met(a: pd.DataFrame, b: pd.DataFrame, square: bool) -> pd.DataFrame:
-        s = _unit(a["v"]) @ _unit(b["w"]).T
+    shape = T.StructType([T.StructField("id", kind), T.StructField("v", rows.schema["v"].dataType), T.StructField("left", T.BooleanType()), T.StructField("i", T.LongType()), T.StructField("j", T.LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a block pair's vectors by side and number of components; its pairs leave tile by tile, as they may be far more
+        sides: dict[tuple[bool, int], tuple[list, list]] = {}
+        square = None
+        for f in batches:
+            square = f["i"].iloc[0] == f["j"].iloc[0] if len(f) else square
+            for (side, n), of in f.groupby([f["left"], f["v"].map(len)]):
+                ids, units = sides.setdefault((bool(side), int(n)), ([], []))
+                ids.append(of["id"].to_numpy())
+                units.append(_unit(of["v"]))
+        for n in sorted({n for _, n in sides}):
+            if (True, n) in sides and (False, n) in sides:
+                (left, u), (right, w) = ((np.concatenate(x) for x in sides[side, n]) for side in (True, False))
+                for x, y in product(range(0, len(u), TILE), range(0, len(w), TILE)):
+                    yield met(left[x : x + TILE], u[x : x + TILE], right[y : y + TILE], w[y : y + TILE], square)
+
+    def met(left: np.ndarray, u: np.ndarray, right: np.ndarray, w: np.ndarray, square: bool) -> pd.DataFrame:
+        s = u @ w.T
         x, y = np.nonzero(s >= threshold)
-        one, two = a["id"].to_numpy()[x], b["other"].to_numpy()[y]
+        one, two = left[x], right[y]
         keep = one < two if square else one != two
         low, high = np.where(one < two, one, two)[keep], np.where(one < two, two, one)[keep]
         return pd.DataFrame({"id_1": low, "id_2": high, "score": s[x, y][keep]})
 
-    pairs = dealt(True, ("id", "v")).groupBy("i", "j").cogroup(dealt(False, ("other", "w")).groupBy("i", "j"))
     name = kind.simpleString()
-    return pairs.applyInPandas(run, f"id_1 {name}, id_2 {name}, score double")
+    return dealt(True).unionByName(dealt(False)).groupBy("i", "j").applyInPandas(run, f"id_1 {name}, id_2 {name}, score double")
 
 
 def ranked(pairs: DataFrame) -> DataFrame:

@@ -312,6 +312,25 @@ def test_pruned_pairs_are_exact_and_skip_blocks(spark):
     assert semantic.similar_pairs(even, 0.5, block=50).count() == semantic.similar_pairs(even, 0.5).count() > 0
 
 
+def test_copies_of_a_vector_do_not_grow_with_rows(spark, monkeypatch):
+    """Four times the rows make larger blocks, not more of them; tiles of a block pair lose nothing, and floats are no doubles' loss."""
+    import numpy as np
+
+    monkeypatch.setattr(semantic, "BLOCK", 20)
+    monkeypatch.setattr(semantic, "BLOCKS", 4)
+    monkeypatch.setattr(semantic, "TILE", 7)
+    x = np.random.default_rng(3).standard_normal((800, 8)).astype(np.float32)
+    for n in (200, 800):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x[:n])], "block_id long, embedding array<float>")
+        plan = semantic.planned(semantic.usable(df, "block_id"), 0.6, block=semantic.block_rows(n))
+        assert 4 <= sum(plan.many.values()) <= 16
+        u = x[:n].astype(float) / np.linalg.norm(x[:n].astype(float), axis=1, keepdims=True)
+        a, b = np.nonzero(np.triu(u @ u.T >= 0.6, 1))
+        got = semantic.similar_pairs(df, 0.6).collect()
+        assert sorted((r["id_1"], r["id_2"]) for r in got) == sorted(zip(a.tolist(), b.tolist()))
+        assert all(abs(r["score"] - u[r["id_1"]] @ u[r["id_2"]]) < 1e-12 for r in got)
+
+
 def _decisions(spark, rows):
     return spark.createDataFrame([(p, "b", "text", d) for p, d in rows], "path string, block_id string, block_type string, decision string").withColumn("decided_at", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
 
