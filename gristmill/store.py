@@ -110,9 +110,11 @@ class Store:
         n = entries[0]["of"] if entries else self.ranges
         return F.pmod(F.xxhash64(F.col(keys[0]) if key is None else key), F.lit(n)).cast("int")
 
-    def _merged(self, name: str, live: dict[int, list[str]]) -> DataFrame:
-        """The rows of these segments; of rows of one key that of the latest segment."""
+    def _merged(self, name: str, live: dict[int, list[str]], columns: list[str] | None = None) -> DataFrame:
+        """The rows of these segments, or some columns of them; of rows of one key that of the latest segment."""
         schema, keys = _KEYS[name]
+        if columns is not None:  # what isn't asked for is not read, nor moved where segments are merged
+            schema = T.StructType([f for f in schema if f.name in {*keys, *columns}])
         single = [f"{s[0]}/range={k}" for k, s in live.items() if len(s) == 1]
         parts = [self.spark.read.schema(schema).parquet(*single)] if single else []
         several = [[f"{s[i]}/range={k}" for k, s in live.items() if len(s) > 1 and i < len(s)] for i in range(max(map(len, live.values()), default=0))]
@@ -159,24 +161,37 @@ class Store:
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
         for k in keys:
             rows = rows.where(F.col(k).isNotNull() & (F.col(k) != ""))
+        return self._put(name, rows, attempts)
+
+    def _put(self, name: str, rows: DataFrame, attempts: int = 20, seen: int | None = None, whole: bool = False) -> bool:
+        """upsert() of rows with full keys.  seen: the number of versions on top of which they are all of different keys and
+        none is stored as it is; whole: and all that their key ranges have."""
+        schema, keys = _KEYS[name]
         values = [c.name for c in schema if c.name not in keys]
         json_of = lambda: F.to_json(F.struct(*values))
-        rows = latest(rows.withColumn("_v", json_of()), keys, "_v").select(*(f.name for f in schema))
         digest = lambda d: d.select(*keys, F.sha2(json_of(), 256).alias("_digest"))
         log = self._log(name)
         for _ in range(attempts):
             entries = log.entries()
             of, live = self._range(name, entries), log.segments(entries)
-            touched = [r[0] for r in rows.select(of.alias("k")).distinct().collect()]  # at most as many as there are ranges
-            old = self._merged(name, {k: live[k] for k in touched if k in live})
-            new = rows.withColumn("_digest", F.sha2(json_of(), 256)).join(digest(old), [*keys, "_digest"], "left_anti").drop("_digest")
+            known = seen == len(entries)
+            # hashes of keys tell whether one comes twice (or might); only then whole rows have to move for it
+            times = rows.select(of.alias("k"), F.xxhash64(*keys).alias("h")).groupBy("k", "h").agg(F.count("*").alias("n"))
+            found = times.groupBy("k").agg(F.max("n").alias("n")).collect()  # at most as many as there are ranges
+            touched = [r["k"] for r in found]
+            new = rows
+            if any(r["n"] > 1 for r in found):
+                new = latest(rows.withColumn("_v", json_of()), keys, "_v").select(*(f.name for f in schema))
+            stored = {k: live[k] for k in touched if k in live}
+            if stored and not known:
+                new = new.withColumn("_digest", F.sha2(json_of(), 256)).join(digest(self._merged(name, stored)), [*keys, "_digest"], "left_anti").drop("_digest")
             folder, found, count = self._segment(name, new, of)
             if not found:
                 log.fs.delete(log.path(folder), True)
                 return False
             while True:
                 version = (entries[-1]["version"] if entries else 0) + 1
-                if log.commit({"version": version, "operation": "upsert", "segment": folder, "ranges": found, "replaces": False, "rows": count, "of": entries[0]["of"] if entries else self.ranges}):
+                if log.commit({"version": version, "operation": "upsert", "segment": folder, "ranges": found, "replaces": known and whole, "rows": count, "of": entries[0]["of"] if entries else self.ranges}):
                     return True
                 now = log.entries()
                 theirs = {k for e in now[len(entries) :] for k in e["ranges"]}
@@ -274,36 +289,48 @@ class Store:
         """path, block_id, block_type, decision of every stored block with a path, as its metadata has it; undecided where that
         has none or no known one."""
         status = one_of(F.element_at("metadata", schemas.STATUS_KEY), schemas.BLOCK_DECISIONS, "undecided")
-        return self.read("blocks").where("path <> ''").select(*KEY, status.alias("decision"))
+        log = self._log("blocks")
+        rows = self._merged("blocks", log.segments(log.entries()), [*KEY, "metadata"])
+        return rows.where("path <> ''").select(*KEY, status.alias("decision"))
 
     def save_block_decisions(self, decisions: DataFrame) -> dict[str, int]:
         """Puts decisions (path, block_id, block_type, decision) into the metadata of their blocks, file by file.
 
         Only key ranges of files with decisions are read, found by the table of files, and only those with a changed block are
-        written; segments of others stay as they are.  Returns the number of decisions that are valid, of blocks that changed,
+        written; segments of others stay as they are, and where every block changes the new segment replaces the old.  Returns the number of decisions that are valid, of blocks that changed,
         of files that these are in, and of valid decisions that no stored block has.  Of several for one block the greatest in
         order of text stays; invalid ones and ones without a full key are left out.
         """
         valid = decisions.where(F.col("decision").isin(*schemas.BLOCK_DECISIONS))
         for k in KEY:
             valid = valid.where(F.col(k).isNotNull())
-        asked = valid.groupBy(*KEY).agg(F.max("decision").alias("_new"))
+
+        def kept(rows: DataFrame, label: str) -> DataFrame:
+            at = scratch(self.spark, label)
+            rows.write.parquet(at)
+            return self.spark.read.schema(rows.schema).parquet(at)
+
+        asked = kept(valid.groupBy(*KEY).agg(F.max("decision").alias("_new")), "asked")
         touched = asked.select("path").distinct().join(self.read("files").select("file_id", "path"), "path").select("file_id").distinct()
         entries = self._log("blocks").entries()
         live = self._log("blocks").segments(entries)
         ranges = [r[0] for r in touched.select(self._range("blocks", entries).alias("k")).distinct().collect()]  # at most as many as there are ranges
-        known = self._merged("blocks", {k: live[k] for k in ranges if k in live}).join(asked, KEY)
-        at = scratch(self.spark, "decided")
-        known.write.parquet(at)
-        known = self.spark.read.parquet(at)
-        differs = ~F.element_at("metadata", schemas.STATUS_KEY).eqNullSafe(F.col("_new"))
-        kept = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != schemas.STATUS_KEY)
-        changed = known.where(differs).withColumn("metadata", F.map_concat(kept, F.create_map(F.lit(schemas.STATUS_KEY), F.col("_new"))))
+        live = {k: live[k] for k in ranges if k in live}
+        _, keys = _KEYS["blocks"]
+        # first by keys and metadata alone; whole rows are read for those that change
+        status = lambda: F.element_at("metadata", schemas.STATUS_KEY)
+        differs = (~status().eqNullSafe(F.col("_new"))).alias("differs")
+        known = kept(self._merged("blocks", live, [*KEY, "metadata"]).join(asked, KEY).select(*keys, "_new", differs), "decided")
         one = F.lit(1)
-        n = known.agg(F.count(one).alias("known"), F.count_if(differs).alias("saved"), F.count_distinct(F.when(differs, F.col("file_id"))).alias("files")).first()
+        n = known.agg(F.count(one).alias("known"), F.count_if("differs").alias("saved"), F.count_distinct(F.when(F.col("differs"), F.col("file_id"))).alias("files")).first()
         valid = asked.count()
         if n["saved"]:
-            self.upsert("blocks", changed)
+            stored = self._merged("blocks", live)
+            whole = all(len(s) == 1 for s in live.values()) and stored.count() == n["saved"]
+            others = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != schemas.STATUS_KEY)
+            changed = stored.join(known.where("differs").select(*keys, "_new"), keys)
+            changed = changed.withColumn("metadata", F.map_concat(others, F.create_map(F.lit(schemas.STATUS_KEY), F.col("_new"))))
+            self._put("blocks", changed.select(*(f.name for f in schemas.BLOCKS)), seen=len(entries), whole=whole)
         return {"valid": valid, "saved": n["saved"], "files": n["files"], "unknown": valid - n["known"]}
 
     def file(self, file_id: str) -> DataFrame:

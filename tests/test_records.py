@@ -115,3 +115,30 @@ def test_decisions_are_saved_by_file(spark, tmp_path):
     kept = store.read("blocks").where("path = '/d/3.md' AND block_id = 'b0'").first()["metadata"]
     assert kept == {"original_path": "/d/3.md", STATUS_KEY: "keep"}
     assert store.save_block_decisions(decisions.limit(0)) == {"valid": 0, "saved": 0, "files": 0, "unknown": 0}
+
+
+def test_saved_decisions_move_whole_rows_once(spark, tmp_path):
+    """A change of every block replaces the segments, a change of some adds to them, and another writer's rows are kept."""
+    store = Store(spark, str(tmp_path / "s"), ranges=4)
+    blocks = spark.range(60).selectExpr("concat('p', id % 12) AS path", "concat('b', id) AS block_id", "int(id) AS pos", "'text' AS block_type", "concat('t', id) AS text")
+    blocks = blocks.withColumn("file_id", F.md5("path")).withColumn("metadata", F.create_map(F.lit("of"), F.col("path")))
+    store.register_files(blocks)
+    assert store.upsert("blocks", blocks) and not store.upsert("blocks", blocks)
+    log = store._log("blocks")
+    of = lambda d, rows=blocks: rows.select("path", "block_id", "block_type", F.lit(d).alias("decision"))
+    assert store.save_block_decisions(of("keep"))["saved"] == 60
+    assert all(len(s) == 1 for s in log.segments(log.entries()).values())
+    assert store.read("blocks").count() == 60 and store.read("blocks", 1).where("metadata['of'] <> path OR size(metadata) <> 1").count() == 0
+    assert store.save_block_decisions(of("delete", blocks.where("pos < 7")))["saved"] == 7
+    assert max(len(s) for s in log.segments(log.entries()).values()) == 2
+    assert {r["decision"]: r["count"] for r in store.block_decisions().groupBy("decision").count().collect()} == {"keep": 53, "delete": 7}
+    twice = blocks.where("pos = 1").withColumn("text", F.lit("z")).unionByName(blocks.where("pos = 1").withColumn("text", F.lit("y")))
+    assert store.upsert("blocks", twice)
+    assert [r["text"] for r in store.read("blocks").where("block_id = 'b1'").collect()] == ["z"] and store.read("blocks").count() == 60
+
+    # a version that another writer has put in since is compared with, and its rows of the same ranges are not replaced
+    rows = store.read("blocks").withColumn("metadata", F.create_map(F.lit("x"), F.col("path")))
+    seen = len(log.entries())
+    assert store.upsert("blocks", blocks.where("pos = 0").withColumn("block_id", F.lit("theirs")))
+    assert store._put("blocks", rows, seen=seen, whole=True)
+    assert store.read("blocks").count() == 61
