@@ -15,8 +15,9 @@ import regex
 
 #: Fixed values of the byte-level format: its pre-token pattern and the bytes that stand for themselves as characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same pattern for texts that are ASCII, whose letters, numbers and spaces need no Unicode tables.
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: The same pattern for texts of Latin-1, whose letters, numbers and spaces need no Unicode tables.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 PRINTABLE = (*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1))
 #: Bytes (about) of a worker's cache of encoded units, and those of an entry besides its characters.
 CACHE, ENTRY = 48 << 20, 200
@@ -61,7 +62,7 @@ class Codec:
         self.added: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
         self.strings: dict[str, bytes] = {str(i): bytes(to_byte[c] for c in s) for s, i in ids.items()}
         self.strings |= {str(i): s.encode() for s, i in self.added.items()}
-        self.any_pieces, self.ascii_pieces = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
+        self.any_pieces, self.latin_pieces = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         parts = sorted(self.added, key=lambda s: (-len(s), s))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, parts)) + ")").split if parts else None
         self.known = Known(self, {})
@@ -108,7 +109,11 @@ class Codec:
 
     def pieces(self, text: str) -> list[str]:
         """The text's pre-tokens."""
-        return self.ascii_pieces(text) if text.isascii() else self.any_pieces(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any_pieces(text)
+        return self.latin_pieces(text)
 
     def units(self, text: str) -> list[str]:
         """The text's pre-tokens and added tokens in turn: concatenated, they give the text, and no merge crosses two of them."""
