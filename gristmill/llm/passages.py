@@ -6,8 +6,9 @@
    are marked in filters of fixed size, which let too much through at worst.
 3. Pieces of shared minimisers travel as packed strings to their minimiser's bucket.  There windows are sorted by hash, and
    equal ones compared by their bytes; a window is removed if an earlier document has it.
-4. A busy minimiser's pieces (a passage that very many documents hold) would make one bucket too large.  They are cut into
-   single windows, told by 128-bit hashes, whose least document is a sum with partial aggregation, joined back to them.
+4. A busy minimiser's pieces (a passage that very many documents hold) would make one bucket too large.  The least document
+   of each different piece is a sum with partial aggregation, joined back to the pieces: those of later documents go whole.
+   Only the others are cut into single windows, told by 128-bit hashes, and meet their windows' least documents likewise.
 5. Ranges of removed words meet their documents in one join.
 """
 
@@ -210,6 +211,20 @@ def single_windows(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_arrow(pieces.select("doc_id", "digest", "start", "windows", "packed"), run, "h1 bigint, h2 bigint, doc_id bigint, digest binary, begin bigint")
 
 
+def met_whole(pieces: DataFrame) -> DataFrame:
+    """The pieces; packed is null where an earlier document has the whole piece.
+
+    A later document's piece tells nothing new of its windows, since the first document has them all: cutting what is left
+    finds the least document of each window.
+    """
+    # what is joined is written, so that the join has plain shuffles on both sides, which AQE splits where very many documents hold one piece
+    firsts = written(pieces.groupBy("packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("packed", "low"))
+    left = F.when(F.col("low").isNull() | (F.col("doc_id") == F.col("low")), F.col("packed"))
+    met = written(pieces.join(firsts, "packed", "left").select("doc_id", "digest", "start", "windows", left.alias("packed")))
+    discard(firsts)
+    return met
+
+
 def removed_ranges(docs: DataFrame, window: int = WINDOW, busy: int = BUSY) -> DataFrame:
     """doc_id, digest, begin, end of ranges of words, that may overlap, of docs (doc_id, digest, text) to be removed."""
     spark = docs.sparkSession
@@ -223,12 +238,13 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, busy: int = BUSY) -> D
     bucket = F.pmod(F.xxhash64("minimiser"), F.lit(n)).cast("int")
     shape = "doc_id bigint, digest binary, begin bigint, end bigint"
     of_buckets = usual.select("doc_id", "digest", "start", "windows", "packed", bucket.alias("bucket")).groupBy("bucket").applyInArrow(sorted_bucket(window), shape)
-    single = single_windows(pieces.where("busy"), window)
-    # written, so that the join has plain shuffles on both sides, which AQE splits where one window is in very many documents
+    met = met_whole(pieces.where("busy"))
+    whole = met.where("packed IS NULL").select("doc_id", "digest", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (window - 1)).alias("end"))
+    single = single_windows(met.where("packed IS NOT NULL"), window)
     earliest = written(single.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low"))
     of_windows = single.join(earliest, ["h1", "h2"]).where("doc_id > low").select("doc_id", "digest", "begin", (F.col("begin") + window).alias("end"))
-    ranges = written(of_buckets.unionByName(of_windows))
-    discard(pieces, earliest)
+    ranges = written(of_buckets.unionByName(whole).unionByName(of_windows))
+    discard(pieces, met, earliest)
     return ranges
 
 

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.llm import delta_lloyd, lexical_search, passages
 
@@ -55,6 +56,23 @@ def test_passages(spark, window, busy):
         assert sum(s["end"] - s["begin"] for s in r["spans"]) == r["n_removed"] and all(a["end"] < b["begin"] for a, b in zip(r["spans"], r["spans"][1:]))
 
 
+def test_copies_of_a_busy_piece_go_whole(spark):
+    """A range for each piece of a later copy, not for each of its windows; only first and differing pieces are cut."""
+    rng, copies = random.Random(6), 40
+    words = [f"w{i}" for i in range(80)]
+    exact = [(d, " ".join(words)) for d in range(copies)]
+    near = [(100 + d, " ".join(words[:k] + [f"own{d}"] + words[k + 1 :])) for d in range(copies) for k in [rng.randrange(80)]]
+    found = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.unhex(F.md5("text")))
+    pieces = len(passages.Cutter(12).pieces([exact[0][1]])[1])
+    assert pieces * 2 < 80 - 11
+    got = passages.removed_ranges(found(exact), 12, 2).collect()
+    assert len(got) == (copies - 1) * pieces and {r["doc_id"] for r in got} == set(range(1, copies))
+    # pieces that repeat in one document, and two rows of the first document's doc_id, of which one has the windows of the other
+    rows = exact + near + [(7, exact[0][1] + " " + exact[0][1]), (0, "before " + exact[0][1] + " " + exact[0][1]), (500, near[5][1]), (-3, near[9][1])]
+    got = passages.without_repeats(found(rows), 12, 2).collect()
+    assert key((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == key(naive_passages(rows, 12))
+
+
 def test_passages_of_no_rows_and_of_short_texts(spark):
     docs = spark.createDataFrame([(1, "a b", "", 1, ""), (2, "a b", "", 1, "")], DOCS)
     assert key((r["doc_id"], r["kept"]) for r in passages.without_repeats(docs).collect()) == key([(1, "a b"), (2, "a b")])
