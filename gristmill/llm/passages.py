@@ -8,7 +8,9 @@
    equal ones compared by their bytes; a window is removed if an earlier document has it.
 4. A busy minimiser's pieces (a passage that very many documents hold) would make one bucket too large.  The least document
    of each different piece is a sum with partial aggregation, joined back to the pieces: those of later documents go whole.
-   Only the others are cut into single windows, told by 128-bit hashes, and meet their windows' least documents likewise.
+   The others are told apart by longer runs of words: a piece is cut into at most three or four shorter ones, of windows that
+   share a core around their minimiser.  Those whose core no other document has can hold no shared window, those of a core that
+   is no longer busy travel to buckets, and the rest goes through the same again.  The last core is the window itself.
 5. Ranges of removed words meet their documents in one join.
 """
 
@@ -33,6 +35,7 @@ SLICE = 1 << 21
 _U = np.uint64
 _SPACE = [0x20, *range(0x09, 0x0E)]
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_PIECE = "doc_id bigint, digest binary, start bigint, windows bigint, packed binary, minimiser bigint"
 
 
 class Rolling:
@@ -62,6 +65,20 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return values if have == width else np.minimum(values[: len(values) - (width - have)], values[width - have :])
 
 
+def runs(keys: np.ndarray, of: np.ndarray, place: np.ndarray, most: int, window: int, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of at most `most` consecutive windows of one key and text: the first window, their number, and their bytes' begin and end.
+
+    of, place: each window's text and first word; starts, sizes: of the words.
+    """
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])
+    first = np.flatnonzero(new)
+    run = np.arange(len(place)) - np.repeat(first, np.diff(np.append(first, len(place))))
+    first = np.flatnonzero(run % most == 0)
+    many = np.diff(np.append(first, len(place)))
+    last = place[first] + many + window - 2
+    return first, many, starts[place[first]], starts[last] + sizes[last]
+
+
 class Cutter:
     """Pieces of texts: runs of consecutive windows of one minimiser."""
 
@@ -86,13 +103,8 @@ class Cutter:
             none = np.zeros(0, np.int64)
             return data, none, none, none, none.view(_U), none, none
         minimiser = least(self.mers(hashes), self.width)[place]
-        new = np.concatenate([[True], (minimiser[1:] != minimiser[:-1]) | (text[1:] != text[:-1])])
-        first = np.flatnonzero(new)
-        run = np.arange(len(place)) - np.repeat(first, np.diff(np.append(first, len(place))))
-        first = np.flatnonzero(run % self.width == 0)
-        many = np.diff(np.append(first, len(place)))
-        last = place[first] + many + self.window - 2
-        return data, text[first], at[first], many, minimiser[first], starts[place[first]], starts[last] + sizes[last]
+        first, many, begin, end = runs(minimiser, text, place, self.width, self.window, starts, sizes)
+        return data, text[first], at[first], many, minimiser[first], begin, end
 
 
 def _marks(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -118,8 +130,12 @@ def minimisers(docs: DataFrame, window: int = WINDOW, busy: int = BUSY) -> DataF
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[text]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids, pa.int64())], ["minimiser", "doc_id"])
 
-    seen = map_arrow(docs.select("text", "doc_id"), run, "minimiser bigint, doc_id bigint").groupBy("minimiser")
-    of = seen.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    return shared_by_documents(map_arrow(docs.select("text", "doc_id"), run, "minimiser bigint, doc_id bigint"), busy)
+
+
+def shared_by_documents(pieces: DataFrame, busy: int) -> DataFrame:
+    """minimiser, busy (whether more pieces than that have it) of each minimiser of pieces (minimiser, doc_id) that two documents or more have."""
+    of = pieces.groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     return of.where("low < high").select("minimiser", (F.col("n") > busy).alias("busy"))
 
 
@@ -138,8 +154,7 @@ def travelling(docs: DataFrame, shared: np.ndarray, busy: np.ndarray, window: in
             columns += [pa.array(packed, pa.binary()), pa.array(keys.view(np.int64)), pa.array(_marks(known.value[1], keys))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "start", "windows", "packed", "minimiser", "busy"])
 
-    shape = "doc_id bigint, digest binary, start bigint, windows bigint, packed binary, minimiser bigint, busy boolean"
-    return map_arrow(docs.select("text", "doc_id", "digest"), run, shape)
+    return map_arrow(docs.select("text", "doc_id", "digest"), run, f"{_PIECE}, busy boolean")
 
 
 class Unpacker:
@@ -196,35 +211,69 @@ def sorted_bucket(window: int):
     return run
 
 
-def single_windows(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """h1, h2 (128-bit hash), doc_id, digest, begin of each window of the pieces."""
+def finer(pieces: DataFrame, span: int, window: int = WINDOW) -> DataFrame:
+    """The pieces cut into shorter ones of at most `span` windows, which share a core of window - span + 1 words: its hash is their minimiser.
+
+    A window's core has a place in it that the place of its first least MER-word run tells, so equal windows have equal cores.
+    """
+    mer = min(MER, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker, hashers = Unpacker(window), [Rolling(window, f) for f in _FACTORS]
+        unpacker, mers, cores = Unpacker(window), Rolling(mer, _FACTORS[0]), Rolling(window - span + 1, _FACTORS[1])
         for batch in slices(batches, SLICE, "packed"):
-            _, hashes, _, _, piece, at, place = unpacker.windows(batch)
-            of = pa.array(piece)
-            keys = [pa.array(h(hashes)[place].view(np.int64)) for h in hashers]
-            begin = batch.column("start").to_numpy()[piece] + at
-            yield pa.RecordBatch.from_arrays([*keys, batch.column("doc_id").take(of), batch.column("digest").take(of), pa.array(begin)], ["h1", "h2", "doc_id", "digest", "begin"])
+            data, hashes, starts, sizes, piece, at, place = unpacker.windows(batch)
+            found = mers(hashes)
+            n = batch.column("windows").to_numpy()
+            least_of = least(found, window - mer + 1)[place[np.cumsum(n) - n]]  # one for all windows of a piece
+            hits = np.flatnonzero(found == np.repeat(least_of, n + window - 1)[: len(found)])
+            key = cores(hashes)[place + (hits[np.searchsorted(hits, place)] - place) % span]
+            first, many, begin, end = runs(key, piece, place, span, window, starts, sizes)
+            of = pa.array(piece[first])
+            packed = pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+            columns = [batch.column("doc_id").take(of), batch.column("digest").take(of), pa.array(batch.column("start").to_numpy()[piece[first]] + at[first])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(many), packed, pa.array(key[first].view(np.int64))], ["doc_id", "digest", "start", "windows", "packed", "minimiser"])
 
-    return map_arrow(pieces.select("doc_id", "digest", "start", "windows", "packed"), run, "h1 bigint, h2 bigint, doc_id bigint, digest binary, begin bigint")
+    return map_arrow(pieces.select("doc_id", "digest", "start", "windows", "packed"), run, _PIECE)
 
 
 def met_whole(pieces: DataFrame) -> DataFrame:
     """The pieces; packed is null where an earlier document has the whole piece.
 
-    A later document's piece tells nothing new of its windows, since the first document has them all: cutting what is left
-    finds the least document of each window.
+    A later document's piece tells nothing new of its windows, since the first document has them all: what is left finds the
+    least document of each window.
     """
     # what is joined is written, so that the join has plain shuffles on both sides, which AQE splits where very many documents hold one piece
     firsts = written(pieces.groupBy("packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("packed", "low"))
     left = F.when(F.col("low").isNull() | (F.col("doc_id") == F.col("low")), F.col("packed"))
-    met = written(pieces.join(firsts, "packed", "left").select("doc_id", "digest", "start", "windows", left.alias("packed")))
+    met = written(pieces.join(firsts, "packed", "left").select("doc_id", "digest", "start", "windows", left.alias("packed"), "minimiser"))
     discard(firsts)
     return met
 
 
+def met_by_cores(pieces: DataFrame, window: int = WINDOW, busy: int = BUSY) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Written tables made of pieces of busy minimisers: in the first, an earlier document has the pieces whole whose packed is
+    null (the others are to be passed over); in the second, the pieces that aren't busy are to be sorted in buckets."""
+    if pieces.isEmpty():
+        return [], []
+    whole, rest = [], []
+    width = window - min(MER, window) + 1
+    span = 4 ** max(k for k in range(width + 1) if 4**k < max(width, 2))  # the first to cut to, if there is more than one window
+    while True:
+        met = met_whole(pieces)
+        whole.append(met)
+        if rest:
+            discard(pieces)
+        if width == 1:
+            return whole, rest
+        left = met.where("packed IS NOT NULL")
+        keys = written(shared_by_documents(left, busy))
+        rest.append(written(left.join(keys, "minimiser")))
+        discard(keys)
+        if rest[-1].where("busy").isEmpty():
+            return whole, rest
+        pieces, width, span = written(finer(rest[-1].where("busy"), span, window)), span, max(span // 4, 1)
+
+
 def removed_ranges(docs: DataFrame, window: int = WINDOW, busy: int = BUSY) -> DataFrame:
     """doc_id, digest, begin, end of ranges of words, that may overlap, of docs (doc_id, digest, text) to be removed."""
     spark = docs.sparkSession
@@ -233,18 +282,19 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, busy: int = BUSY) -> D
     shared, hot = _filter(found, SHARED_BITS), _filter(found.where("busy"), BUSY_BITS)
     discard(found)
     pieces = written(travelling(docs, shared, hot, window))
-    usual = pieces.where("NOT busy")
+    columns = ["doc_id", "digest", "start", "windows", "packed", "minimiser"]
+    whole, rest = met_by_cores(pieces.where("busy").select(columns), window, busy)
+    usual = pieces.where("NOT busy").select(columns)
+    for r in rest:
+        usual = usual.unionByName(r.where("NOT busy").select(columns))
     n = max(2 * partitions(spark), -(-usual.count() // BUCKET))
     bucket = F.pmod(F.xxhash64("minimiser"), F.lit(n)).cast("int")
     shape = "doc_id bigint, digest binary, begin bigint, end bigint"
-    of_buckets = usual.select("doc_id", "digest", "start", "windows", "packed", bucket.alias("bucket")).groupBy("bucket").applyInArrow(sorted_bucket(window), shape)
-    met = met_whole(pieces.where("busy"))
-    whole = met.where("packed IS NULL").select("doc_id", "digest", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (window - 1)).alias("end"))
-    single = single_windows(met.where("packed IS NOT NULL"), window)
-    earliest = written(single.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low"))
-    of_windows = single.join(earliest, ["h1", "h2"]).where("doc_id > low").select("doc_id", "digest", "begin", (F.col("begin") + window).alias("end"))
-    ranges = written(of_buckets.unionByName(whole).unionByName(of_windows))
-    discard(pieces, met, earliest)
+    found = usual.withColumn("bucket", bucket).drop("minimiser").groupBy("bucket").applyInArrow(sorted_bucket(window), shape)
+    for w in whole:
+        found = found.unionByName(w.where("packed IS NULL").select("doc_id", "digest", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (window - 1)).alias("end")))
+    ranges = written(found)
+    discard(pieces, *whole, *rest)
     return ranges
 
 

@@ -73,6 +73,41 @@ def test_copies_of_a_busy_piece_go_whole(spark):
     assert key((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == key(naive_passages(rows, 12))
 
 
+def test_near_copies_of_a_busy_piece_are_not_cut_into_windows(spark, monkeypatch):
+    """Pieces that differ are cut by longer and longer cores: few rows and ranges for very many windows, and nothing is lost."""
+    rng, copies, made = random.Random(9), 90, []
+    words = [f"w{i}" for i in range(300)]
+    rows = [(d, " ".join("own%d" % d if i in own else w for i, w in enumerate(words))) for d in range(copies) for own in [rng.sample(range(300), 2)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.unhex(F.md5("text")))
+    pieces = passages.Cutter().pieces([t for _, t in rows])[3]
+    assert passages.removed_ranges(docs, busy=8).count() < 2 * len(pieces) < pieces.sum() / 10
+    cut = passages.finer
+    monkeypatch.setattr(passages, "finer", lambda p, span, window: (made.append((span, p.count(), cut(p, span, window).count())), cut(p, span, window))[1])
+    got = passages.without_repeats(docs, busy=8).collect()
+    assert key((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == key(naive_passages(rows, 50))
+    assert [span for span, _, _ in made] == [16, 4] and all(out <= 4 * n for _, n, out in made) and sum(out for _, _, out in made) < pieces.sum() / 10
+
+
+@pytest.mark.parametrize("window, span", [(50, 16), (50, 4), (50, 1), (12, 4), (9, 1)])
+def test_finer_pieces(spark, window, span):
+    """Every window is in one of the finer pieces, and equal windows come under one hash, also where words repeat."""
+    rng = random.Random(window + span)
+    base = [rng.choice("ab") for _ in range(70)] + ["w"] * 80 + ["x", "y"] * 45 + [f"n{i}" for i in range(100)]
+    rows = []
+    for doc in range(8):
+        words = base[rng.randrange(60) :] + [f"own{doc}"] + base[: rng.randrange(60, 200)]
+        data, _, at, many, keys, begin, end = passages.Cutter(window).pieces([" ".join(words)])
+        rows += [(doc, b"k", int(a), int(n), data[b:e], int(k)) for a, n, b, e, k in zip(at, many, begin, end, keys.view(np.int64))]
+    cut = passages.finer(spark.createDataFrame(rows, passages._PIECE), span, window).collect()
+    opened = lambda rows: [(d, a + i, tuple(w[i : i + window]), k) for d, _, a, n, p, k in rows for w in [bytes(p).split()] for i in range(n) if len(w) == n + window - 1]
+    assert sorted(x[:3] for x in opened(cut)) == sorted(x[:3] for x in opened(rows))
+    assert max(r["windows"] for r in cut) == span
+    of = {}
+    for _, _, w, k in opened(cut):
+        assert of.setdefault(w, k) == k
+    assert len(of) < len(opened(cut))
+
+
 def test_passages_of_no_rows_and_of_short_texts(spark):
     docs = spark.createDataFrame([(1, "a b", "", 1, ""), (2, "a b", "", 1, "")], DOCS)
     assert key((r["doc_id"], r["kept"]) for r in passages.without_repeats(docs).collect()) == key([(1, "a b"), (2, "a b")])
